@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,36 @@ def money(column: Column | str, precision: int = 12, scale: int = 2) -> Column:
     return column.cast(f"decimal({precision},{scale})")
 
 
+def whole(df: DataFrame, column: str, digits: int | None) -> tuple[Column, float]:
+    """A floating column as integers of 10^-digits, with the divisor that undoes it.
+
+    Integer sums do not depend on row order and cost a fraction of decimal sums; an
+    overflow raises. Decimal and integer columns, and ``digits=None``, stay as they are.
+    """
+    value = F.col(column)
+    if digits is None or df.schema[column].dataType.typeName() not in ("double", "float"):
+        return value, 1.0
+    scale = float(10**digits)
+    return F.rint(value.cast("double") * scale).cast("bigint"), scale
+
+
+def total(
+    df: DataFrame, column: str, when: Column | None = None, digits: int | None = 2
+) -> Column:
+    """Aggregate: sum of a column (where a condition holds) as a double."""
+    value, scale = whole(df, column, digits)
+    summed = F.sum(value if when is None else F.when(when, value)).cast("double")
+    return summed if scale == 1.0 else summed / F.lit(scale)
+
+
+def exact_decimal(df: DataFrame, column: str, digits: int) -> Column:
+    """Aggregate: the same sum as a decimal, for amounts that are summed up further."""
+    value, scale = whole(df, column, digits)
+    if scale == 1.0:
+        return F.sum(value)
+    return F.sum(value).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))
+
+
 def month_of(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.trunc(column.cast("date"), "month")
@@ -62,6 +93,12 @@ def percent(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(F.lit(100.0) * numerator.cast("double"), denominator.cast("double"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round a double by scaling it, half away from zero; decimals use ``F.round`` as they are."""
+    scale = F.lit(float(10**digits))
+    return F.round(value.cast("double") * scale) / scale
+
+
 def change_percent(current: Column, previous: Column) -> Column:
     """Signed change against the previous value on the 0-100 scale; NULL without a baseline."""
     current, previous = current.cast("double"), previous.cast("double")

@@ -22,9 +22,9 @@ from martwright.functions.values import (
     WARNING,
     change_percent,
     instant,
-    money,
     percent,
     ratio,
+    total,
     within,
 )
 from martwright.operators.rules import Rule, rules_of
@@ -44,12 +44,9 @@ def at_most(actual: Column, limit: float) -> Column:
     return actual <= F.lit(float(limit))
 
 
-def verdict(met: Column, calm: Column | None = None, missing: str = PASSED) -> Column:
-    """Status of a rule; ``missing`` is the status where there is nothing to compare."""
-    status = F.when(met.isNull(), missing).when(~met, FAILED)
-    if calm is not None:
-        status = status.when(~calm, WARNING)
-    return status.otherwise(PASSED)
+def verdict(met: Column) -> Column:
+    """Status of a period; one without a baseline passes."""
+    return F.when(~met, FAILED).otherwise(PASSED)
 
 
 # -- aggregates ----------------------------------------------------------------
@@ -61,14 +58,6 @@ def hours_since(column: Column, as_of: datetime) -> Column:
     return micros / F.lit(3600000000.0)
 
 
-def exact_sum(df: DataFrame, column: str, when: Column | None = None) -> Column:
-    """Sum that does not depend on row order: floating columns are summed as decimals."""
-    value = F.col(column)
-    if df.schema[column].dataType.typeName() in ("double", "float"):
-        value = money(value, 18, 4)
-    return F.sum(value if when is None else F.when(when, value)).cast("double")
-
-
 def drop_percent(current: Column, previous: Column) -> Column:
     """How far the rows fell, on the 0-100 scale; growth is negative."""
     return percent(previous - current, previous)
@@ -94,11 +83,11 @@ class TableScan:
             return self.measure("rows", F.count(F.lit(1)))
         return self.measure(f"rows_{grain}{steps}", F.count_if(self.span(grain, steps)))
 
-    def total(self, column: str, grain: str | None = None, steps: int = 0) -> Column:
-        if grain is None:
-            return self.measure(f"sum_{column}", exact_sum(self.df, column))
+    def total(self, rule: Rule, grain: str | None = None, steps: int = 0) -> Column:
+        span = None if grain is None else self.span(grain, steps)
         return self.measure(
-            f"sum_{column}_{grain}{steps}", exact_sum(self.df, column, self.span(grain, steps))
+            f"sum_{rule.column_name}_{rule.digits}_{grain}{steps}",
+            total(self.df, rule.column_name, span, rule.digits),
         )
 
     def present(self, column: str, grain: str, steps: int) -> Column:
@@ -107,10 +96,8 @@ class TableScan:
 
     def add(self, rule: Rule) -> None:
         actual, met, missing = self._evaluate(rule)
-        calm = None
-        if rule.warn is not None:
-            calm = actual <= F.lit(rule.warn)
-        self.checks.append(result(rule, actual, verdict(met, calm, missing)))
+        calm = None if rule.warn is None else actual <= F.lit(rule.warn)
+        self.checks.append(finding(rule, actual, met, calm, missing))
 
     def _evaluate(self, rule: Rule) -> tuple[Column, Column, str]:
         kind, column, grain = rule.rule_type, rule.column_name, rule.period
@@ -123,7 +110,7 @@ class TableScan:
             rate = percent(nulls, self.rows())
             return rate, below(rate, rule.max), PASSED
         if kind == "range":
-            value = self.total(column)
+            value = self.total(rule)
             return value, value.between(rule.min, rule.max), ERROR
         if kind == "row_count":
             rows = self.rows().cast("double")
@@ -133,33 +120,38 @@ class TableScan:
             return drop, at_most(drop, rule.max), PASSED
         if kind == "change":
             moved = F.abs(
-                change_percent(self.total(column, grain, -1), self.total(column, grain, -2))
+                change_percent(self.total(rule, grain, -1), self.total(rule, grain, -2))
             )
             return moved, at_most(moved, rule.max), PASSED
         if kind == "distribution_shift":
             means = [
-                ratio(self.total(column, grain, s), self.present(column, grain, s))
+                ratio(self.total(rule, grain, s), self.present(column, grain, s))
                 for s in (-1, -2)
             ]
             moved = F.abs(change_percent(*means))
             return moved, at_most(moved, rule.max), PASSED
         if kind == "trailing_average":
-            moved = self._against_trailing(column, int(rule.period.split()[0]))
+            moved = self._against_trailing(rule, int(rule.period.split()[0]))
             return moved, at_most(moved, rule.max), PASSED
         raise ValueError(f"rule {kind} is not a table aggregate")
 
-    def _against_trailing(self, column: str, days: int) -> Column:
+    def _against_trailing(self, rule: Rule, days: int) -> Column:
         """Yesterday's value against the mean of the ``days`` days before it."""
         end = as_day(self.as_of) - timedelta(days=1)
         span = within(self.df, self.time_column, end - timedelta(days=days), end)
         held = F.col(self.time_column).cast("date")
-        total = self.measure(f"trail{days}_{column}", exact_sum(self.df, column, span))
+        trail = self.measure(
+            f"trail{days}_{rule.column_name}_{rule.digits}",
+            total(self.df, rule.column_name, span, rule.digits),
+        )
         # At most ``days`` distinct dates, so the set stays small in every task.
         seen = self.measure(f"trail{days}_days", F.size(F.collect_set(F.when(span, held))))
-        return F.abs(change_percent(self.total(column, "day", -1), ratio(total, seen)))
+        return F.abs(change_percent(self.total(rule, "day", -1), ratio(trail, seen)))
 
     def results(self) -> DataFrame:
-        return self.df.agg(*self.measures.values()).select(F.inline(F.array(*self.checks)))
+        return results(
+            self.df.agg(*self.measures.values()).select(F.inline(F.array(*self.checks)))
+        )
 
 
 # -- result rows ---------------------------------------------------------------
@@ -182,28 +174,53 @@ def label_of(rule: Rule) -> str:
     return _LABELS[rule.rule_type].format(column=rule.column_name, period=rule.period)
 
 
-def threshold_of(rule: Rule) -> Column:
-    limit = rule.min if rule.rule_type == "row_count" else rule.max
-    return F.lit(limit).cast("double")
+_UNITS = {"freshness": "h", "range": "", "row_count": "", "schema_drift": ""}
 
 
-def result(rule: Rule, actual: Column, status: Column) -> Column:
-    """The common output of every check."""
-    actual = actual.cast("double")
-    unit = {"freshness": "h", "range": "", "row_count": "", "schema_drift": ""}
-    shown = F.concat(F.format_string("%.1f", actual), F.lit(unit.get(rule.rule_type, "%")))
+def finding(
+    rule: Rule,
+    actual: Column,
+    met: Column,
+    calm: Column | None = None,
+    missing: str = PASSED,
+) -> Column:
+    """What a rule measured, as a struct; ``results`` turns it into a result row."""
+    limit = rule.min if rule.rule_type == "row_count" else rule.max
     return F.struct(
         F.lit(rule.metric).alias("metric"),
         F.lit(rule.rule_type).alias("rule_type"),
         F.lit(rule.column_name).cast("string").alias("column_name"),
-        status.alias("status"),
-        actual.alias("actual_value"),
-        threshold_of(rule).alias("threshold"),
-        F.concat(
-            F.lit(f"{label_of(rule)}: "),
+        actual.cast("double").alias("actual_value"),
+        F.lit(limit).cast("double").alias("threshold"),
+        met.alias("met"),
+        (F.lit(True) if calm is None else calm).alias("calm"),
+        F.lit(missing).alias("missing"),
+        F.lit(label_of(rule)).alias("label"),
+        F.lit(_UNITS.get(rule.rule_type, "%")).alias("unit"),
+    )
+
+
+def results(findings: DataFrame) -> DataFrame:
+    """The common output of every check."""
+    status = (
+        F.when(F.col("met").isNull(), F.col("missing"))
+        .when(~F.col("met"), FAILED)
+        .when(~F.col("calm"), WARNING)
+        .otherwise(PASSED)
+    )
+    shown = F.concat(F.format_string("%.1f", "actual_value"), F.col("unit"))
+    return findings.withColumn("status", status).select(
+        "metric",
+        "rule_type",
+        "column_name",
+        "status",
+        "actual_value",
+        "threshold",
+        F.format_string(
+            "%s: %s - %s",
+            "label",
             F.coalesce(shown, F.lit("nothing to compare")),
-            F.lit(" - "),
-            F.upper(status),
+            F.upper("status"),
         ).alias("message"),
     )
 
@@ -211,8 +228,9 @@ def result(rule: Rule, actual: Column, status: Column) -> Column:
 def duplicate_result(df: DataFrame, rule: Rule) -> DataFrame:
     """Duplicate rate of one column: equal values are counted before the totals."""
     rate = duplicate_rates(df, rule.column_name)
-    met = at_most(F.col("duplicate_pct"), rule.max)
-    return rate.select(result(rule, F.col("duplicate_pct"), verdict(met)).alias("r")).select("r.*")
+    actual = F.col("duplicate_pct")
+    found = rate.select(finding(rule, actual, at_most(actual, rule.max)).alias("r"))
+    return results(found.select("r.*"))
 
 
 def duplicate_rates(df: DataFrame, *columns: str) -> DataFrame:
@@ -319,26 +337,31 @@ def _drift_result(df: DataFrame, rule: Rule, history: DataFrame | None) -> DataF
         now = schema_snapshot(df, rule.metric, 1)
         changes = schema_drift(last.unionByName(now))
     counted = changes.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    met = F.col("n") == 0
-    return counted.select(result(rule, F.col("n"), verdict(met)).alias("r")).select("r.*")
+    found = counted.select(finding(rule, F.col("n"), F.col("n") == 0).alias("r"))
+    return results(found.select("r.*"))
 
 
 # -- checks over a series of periods -------------------------------------------
 
 
 def per_period(
-    df: DataFrame, time_column: str, grain: str, value: str, keys: list[str] | None = None
+    df: DataFrame,
+    time_column: str,
+    grain: str,
+    value: str,
+    keys: list[str] | None = None,
+    digits: int | None = 2,
 ) -> DataFrame:
     """Rows, value and mean per calendar period (and key): the input of the series checks."""
     keys = keys or []
     bucket = F.trunc(F.col(time_column).cast("date"), grain) if grain != "day" else F.col(
         time_column
     ).cast("date")
-    total = exact_sum(df, value)
+    summed = total(df, value, digits=digits)
     return df.groupBy(*keys, bucket.alias("period")).agg(
         F.count(F.lit(1)).alias("row_count"),
-        total.alias("value"),
-        ratio(total, F.count(value)).alias("mean"),
+        summed.alias("value"),
+        ratio(summed, F.count(value)).alias("mean"),
     )
 
 

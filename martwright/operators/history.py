@@ -18,8 +18,8 @@ from martwright.functions.values import (
     instant,
     ratio,
     short_status,
+    total,
 )
-from martwright.operators.checks import exact_sum
 
 
 def schema_fingerprint(df: DataFrame) -> str:
@@ -28,15 +28,21 @@ def schema_fingerprint(df: DataFrame) -> str:
 
 
 def run_snapshot(
-    df: DataFrame, metric: str, value_column: str, mean_columns: list[str], as_of: datetime
+    df: DataFrame,
+    metric: str,
+    value_column: str,
+    mean_columns: list[str],
+    as_of: datetime,
+    digits: int | None = 2,
 ) -> DataFrame:
     """What a run stores about its table, in one pass."""
     means = [
-        F.format_string("%.4f", ratio(exact_sum(df, c), F.count(c))).alias(c) for c in mean_columns
+        F.format_string("%.4f", ratio(total(df, c, digits=digits), F.count(c))).alias(c)
+        for c in mean_columns
     ]
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
-        exact_sum(df, value_column).alias("value_sum"),
+        total(df, value_column, digits=digits).alias("value_sum"),
         F.to_json(F.struct(*means)).alias("column_means_json"),
     ).select(
         F.lit(metric).alias("metric_name"),

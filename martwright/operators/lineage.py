@@ -26,7 +26,7 @@ def upstream(metrics: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> Data
     A fixed number of joins. Reached nodes are reduced to distinct rows per hop, so a
     node reached over many paths is expanded once.
     """
-    links = edges.select("upstream", "downstream").distinct()
+    links = edges.select("upstream", "downstream")
     frontier = metrics.select("metric", F.col("metric").alias("node")).distinct()
     reached = []
     for hop in range(1, hops + 1):
@@ -49,11 +49,12 @@ def node_kind(kind: Column) -> Column:
     return F.when(kind.isin("source", "metric", "transform"), kind).otherwise("transform")
 
 
-def with_stub(metrics: DataFrame, walk: DataFrame) -> DataFrame:
-    """Add a source one hop up for each metric without any ancestor.
+def with_stub(metrics: DataFrame, edges: DataFrame, walk: DataFrame) -> DataFrame:
+    """Add a source one hop up for each metric that no edge leads to.
 
     ``metrics`` holds (metric, primary_table).
     """
-    bare = metrics.join(walk.select("metric").distinct(), "metric", "left_anti")
+    led_to = edges.filter("upstream <> downstream").select(F.col("downstream").alias("metric"))
+    bare = metrics.join(led_to, "metric", "left_anti")
     stubs = bare.select("metric", F.col("primary_table").alias("node"), F.lit(1).alias("hops"))
     return walk.unionByName(stubs)

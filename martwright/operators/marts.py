@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martwright.functions.values import instant, percent, ratio
+from martwright.functions.values import instant, percent, ratio, total
 
 
 def daily_revenue(orders: DataFrame, as_of: datetime, paid: str = "paid") -> DataFrame:
@@ -17,7 +17,7 @@ def daily_revenue(orders: DataFrame, as_of: datetime, paid: str = "paid") -> Dat
         .groupBy(F.col("order_at").cast("date").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("order_count"),
-            F.sum("amount").cast("double").alias("revenue"),
+            total(orders, "amount").alias("revenue"),
         )
         .withColumn("updated_at", instant(as_of))
     )
@@ -33,7 +33,7 @@ def customer_ltv(
     """
     per_customer = orders.groupBy("customer_id").agg(
         F.count("order_id").alias("lifetime_orders"),
-        F.sum(F.when(F.col("status") == paid, F.col("amount"))).alias("paid"),
+        total(orders, "amount", F.col("status") == paid).alias("paid"),
         F.max("order_at").alias("last_order_at"),
     )
     return customers.join(per_customer, "customer_id", "left").select(
@@ -41,7 +41,7 @@ def customer_ltv(
         "name",
         "country",
         F.coalesce("lifetime_orders", F.lit(0)).alias("lifetime_orders"),
-        F.coalesce(F.col("paid").cast("double"), F.lit(0.0)).alias("lifetime_revenue"),
+        F.coalesce("paid", F.lit(0.0)).alias("lifetime_revenue"),
         "last_order_at",
         instant(as_of).alias("updated_at"),
     )
@@ -49,11 +49,11 @@ def customer_ltv(
 
 def dashboard_kpis(daily: DataFrame) -> DataFrame:
     """Total revenue, total orders and mean revenue per day over the daily mart."""
-    total = F.sum(F.col("revenue").cast("decimal(38,2)")).cast("double")
+    revenue = total(daily, "revenue")
     return daily.agg(
-        total.alias("total_revenue"),
+        revenue.alias("total_revenue"),
         F.sum("order_count").alias("total_orders"),
-        ratio(total, F.count("revenue")).alias("avg_daily_revenue"),
+        ratio(revenue, F.count("revenue")).alias("avg_daily_revenue"),
     )
 
 
@@ -66,11 +66,11 @@ def top_customers(ltv: DataFrame, rows: int = 10) -> DataFrame:
     )
 
 
-def budget_utilisation(budget: DataFrame) -> DataFrame:
+def budget_utilisation(budget: DataFrame, digits: int = 2) -> DataFrame:
     """Total spent over the rows where both the budget and the spending are present."""
     return budget.filter(F.col("budgeted").isNotNull() & F.col("spent").isNotNull()).agg(
-        F.sum("spent").cast("double").alias("spent"),
-        F.sum("budgeted").cast("double").alias("budgeted"),
+        total(budget, "spent", digits=digits).alias("spent"),
+        total(budget, "budgeted", digits=digits).alias("budgeted"),
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("spent") > F.col("budgeted")).alias("overspent_lines"),
     )

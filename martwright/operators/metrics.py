@@ -11,10 +11,13 @@ from martwright.functions.percentiles import exact_percentile
 from martwright.functions.periods import period_span
 from martwright.functions.values import (
     day_literal,
-    money,
+    exact_decimal,
     month_of,
     percent,
     ratio,
+    rounded,
+    total,
+    whole,
     within,
 )
 
@@ -26,7 +29,7 @@ def average_order_value(orders: DataFrame, completed: str = "completed") -> Data
         .groupBy(month_of("order_at").alias("month"))
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            F.round(ratio(F.sum("amount"), F.count(F.lit(1))), 2).alias("aov"),
+            rounded(ratio(total(orders, "amount"), F.count(F.lit(1))), 2).alias("aov"),
         )
     )
 
@@ -42,11 +45,10 @@ def merchandise_revenue(
     Invoices are summed per order before the join: one row per order whatever the
     number of its invoices. Amounts arrive in the base currency.
     """
-    per_order = (
-        invoices.filter(F.col("invoice_status") == finalized)
-        .groupBy("order_id")
-        .agg(F.sum(F.col("net_amount") + F.col("tax")).alias("gross"))
+    billed = invoices.filter(F.col("invoice_status") == finalized).withColumn(
+        "gross", F.col("net_amount") + F.col("tax")
     )
+    per_order = billed.groupBy("order_id").agg(exact_decimal(billed, "gross", 6).alias("gross"))
     return (
         orders.filter(F.col("status") == completed)
         .select("order_id", month_of("order_at").alias("month"))
@@ -83,7 +85,7 @@ def _matched_share(left: DataFrame, right: DataFrame, key: str, name: str) -> Da
     return left.join(right, key, "left").agg(
         F.count(F.lit(1)).alias("total"),
         F.count(flag).alias("matched"),
-        F.round(percent(F.count(flag), F.count(F.lit(1))), 2).alias(name),
+        rounded(percent(F.count(flag), F.count(F.lit(1))), 2).alias(name),
     )
 
 
@@ -162,7 +164,7 @@ def recurring_revenue(
 ) -> DataFrame:
     """Monthly recurring revenue per plan; annual charges count a twelfth.
 
-    Monthly and annual charges are summed apart as exact decimals and divided last.
+    Monthly and annual charges are summed apart and divided last.
     """
     paying = subscriptions.filter(
         F.col("status").isin(*PAYING_STATUSES)
@@ -171,11 +173,11 @@ def recurring_revenue(
     )
     yearly = F.col("billing_interval") == "annual"
     months = 1 if annual_is_monthly_equiv else 12
-    annual = F.coalesce(F.sum(F.when(yearly, F.col("plan_amount"))).cast("double"), F.lit(0.0))
-    monthly = F.coalesce(F.sum(F.when(~yearly, F.col("plan_amount"))).cast("double"), F.lit(0.0))
+    annual = F.coalesce(total(paying, "plan_amount", yearly), F.lit(0.0))
+    monthly = F.coalesce(total(paying, "plan_amount", ~yearly), F.lit(0.0))
     return paying.groupBy(F.col("plan_name").alias("plan")).agg(
         F.count(F.lit(1)).alias("subscriptions"),
-        F.round(monthly + annual / months, 2).alias("mrr"),
+        rounded(monthly + annual / months, 2).alias("mrr"),
     )
 
 
@@ -224,27 +226,28 @@ def revenue_retention(
     now = period_span(month, "month")
     then = period_span(month, "month", -months_back)
     in_now, in_then = within(revenue, "order_at", *now), within(revenue, "order_at", *then)
+    amount, scale = whole(revenue, "amount", 2)
     cohort = (
         revenue.filter(in_now | in_then)
         .groupBy(customer)
         .agg(
-            F.coalesce(F.sum(F.when(in_then, F.col("amount"))), F.lit(0)).alias("before"),
-            F.coalesce(F.sum(F.when(in_now, F.col("amount"))), F.lit(0)).alias("after"),
+            F.coalesce(F.sum(F.when(in_then, amount)), F.lit(0)).alias("before"),
+            F.coalesce(F.sum(F.when(in_now, amount)), F.lit(0)).alias("after"),
         )
         .filter(F.col("before") > 0)
     )
     before, after = F.col("before"), F.col("after")
 
-    def total(value: Column, name: str) -> Column:
-        return F.coalesce(F.sum(value).cast("double"), F.lit(0.0)).alias(name)
+    def moved(value: Column, name: str) -> Column:
+        return F.coalesce(F.sum(value).cast("double") / F.lit(scale), F.lit(0.0)).alias(name)
 
     return cohort.agg(
         F.count(F.lit(1)).alias("customers"),
-        total(before, "starting"),
-        total(F.when(after > before, after - before), "expansion"),
-        total(F.when((after > 0) & (after < before), before - after), "contraction"),
-        total(F.when(after <= 0, before - after), "churned"),
-        total(after, "ending"),
+        moved(before, "starting"),
+        moved(F.when(after > before, after - before), "expansion"),
+        moved(F.when((after > 0) & (after < before), before - after), "contraction"),
+        moved(F.when(after <= 0, before - after), "churned"),
+        moved(after, "ending"),
     ).withColumn("nrr_pct", percent(F.col("ending"), F.col("starting")))
 
 
@@ -297,11 +300,12 @@ def usd_revenue(
     as-of match runs on days and not on invoices. Both inputs carry
     (currency, day, amount). Days before the first rate stay unconverted and counted.
     """
-    signed = invoices.select("currency", "day", money("amount", 18, 4).alias("amount")).unionByName(
-        refunds.select("currency", "day", (-money("amount", 18, 4)).alias("amount"))
+    amount = F.col("amount").cast("double")
+    signed = invoices.select("currency", "day", amount.alias("amount")).unionByName(
+        refunds.select("currency", "day", (-amount).alias("amount"))
     )
     daily = signed.groupBy("currency", "day").agg(
-        F.sum("amount").alias("net"), F.count(F.lit(1)).alias("entries")
+        exact_decimal(signed, "amount", 4).alias("net"), F.count(F.lit(1)).alias("entries")
     )
     converted_days = daily.join(rates_by_day(daily, rates), ["currency", "day"], "left")
     rate = F.when(F.col("currency") == base_currency, F.lit(1).cast("decimal(10,4)")).otherwise(

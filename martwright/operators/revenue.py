@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions.periods import period_span
-from martwright.functions.values import within
+from martwright.functions.values import exact_decimal, within
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,9 @@ def _in_scope(
 
 def _refund_per_order(refunds: DataFrame) -> DataFrame:
     """Refunds combined per order first: an order with very many refunds is one row."""
-    return refunds.groupBy("order_id").agg(F.sum("refund_amount").alias("refund"))
+    return refunds.groupBy("order_id").agg(
+        exact_decimal(refunds, "refund_amount", 4).alias("refund")
+    )
 
 
 def definition_values(

@@ -2,7 +2,8 @@
 
 A contract is a dict: metric, description, owner, tags, sources, table, value_column,
 time_column and ``trust``, a list of one-key mappings such as
-``{"null_rate": {"column": "amount", "max": "1%"}}``.
+``{"null_rate": {"column": "amount", "max": "1%"}}``. With ``digits`` floating values
+are summed exactly in units of that many decimal places.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ DEFAULT_TRUST = (
 
 RULE_SCHEMA = (
     "metric string, rule_type string, column_name string, table_name string,"
-    " min double, max double, warn double, period string"
+    " min double, max double, warn double, period string, digits int"
 )
 
 
@@ -48,6 +49,7 @@ class Rule:
     max: float | None
     warn: float | None
     period: str | None
+    digits: int | None
 
 
 def rules_of(contract: dict) -> list[Rule]:
@@ -82,6 +84,7 @@ def _rule(contract: dict, entry: dict) -> Rule:
         None if limit is None else read(limit),
         None if body.get("warn") is None else read(body["warn"]),
         period,
+        contract.get("digits"),
     )
 
 

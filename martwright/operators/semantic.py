@@ -1,7 +1,7 @@
 """Measures declared on entities, windowed metrics and validated filters.
 
 An entity is a dict: entity, kind, table, primary_key, dimensions [column, ...],
-measures [{name, aggregation, source, filter?}], joins [{to, column}] where ``column``
+measures [{name, aggregation, source, filter?, digits?}], joins [{to, column}] where ``column``
 of this entity holds the primary key of the entity ``to``.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions.periods import WINDOW_NAMES, window_span
-from martwright.functions.values import ratio, within
+from martwright.functions.values import ratio, total, whole, within
 
 # How a measure may aggregate and how a filter may compare.
 AGGREGATIONS = ("sum", "count", "min", "max", "avg", "count_distinct")
@@ -44,14 +44,19 @@ def _join_path(entities: dict[str, dict], start: str, goal: str) -> list[dict]:
     raise ValueError(f"no declared join from {start} to {goal}")
 
 
-def _parts(measure: dict) -> tuple[list[Column], list[Column], Column]:
+def _parts(rows: DataFrame, measure: dict) -> tuple[list[Column], list[Column], Column]:
     """Partial aggregates, how to add them up, and the final value of a measure."""
     name, kind = measure["name"], measure["aggregation"]
-    source = F.lit(1) if measure.get("source", "*") == "*" else F.col(measure["source"])
+    source, scale = F.lit(1), 1.0
+    if measure.get("source", "*") != "*":
+        source = F.col(measure["source"])
+        if kind in ("sum", "avg"):
+            source, scale = whole(rows, measure["source"], measure.get("digits"))
     if measure.get("filter"):
         source = F.when(F.expr(measure["filter"]), source)
     if kind == "sum":
-        return [F.sum(source).alias(name)], [F.sum(name).alias(name)], F.col(name).cast("double")
+        value = F.col(name).cast("double") / F.lit(scale)
+        return [F.sum(source).alias(name)], [F.sum(name).alias(name)], value
     if kind == "count":
         return [F.count(source).alias(name)], [F.sum(name).alias(name)], F.col(name)
     if kind in ("min", "max"):
@@ -62,7 +67,7 @@ def _parts(measure: dict) -> tuple[list[Column], list[Column], Column]:
         return (
             [F.sum(source).alias(s), F.count(source).alias(n)],
             [F.sum(s).alias(s), F.sum(n).alias(n)],
-            ratio(F.col(s), F.col(n)),
+            ratio(F.col(s).cast("double") / F.lit(scale), F.col(n)),
         )
     raise ValueError(f"unknown aggregation {kind} of measure {name}")
 
@@ -100,7 +105,7 @@ def measure_by(
     additive = [m for m in wanted if m not in distinct]
     results = []
     if additive:
-        triples = [_parts(m) for m in additive]
+        triples = [_parts(rows, m) for m in additive]
         summed = rows.groupBy(*keys).agg(*[c for t in triples for c in t[0]])
         joined, names = _join_dimensions(summed, known, tables, paths, by)
         final = joined.groupBy(*names).agg(*[c for t in triples for c in t[1]])
@@ -189,7 +194,7 @@ def metric_in_windows(
 ) -> DataFrame:
     """One row per window with its value and rows: one aggregate, a condition per window."""
     spans = {name: within(df, time_column, *window_span(name, as_of)) for name in names}
-    sums = [F.sum(F.when(c, F.col(value))).cast("double").alias(f"v_{n}") for n, c in spans.items()]
+    sums = [total(df, value, c).alias(f"v_{n}") for n, c in spans.items()]
     rows = [F.count_if(c).alias(f"n_{n}") for n, c in spans.items()]
     entries = F.array(
         *[
@@ -215,7 +220,7 @@ def metric_value(
     """The value of one window under checked filters; the window prunes the scan."""
     kept = checked_filter(df.filter(within(df, time_column, *window_span(window, as_of))), filters)
     return kept.agg(
-        F.sum(value).cast("double").alias("value"), F.count(F.lit(1)).alias("row_count")
+        total(kept, value).alias("value"), F.count(F.lit(1)).alias("row_count")
     )
 
 

@@ -147,12 +147,14 @@ def check_value_range(spark: SparkSession, root: str) -> DataFrame:
                 "metric": "order_value",
                 "table": "orders",
                 "value_column": "o_totalprice",
+                "digits": 2,
                 "trust": [{"range": {"min": "1", "max": "10,000,000,000"}}],
             },
             {
                 "metric": "line_value",
                 "table": "lineitem",
                 "value_column": "l_extendedprice",
+                "digits": 2,
                 "trust": [{"range": {"min": 0, "max": "100,000"}}],
             },
         ],
@@ -318,6 +320,7 @@ CONTRACTS = [
         "table": "events",
         "value_column": "value",
         "time_column": "ts",
+        "digits": 2,
         "trust": [
             {"freshness": {"max": "12 hours", "warn": 6}},
             {"null_rate": {"column": "user_id", "max": "0%"}},

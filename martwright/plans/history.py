@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from martwright.functions.values import FAILED, PASSED, WARNING, money
+from martwright.functions.values import FAILED, PASSED, WARNING, total
 from martwright.operators import history
 from martwright.operators.checks import drop_percent
 from martwright.plans import views
@@ -30,14 +30,10 @@ runs AS (
 
 
 def daily_runs(spark: SparkSession, root: str) -> DataFrame:
-    daily = (
-        views.events(spark, root)
-        .groupBy(F.col("event_type").alias("metric_name"), F.col("ts").cast("date").alias("day"))
-        .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.sum(money("value")).cast("double").alias("value_sum"),
-        )
-    )
+    events = views.events(spark, root)
+    daily = events.groupBy(
+        F.col("event_type").alias("metric_name"), F.col("ts").cast("date").alias("day")
+    ).agg(F.count(F.lit(1)).alias("row_count"), total(events, "value").alias("value_sum"))
     # One row per metric and day is left here.
     order = Window.partitionBy("metric_name").orderBy("day")
     dropped = drop_percent(F.col("row_count"), F.lag("row_count").over(order))
@@ -83,17 +79,14 @@ passing AS (
 
 
 def hourly_results(spark: SparkSession, root: str) -> DataFrame:
-    mean = F.sum(money("value")).cast("double") / F.count(F.lit(1))
+    events = views.events(spark, root)
+    mean = total(events, "value") / F.count(F.lit(1))
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
-    measured = (
-        views.events(spark, root)
-        .groupBy(
-            F.col("event_type").alias("metric"),
-            F.lit("mean value").alias("rule"),
-            hour.alias("started_at"),
-        )
-        .agg(mean.alias("mean"), F.count(F.lit(1)).alias("n"))
-    )
+    measured = events.groupBy(
+        F.col("event_type").alias("metric"),
+        F.lit("mean value").alias("rule"),
+        hour.alias("started_at"),
+    ).agg(mean.alias("mean"), F.count(F.lit(1)).alias("n"))
     status = F.when(F.col("mean") < 37, FAILED).when(F.col("mean") < 43, WARNING).otherwise(PASSED)
     return measured.select(
         "metric",

@@ -122,6 +122,6 @@ FROM all_nodes
 """)
 def lineage_upstream(spark: SparkSession, root: str) -> DataFrame:
     metrics = _metrics(spark, root)
-    walk = lineage.upstream(metrics, edges(spark, root))
-    whole = lineage.with_stub(metrics, walk)
+    links = edges(spark, root)
+    whole = lineage.with_stub(metrics, links, lineage.upstream(metrics, links))
     return whole.withColumn("kind", lineage.node_kind(F.split_part("node", F.lit("://"), F.lit(1))))

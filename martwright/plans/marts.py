@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.functions.values import month_of
+from martwright.functions.values import month_of, total
 from martwright.operators import marts
 from martwright.plans import views
 from martwright.plans.registry import query
@@ -92,17 +92,13 @@ WHERE o_totalprice IS NOT NULL AND spent IS NOT NULL
 """)
 def budget_utilisation(spark: SparkSession, root: str) -> DataFrame:
     """Order totals as the budget, line totals as the spending; some orders have no lines."""
-    spent = (
-        read_table(spark, root, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("order_id"))
-        .agg(F.sum(views.net_price()).alias("spent"))
-    )
+    spent = views.line_totals(spark, root).withColumnRenamed("net", "spent")
     budget = (
         views.orders(spark, root)
         .select("order_id", F.col("amount").alias("budgeted"))
         .join(spent, "order_id", "left")
     )
-    return marts.budget_utilisation(budget)
+    return marts.budget_utilisation(budget, 4)
 
 
 @query("""
@@ -117,10 +113,10 @@ SELECT period, value, previous_value,
 FROM lagged
 """)
 def value_change_mom(spark: SparkSession, root: str) -> DataFrame:
+    orders = views.orders(spark, root)
     monthly = (
-        views.orders(spark, root)
-        .filter(F.col("status") == views.PAID)
+        orders.filter(F.col("status") == views.PAID)
         .groupBy(month_of("order_at").alias("period"))
-        .agg(F.sum("amount").cast("double").alias("value"))
+        .agg(total(orders, "amount").alias("value"))
     )
     return marts.period_change(monthly)

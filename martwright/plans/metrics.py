@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.functions.values import money, within
+from martwright.functions.values import rounded, total, within
 from martwright.operators import metrics
 from martwright.plans import views
 from martwright.plans.registry import query
@@ -43,16 +43,15 @@ def gmv(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query(f"""
+@query("""
 SELECT customer_id, order_at, order_id, status, amount FROM (
     SELECT o_custkey AS customer_id, o_orderdate AS order_at, o_orderkey AS order_id,
-           o_orderstatus AS status, CAST({_AMOUNT} AS DOUBLE) AS amount,
+           o_orderstatus AS status, o_totalprice AS amount,
            ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
     FROM orders) WHERE rn = 1
 """)
 def first_order_per_customer(spark: SparkSession, root: str) -> DataFrame:
-    first = metrics.first_order(views.orders(spark, root))
-    return first.withColumn("amount", F.col("amount").cast("double"))
+    return metrics.first_order(views.orders(spark, root))
 
 
 @query("""
@@ -183,7 +182,7 @@ def mrr_by_plan(spark: SparkSession, root: str) -> DataFrame:
     segment = F.col("c_mktsegment")
     subscriptions = read_table(spark, root, "customer").select(
         F.when(segment == "HOUSEHOLD", "trial").otherwise(segment).alias("plan_name"),
-        money("c_acctbal").alias("plan_amount"),
+        F.col("c_acctbal").alias("plan_amount"),
         F.when(F.col("c_acctbal") >= 5000, "annual").otherwise("monthly").alias("billing_interval"),
         F.lit("active").alias("status"),
     )
@@ -322,15 +321,15 @@ def fx_asof_revenue(spark: SparkSession, root: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", "JPY")
     )
     offset = F.date_diff(F.col("ts").cast("date"), F.lit(date(2024, 1, 1)))
-    mean = F.sum(money("value")).cast("double") / F.count(F.lit(1))
+    events = views.events(spark, root)
+    mean = total(events, "value") / F.count(F.lit(1))
     rates = (
-        views.events(spark, root)
-        .filter(F.col("event_type") != "error")
+        events.filter(F.col("event_type") != "error")
         .groupBy(
             code.alias("currency"),
             F.date_add(F.lit(date(1995, 3, 1)), offset * 70).alias("rate_day"),
         )
-        .agg(F.round(mean / 30, 4).cast("decimal(10,4)").alias("rate"))
+        .agg(rounded(mean / 30, 4).cast("decimal(10,4)").alias("rate"))
     )
     orders = (
         views.orders(spark, root)
@@ -341,8 +340,9 @@ def fx_asof_revenue(spark: SparkSession, root: str) -> DataFrame:
         )
     )
     # Refunds take currency and day of their order; combined per order before the join.
-    per_order = views.refunds(spark, root).groupBy("order_id").agg(
-        F.sum("refund_amount").alias("amount")
+    refunds = views.refunds(spark, root)
+    per_order = refunds.groupBy("order_id").agg(
+        total(refunds, "refund_amount", digits=4).alias("amount")
     )
     credits = orders.select("order_id", "currency", "day").join(per_order, "order_id")
     return metrics.usd_revenue(orders, credits, rates)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martwright.functions.values import total
 from martwright.operators import reconcile as ops
 from martwright.plans import views
 from martwright.plans.registry import query
@@ -57,31 +58,26 @@ def reconcile(spark: SparkSession, root: str) -> DataFrame:
     The warehouse has no value for 1996.
     """
     orders = views.orders(spark, root).withColumn("metric", _year("order_at"))
-    total = F.sum("amount").cast("double")
-    known = F.when(F.col("metric") != "revenue_1996", F.col("amount"))
-    warehouse = orders.groupBy("metric").agg(F.sum(known).cast("double").alias("value"))
-    lines = (
-        read_table(spark, root, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("order_id"))
-        .agg(F.sum(views.net_price()).alias("net"))
-    )
+    known = total(orders, "amount", F.col("metric") != "revenue_1996")
+    warehouse = orders.groupBy("metric").agg(known.alias("value"))
+    lines = views.line_totals(spark, root)
     fine = F.lit(None).cast("string").alias("error")
     invoiced = (
         orders.join(lines, "order_id")
         .groupBy("metric")
-        .agg(F.sum("net").cast("double").alias("value"))
+        .agg(total(lines, "net", digits=4).alias("value"))
         .select("metric", F.lit("invoice_lines").alias("source"), "value", fine)
     )
-    settled = F.when((F.col("priority") != "5-LOW") | (F.col("status") != "P"), F.col("amount"))
+    settled = (F.col("priority") != "5-LOW") | (F.col("status") != "P")
     report = (
         orders.groupBy("metric")
-        .agg(F.sum(settled).cast("double").alias("value"))
+        .agg(total(orders, "amount", settled).alias("value"))
         .select("metric", F.lit("settled_report").alias("source"), "value", fine)
     )
     broken = F.col("metric") == "revenue_2001"
     old = (
         orders.groupBy("metric")
-        .agg(total.alias("total"))
+        .agg(total(orders, "amount").alias("total"))
         .select(
             "metric",
             F.lit("old_report").alias("source"),
@@ -112,21 +108,24 @@ def reconcile_by_dim(spark: SparkSession, root: str) -> DataFrame:
 
     Facts are summed by customer and by supplier before they meet the dimensions.
     """
-    per_customer = views.orders(spark, root).groupBy("customer_id").agg(F.sum("amount").alias("v"))
+    orders = views.orders(spark, root)
+    per_customer = orders.groupBy("customer_id").agg(total(orders, "amount").alias("v"))
     customer = read_table(spark, root, "customer").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("nation")
     )
-    per_supplier = (
-        read_table(spark, root, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("supplier_id"))
-        .agg(F.sum(views.net_price()).alias("v"))
+    lines = read_table(spark, root, "lineitem").select(
+        F.col("l_suppkey").alias("supplier_id"), views.net_price().alias("net")
     )
+    per_supplier = lines.groupBy("supplier_id").agg(total(lines, "net", digits=4).alias("v"))
     supplier = read_table(spark, root, "supplier").select(
         F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").alias("nation")
     )
-    value = F.sum("v").cast("double").alias("value")
     return ops.reconcile_by_dimension(
-        per_customer.join(customer, "customer_id").groupBy("nation").agg(value),
-        per_supplier.join(supplier, "supplier_id").groupBy("nation").agg(value),
+        per_customer.join(customer, "customer_id")
+        .groupBy("nation")
+        .agg(total(per_customer, "v").alias("value")),
+        per_supplier.join(supplier, "supplier_id")
+        .groupBy("nation")
+        .agg(total(per_supplier, "v", digits=4).alias("value")),
         ["nation"],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.functions.periods import WINDOW_NAMES, window_span
+from martwright.functions.values import total
 from martwright.operators import history, semantic
 from martwright.plans import views
 from martwright.plans.history import _RUNS_SQL, daily_runs
@@ -26,10 +27,16 @@ ENTITIES = [
         "primary_key": "order_id",
         "dimensions": ["status", "priority"],
         "measures": [
-            {"name": "revenue", "aggregation": "sum", "source": "amount", "filter": "status = 'F'"},
+            {
+                "name": "revenue",
+                "aggregation": "sum",
+                "source": "amount",
+                "filter": "status = 'F'",
+                "digits": 2,
+            },
             {"name": "orders", "aggregation": "count", "source": "*"},
-            {"name": "largest_order", "aggregation": "max", "source": "amount_double"},
-            {"name": "avg_order", "aggregation": "avg", "source": "amount"},
+            {"name": "largest_order", "aggregation": "max", "source": "amount"},
+            {"name": "avg_order", "aggregation": "avg", "source": "amount", "digits": 2},
             {
                 "name": "buyers",
                 "aggregation": "count_distinct",
@@ -69,9 +76,8 @@ ENTITIES = [
 
 
 def _tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    orders = views.orders(spark, root).withColumn("amount_double", F.col("amount").cast("double"))
     dims = {t: read_table(spark, root, t) for t in ("customer", "nation", "region")}
-    return {"orders": orders, **dims}
+    return {"orders": views.orders(spark, root), **dims}
 
 
 _STAR = """
@@ -168,10 +174,8 @@ FROM v LEFT JOIN latest l ON l.metric_name = v.metric_name
 """)
 def metric_with_trust(spark: SparkSession, root: str) -> DataFrame:
     """Total value per event type; the query of one type has failed and its stored value is given."""
-    amount = F.when(F.col("event_type") != "error", F.col("value").cast("decimal(12,2)"))
-    values = (
-        views.events(spark, root)
-        .groupBy(F.col("event_type").alias("metric_name"))
-        .agg(F.sum(amount).cast("double").alias("value"))
+    events = views.events(spark, root)
+    values = events.groupBy(F.col("event_type").alias("metric_name")).agg(
+        total(events, "value", F.col("event_type") != "error").alias("value")
     )
     return semantic.answer_with_trust(values, history.latest_run(daily_runs(spark, root)))

@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.functions.values import money
+from martwright.functions.values import money, total
 from martwright.session import read_table
 
 # "Now" of the data: every query gets it as a literal.
@@ -38,7 +38,7 @@ def orders(spark: SparkSession, root: str) -> DataFrame:
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderstatus").alias("status"),
-        money("o_totalprice").alias("amount"),
+        F.col("o_totalprice").alias("amount"),
         F.col("o_orderdate").alias("order_at"),
         F.col("o_orderpriority").alias("priority"),
     )
@@ -94,8 +94,8 @@ refunds_v AS (
 
 
 def net_price() -> Column:
-    """Line price after discount, exact to four digits."""
-    return money("l_extendedprice") * (F.lit(1) - money("l_discount", 5, 2))
+    """Line price after discount: four digits."""
+    return F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
 
 
 def refunds(spark: SparkSession, root: str) -> DataFrame:
@@ -106,13 +106,21 @@ def refunds(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def line_totals(spark: SparkSession, root: str) -> DataFrame:
+    """Net line value per order, exact to four digits."""
+    lines = read_table(spark, root, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), net_price().alias("net")
+    )
+    return lines.groupBy("order_id").agg(total(lines, "net", digits=4).alias("net"))
+
+
 def invoices(spark: SparkSession, root: str) -> DataFrame:
     net = net_price()
     return read_table(spark, root, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linestatus").alias("invoice_status"),
         net.alias("net_amount"),
-        (net * money("l_tax", 5, 2)).alias("tax"),
+        (net * F.col("l_tax")).alias("tax"),
     )
 
 

@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.numRecentProgressUpdates": "10000",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -64,23 +64,20 @@ def last_days(df: DataFrame, column: str, as_of: datetime, days: int = 7) -> Dat
 
 
 def latest_per_key(df: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
-    """One row per key, first in the order ``newest``.
+    """One row per key, first by ``newest`` descending.
 
-    A max over a struct combines on the map side, so a key that holds a large part
-    of the rows sends one row per map task.
+    The rank filter is applied in each map task before the shuffle, so a key that holds
+    a large part of the rows sends one row per task.
+    """
+    order = Window.partitionBy(*keys).orderBy(*[c.desc() for c in newest])
+    return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+
+
+def merged(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Upsert: stored rows whose key does not come again, plus ``incoming``, one row per key.
+
+    A small batch is broadcast by its size, and then the stored rows are not shuffled.
     """
-    rest = [c for c in df.columns if c not in keys]
-    chosen = F.max_by(F.struct(*rest), F.struct(*newest)).alias("_row")
-    return df.groupBy(*keys).agg(chosen).select(*keys, "_row.*").select(*df.columns)
-
-
-def merged(
-    stored: DataFrame | None, incoming: DataFrame, keys: list[str], newest: list[Column]
-) -> DataFrame:
-    """Upsert: stored rows whose key does not come again, plus the latest incoming row per key."""
-    incoming = latest_per_key(incoming, keys, newest)
-    if stored is None:
-        return incoming
     kept = stored.join(incoming.select(*keys), keys, "left_anti").select(*stored.columns)
     return kept.unionByName(incoming)
 
@@ -118,15 +115,17 @@ def load(
             raise ValueError("merge needs a primary_key")
         # A row newer in load time wins; further columns settle equal load times.
         order = [F.col(c) for c in ["_loaded_at", *(newest or [])]]
-        batch = cut_lineage(incoming)
-        narrow = bool(parts) and set(parts) <= set(primary_key) and stored is not None
-        if narrow:
-            stored = stored.join(batch.select(*parts).distinct(), parts, "left_semi")
-        result = merged(stored, batch, primary_key, order)
-        if stored is not None:
+        batch = latest_per_key(incoming, primary_key, order)
+        if stored is None:
+            _overwrite(batch, path, parts, "static")
+        else:
+            batch = cut_lineage(batch)
+            narrow = bool(parts) and set(parts) <= set(primary_key)
+            if narrow:
+                stored = stored.join(batch.select(*parts).distinct(), parts, "left_semi")
             # The table is read and rewritten, so the result is written aside in between.
-            result = cut_lineage(result)
-        _overwrite(result, path, parts, "dynamic" if narrow else "static")
+            result = cut_lineage(merged(stored, batch, primary_key))
+            _overwrite(result, path, parts, "dynamic" if narrow else "static")
     added = int(counted.get["rows"])
     return LoadResult(path, mode, added, spark.read.parquet(path).count())
 
