@@ -1,7 +1,8 @@
 """Times the registered queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up, then BENCH_RUNS (3) times; the median counts. A result
-is written to the noop sink, so that every row and column is computed.
+One pass over all queries warms the session, then BENCH_RUNS (3) passes are timed; the
+median per query counts. A result is written to the noop sink, so that every row and
+column is computed.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ def main() -> None:
             "spark.log.level": "OFF",
         },
     )
-    timings = {}
-    for name in names:
-        taken = []
-        for _ in range(runs + 1):
+    taken: dict[str, list[float]] = {name: [] for name in names}
+    for _ in range(runs + 1):
+        for name in names:
             start = time.perf_counter()
             REGISTRY[name].build(spark, root).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - start)
-        timings[name] = round(statistics.median(taken[1:]), 4)
+            taken[name].append(time.perf_counter() - start)
+    timings = {name: round(statistics.median(t[1:]), 4) for name, t in taken.items()}
     print(
         json.dumps(
             {

@@ -208,7 +208,10 @@ def results(findings: DataFrame) -> DataFrame:
         .when(~F.col("calm"), WARNING)
         .otherwise(PASSED)
     )
-    shown = F.concat(F.format_string("%.1f", "actual_value"), F.col("unit"))
+    shown = F.when(
+        F.col("actual_value").isNotNull(),
+        F.concat(F.format_string("%.1f", "actual_value"), F.col("unit")),
+    )
     return findings.withColumn("status", status).select(
         "metric",
         "rule_type",

@@ -36,10 +36,10 @@ def run_snapshot(
     digits: int | None = 2,
 ) -> DataFrame:
     """What a run stores about its table, in one pass."""
-    means = [
-        F.format_string("%.4f", ratio(total(df, c, digits=digits), F.count(c))).alias(c)
-        for c in mean_columns
-    ]
+    means = []
+    for c in mean_columns:
+        mean = ratio(total(df, c, digits=digits), F.count(c))
+        means.append(F.when(mean.isNotNull(), F.format_string("%.4f", mean)).alias(c))
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         total(df, value_column, digits=digits).alias("value_sum"),

@@ -160,9 +160,9 @@ BILLING_INTERVALS = ("monthly", "annual")
 
 
 def recurring_revenue(
-    subscriptions: DataFrame, annual_is_monthly_equiv: bool = False
+    subscriptions: DataFrame, annual_is_monthly_equiv: bool = False, by_plan: bool = True
 ) -> DataFrame:
-    """Monthly recurring revenue per plan; annual charges count a twelfth.
+    """Monthly recurring revenue per plan or in total; annual charges count a twelfth.
 
     Monthly and annual charges are summed apart and divided last.
     """
@@ -175,9 +175,10 @@ def recurring_revenue(
     months = 1 if annual_is_monthly_equiv else 12
     annual = F.coalesce(total(paying, "plan_amount", yearly), F.lit(0.0))
     monthly = F.coalesce(total(paying, "plan_amount", ~yearly), F.lit(0.0))
-    return paying.groupBy(F.col("plan_name").alias("plan")).agg(
+    plans = [F.col("plan_name").alias("plan")] if by_plan else []
+    return paying.groupBy(*plans).agg(
         F.count(F.lit(1)).alias("subscriptions"),
-        rounded(monthly + annual / months, 2).alias("mrr"),
+        (monthly + annual / months).alias("mrr"),
     )
 
 

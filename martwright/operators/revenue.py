@@ -6,6 +6,7 @@ orders and one over the refunds, whatever their number.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
@@ -69,6 +70,10 @@ def _all_met(conditions: dict[str, Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions.values())
 
 
+def _any_met(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def _first_failed(conditions: dict[str, Column]) -> Column:
     reason = F.lit(None).cast("string")
     for choice in reversed(CHOICES):
@@ -108,13 +113,11 @@ def definition_values(
 ) -> DataFrame:
     """One row with one column per definition; NULL when no order qualifies."""
     scope = _in_scope(orders, definitions, month, as_of)
-    flagged = scope.select(
+    counts = {d: _all_met(_conditions(scope, d, month, as_of)) for d in definitions}
+    flagged = scope.filter(_any_met(counts.values())).select(
         "order_id",
-        *[
-            F.when(_all_met(_conditions(scope, d, month, as_of)), _gross(d)).alias(d.name)
-            for d in definitions
-        ],
-        *[_all_met(_conditions(scope, d, month, as_of)).alias(f"in_{d.name}") for d in definitions],
+        *[F.when(inside, _gross(d)).alias(d.name) for d, inside in counts.items()],
+        *[inside.alias(f"in_{d.name}") for d, inside in counts.items()],
     )
     if any(d.net for d in definitions):
         flagged = flagged.join(_refund_per_order(refunds), "order_id", "left")
@@ -182,10 +185,11 @@ def definition_gap(
         value = F.coalesce(_gross(d), F.lit(0))
         return F.when(inside, value - refund if d.net else value).otherwise(F.lit(0))
 
-    entries = []
+    entries, counted = [], [in_base]
     for d in definitions:
         tests = _conditions(scope, d, month, as_of)
         inside = _all_met(tests)
+        counted.append(inside)
         reason = (
             F.when(inside & ~in_base, _first_failed(base))
             .when(in_base & ~inside, _first_failed(tests))
@@ -199,7 +203,8 @@ def definition_gap(
             )
         )
     return (
-        scope.join(_refund_per_order(refunds), "order_id", "left")
+        scope.filter(_any_met(counted))
+        .join(_refund_per_order(refunds), "order_id", "left")
         .select(F.inline(F.array(*entries)))
         .filter(F.col("reason").isNotNull())
         .groupBy("definition", "reason")

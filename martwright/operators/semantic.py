@@ -86,7 +86,7 @@ def measure_by(
     be added up; they are reduced to distinct (keys, source) rows instead.
     """
     known = {e["entity"]: e for e in entities}
-    declared = {m["name"]: m for m in known[fact]["measures"]}
+    declared = {m["name"]: m for m in known[fact].get("measures", [])}
     unknown = [m for m in measures if m not in declared]
     if unknown:
         raise ValueError(f"no measure {', '.join(unknown)} on {fact}")

@@ -171,10 +171,10 @@ WITH sub AS (
            CASE WHEN c_acctbal >= 5000 THEN 'annual' ELSE 'monthly' END AS billing_interval
     FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')
 SELECT plan, COUNT(*) AS subscriptions,
-       ROUND(COALESCE(CAST(SUM(CASE WHEN billing_interval <> 'annual' THEN plan_amount END)
-                           AS DOUBLE), 0.0)
-             + COALESCE(CAST(SUM(CASE WHEN billing_interval = 'annual' THEN plan_amount END)
-                             AS DOUBLE), 0.0) / 12, 2) AS mrr
+       COALESCE(CAST(SUM(CASE WHEN billing_interval <> 'annual' THEN plan_amount END)
+                     AS DOUBLE), 0.0)
+       + COALESCE(CAST(SUM(CASE WHEN billing_interval = 'annual' THEN plan_amount END)
+                       AS DOUBLE), 0.0) / 12 AS mrr
 FROM sub GROUP BY 1
 """)
 def mrr_by_plan(spark: SparkSession, root: str) -> DataFrame:

@@ -18,6 +18,7 @@ def spark():
             "spark.driver.memory": "8g",
             "spark.driver.host": "localhost",
             "spark.log.level": "ERROR",
+            "spark.sql.maxMetadataStringLength": "10000",
         },
     )
     yield session
