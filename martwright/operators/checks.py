@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from martwright.functions.ordered import with_previous
 from martwright.functions.periods import as_day, period_span
 from martwright.functions.values import (
     ERROR,
@@ -297,24 +298,21 @@ def fingerprint(history: DataFrame) -> DataFrame:
 def schema_drift(history: DataFrame) -> DataFrame:
     """Columns added, removed or retyped against the previous run of the metric.
 
-    ``history`` holds (metric, run, column_name, column_type). A metric's first run has
-    no baseline and reports nothing.
+    ``history`` holds (metric, run, column_name, column_type) with a growing run number. A
+    metric's first run has no baseline and reports nothing.
     """
     runs = history.select("metric", "run").distinct()
-    order = Window.partitionBy("metric").orderBy("run")
-    steps = (
-        runs.withColumn("next_run", F.lead("run").over(order))
-        .filter(F.col("next_run").isNotNull())
+    chunk = F.floor(F.col("run") / 1024)
+    steps = with_previous(runs, ["metric"], "run", F.col("run"), chunk, "previous_run").filter(
+        F.col("previous_run").isNotNull()
     )
-    before = history.join(steps, ["metric", "run"]).select(
-        "metric",
-        F.col("next_run").alias("run"),
-        "column_name",
-        F.col("column_type").alias("old_type"),
+    before = (
+        history.withColumnRenamed("run", "previous_run")
+        .join(steps, ["metric", "previous_run"])
+        .select("metric", "run", "column_name", F.col("column_type").alias("old_type"))
     )
-    after = history.join(
-        steps.select("metric", F.col("next_run").alias("run")), ["metric", "run"], "left_semi"
-    ).withColumnRenamed("column_type", "new_type")
+    after = history.join(steps.select("metric", "run"), ["metric", "run"], "left_semi")
+    after = after.withColumnRenamed("column_type", "new_type")
     change = (
         F.when(F.col("old_type").isNull(), "added")
         .when(F.col("new_type").isNull(), "removed")

@@ -54,7 +54,6 @@ def with_stub(metrics: DataFrame, edges: DataFrame, walk: DataFrame) -> DataFram
 
     ``metrics`` holds (metric, primary_table).
     """
-    led_to = edges.filter("upstream <> downstream").select(F.col("downstream").alias("metric"))
-    bare = metrics.join(led_to, "metric", "left_anti")
+    bare = metrics.join(edges.select(F.col("downstream").alias("metric")), "metric", "left_anti")
     stubs = bare.select("metric", F.col("primary_table").alias("node"), F.lit(1).alias("hops"))
     return walk.unionByName(stubs)

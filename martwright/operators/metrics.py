@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from martwright.functions.percentiles import exact_percentile
 from martwright.functions.periods import period_span
+from martwright.functions.skew import salted_join
 from martwright.functions.values import (
     day_literal,
     exact_decimal,
@@ -258,12 +259,13 @@ def response_time_p50(
     """Median minutes from the opening of a ticket to its first response.
 
     ``tickets`` (ticket_id, opened_at) is unique by ticket. Responses are reduced to
-    the first one after the opening per ticket; tickets without one do not count.
+    the first one after the opening per ticket; tickets without one do not count. The
+    minimum is taken per salt first, so a ticket with very many responses is split.
     """
     opened = tickets.filter(within(tickets, "opened_at", as_of - timedelta(days=days), as_of))
+    answers = responses.select("ticket_id", "responded_at")
     first = (
-        responses.select("ticket_id", "responded_at")
-        .join(opened, "ticket_id")
+        salted_join(answers, opened, ["ticket_id"], F.col("responded_at"))
         .filter(F.col("responded_at") > F.col("opened_at"))
         .groupBy("ticket_id", "opened_at")
         .agg(F.min("responded_at").alias("responded_at"))
@@ -308,7 +310,17 @@ def usd_revenue(
     daily = signed.groupBy("currency", "day").agg(
         exact_decimal(signed, "amount", 4).alias("net"), F.count(F.lit(1)).alias("entries")
     )
-    converted_days = daily.join(rates_by_day(daily, rates), ["currency", "day"], "left")
+    # One timeline per currency: on the same day the rate comes before the amount.
+    quoted = rates.select("currency", F.col("rate_day").alias("day"), "rate")
+    timeline = Window.partitionBy("currency").orderBy("day", F.col("entries").isNotNull())
+    carried = F.last("rate", ignorenulls=True).over(
+        timeline.rowsBetween(Window.unboundedPreceding, 0)
+    )
+    converted_days = (
+        daily.unionByName(quoted, allowMissingColumns=True)
+        .withColumn("rate", carried)
+        .filter(F.col("entries").isNotNull())
+    )
     rate = F.when(F.col("currency") == base_currency, F.lit(1).cast("decimal(10,4)")).otherwise(
         F.col("rate")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from martwright.functions.values import total
 from martwright.operators import reconcile as ops
 from martwright.plans import views
 from martwright.plans.registry import query
-from martwright.session import read_table
+from martwright.session import cut_lineage, read_table
 
 _NET = "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(5,2)))"
 _BAND = (
@@ -58,35 +60,35 @@ def reconcile(spark: SparkSession, root: str) -> DataFrame:
     The warehouse has no value for 1996.
     """
     orders = views.orders(spark, root).withColumn("metric", _year("order_at"))
-    known = total(orders, "amount", F.col("metric") != "revenue_1996")
-    warehouse = orders.groupBy("metric").agg(known.alias("value"))
+    settled = (F.col("priority") != "5-LOW") | (F.col("status") != "P")
+    # All figures over orders come from one scan; the few yearly rows are stored.
+    yearly = cut_lineage(
+        orders.groupBy("metric").agg(
+            total(orders, "amount", F.col("metric") != "revenue_1996").alias("warehouse"),
+            total(orders, "amount", settled).alias("settled_report"),
+            total(orders, "amount", F.col("metric") != "revenue_2001").alias("old_report"),
+        )
+    )
     lines = views.line_totals(spark, root)
-    fine = F.lit(None).cast("string").alias("error")
     invoiced = (
-        orders.join(lines, "order_id")
+        orders.select("order_id", "metric")
+        .join(lines, "order_id")
         .groupBy("metric")
         .agg(total(lines, "net", digits=4).alias("value"))
-        .select("metric", F.lit("invoice_lines").alias("source"), "value", fine)
-    )
-    settled = (F.col("priority") != "5-LOW") | (F.col("status") != "P")
-    report = (
-        orders.groupBy("metric")
-        .agg(total(orders, "amount", settled).alias("value"))
-        .select("metric", F.lit("settled_report").alias("source"), "value", fine)
-    )
-    broken = F.col("metric") == "revenue_2001"
-    old = (
-        orders.groupBy("metric")
-        .agg(total(orders, "amount").alias("total"))
-        .select(
-            "metric",
-            F.lit("old_report").alias("source"),
-            F.when(~broken, F.col("total")).alias("value"),
-            F.when(broken, "report not available").alias("error"),
-        )
     )
-    external = invoiced.unionByName(report).unionByName(old)
-    return ops.reconcile(warehouse, warehouse, external)
+    fine = F.lit(None).cast("string")
+    broken = F.when(F.col("metric") == "revenue_2001", "report not available")
+    parts = [
+        invoiced.select("metric", F.lit("invoice_lines").alias("source"), "value", fine.alias("error")),
+        *[
+            yearly.select(
+                "metric", F.lit(c).alias("source"), F.col(c).alias("value"), error.alias("error")
+            )
+            for c, error in (("settled_report", fine), ("old_report", broken))
+        ],
+    ]
+    warehouse = yearly.select("metric", F.col("warehouse").alias("value"))
+    return ops.reconcile(warehouse, warehouse, reduce(DataFrame.unionByName, parts))
 
 
 @query(f"""

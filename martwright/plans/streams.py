@@ -11,6 +11,11 @@ from martwright.session import scratch_dir
 from martwright.streaming.streams import stream_append, stream_daily_checks
 
 
+def _source(root: str) -> str:
+    """A pattern, so that the table may be one file or a folder of files."""
+    return f"{root}/events.parquet*"
+
+
 @query("SELECT *, TIMESTAMP '2024-01-31 00:00:00' AS _loaded_at FROM events")
 def stream_append_ingest(spark: SparkSession, root: str) -> DataFrame:
     """The second run finds no new file and adds nothing."""
@@ -19,12 +24,11 @@ def stream_append_ingest(spark: SparkSession, root: str) -> DataFrame:
     for _ in range(2):
         stream_append(
             spark,
-            root,
+            _source(root),
             schema,
             f"{folder}/raw_events",
             f"{folder}/checkpoint",
             FIRST,
-            glob="events.parquet",
         )
     return spark.read.parquet(f"{folder}/raw_events")
 
@@ -38,10 +42,9 @@ def stream_daily_volume(spark: SparkSession, root: str) -> DataFrame:
     folder = scratch_dir(spark, "stream_daily")
     stream_daily_checks(
         spark,
-        root,
+        _source(root),
         views.events(spark, root).schema,
         f"{folder}/daily",
         f"{folder}/checkpoint",
-        glob="events.parquet",
     )
     return spark.read.parquet(f"{folder}/daily")

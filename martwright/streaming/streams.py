@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamReader, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from martwright.sources.files import stamp_loaded
 
@@ -26,11 +26,6 @@ def utc_instant(column: str) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col(column)))
 
 
-def _watch(spark: SparkSession, schema: T.StructType, glob: str | None) -> DataStreamReader:
-    reader = spark.readStream.schema(schema)
-    return reader.option("pathGlobFilter", glob) if glob else reader
-
-
 def _finish(query: StreamingQuery) -> StreamRun:
     query.awaitTermination()
     rows = late = 0
@@ -49,10 +44,9 @@ def stream_append(
     checkpoint: str,
     as_of: datetime,
     file_format: str = "parquet",
-    glob: str | None = None,
 ) -> StreamRun:
     """Append the files of the folder not loaded yet, then stop. A second run adds nothing."""
-    reader = _watch(spark, schema, glob).format(file_format)
+    reader = spark.readStream.schema(schema).format(file_format)
     if file_format == "csv":
         reader = reader.option("header", True).option("escape", '"')
     rows = stamp_loaded(reader.load(source), as_of)
@@ -73,7 +67,6 @@ def stream_daily_checks(
     time_column: str = "ts",
     value_column: str = "value",
     delay: str = "1 hour",
-    glob: str | None = None,
 ) -> StreamRun:
     """Rows, NULL values and newest time per day, kept up to date in ``target``.
 
@@ -82,7 +75,7 @@ def stream_daily_checks(
     than the watermark are counted in the returned run.
     """
     events = (
-        _watch(spark, schema, glob)
+        spark.readStream.schema(schema)
         .parquet(source)
         .withColumn("_at", utc_instant(time_column))
         .withWatermark("_at", delay)
