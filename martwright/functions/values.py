@@ -86,11 +86,11 @@ def month_of(column: Column | str) -> Column:
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """NULL instead of a division by zero."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return F.try_divide(numerator.cast("double"), denominator)
 
 
 def percent(numerator: Column, denominator: Column) -> Column:
-    return F.try_divide(F.lit(100.0) * numerator.cast("double"), denominator.cast("double"))
+    return F.try_divide(F.lit(100.0) * numerator, denominator)
 
 
 def rounded(value: Column, digits: int) -> Column:
@@ -101,13 +101,7 @@ def rounded(value: Column, digits: int) -> Column:
 
 def change_percent(current: Column, previous: Column) -> Column:
     """Signed change against the previous value on the 0-100 scale; NULL without a baseline."""
-    current, previous = current.cast("double"), previous.cast("double")
-    return F.try_divide(F.lit(100.0) * (current - previous), previous)
-
-
-def share_where(condition: Column) -> Column:
-    """Percent of rows that meet ``condition`` (NULL counts as not met)."""
-    return percent(F.count_if(condition), F.count(F.lit(1)))
+    return percent(current - previous, previous)
 
 
 def severity(status: Column) -> Column:

@@ -190,9 +190,9 @@ def finding(
     return F.struct(
         F.lit(rule.metric).alias("metric"),
         F.lit(rule.rule_type).alias("rule_type"),
-        F.lit(rule.column_name).cast("string").alias("column_name"),
+        _literal(rule.column_name, "string").alias("column_name"),
         actual.cast("double").alias("actual_value"),
-        F.lit(limit).cast("double").alias("threshold"),
+        _literal(limit, "double").alias("threshold"),
         met.alias("met"),
         (F.lit(True) if calm is None else calm).alias("calm"),
         F.lit(missing).alias("missing"),
@@ -201,6 +201,11 @@ def finding(
     )
 
 
+def _literal(value: str | float | None, kind: str) -> Column:
+    return F.lit(None).cast(kind) if value is None else F.lit(value)
+
+
+
 def results(findings: DataFrame) -> DataFrame:
     """The common output of every check."""
     status = (

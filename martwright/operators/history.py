@@ -117,21 +117,16 @@ def run_status_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("triggered_by", "status").agg(F.count(F.lit(1)).alias("runs"))
 
 
-def status_streaks(
-    results: DataFrame, statuses: tuple[str, ...], least: int, chunk: Column | None = None
-) -> DataFrame:
-    """Unbroken stretches of at least ``least`` runs whose status is in ``statuses``.
+def status_streaks(results: DataFrame, least: int, chunk: Column | None = None) -> DataFrame:
+    """Unbroken stretches of at least ``least`` runs of equal status.
 
     ``results`` holds (metric, rule, started_at, status). Runs of one rule are split
     by month unless another ``chunk`` is given.
     """
     chunk = F.trunc(F.col("started_at").cast("date"), "month") if chunk is None else chunk
-    flagged = results.select("metric", "rule", "started_at", F.col("status").isin(*statuses).alias("hit"))
-    return (
-        islands(flagged, ["metric", "rule"], "started_at", "hit", chunk)
-        .filter(F.col("hit") & (F.col("runs") >= least))
-        .drop("hit")
-    )
+    runs = results.select("metric", "rule", "started_at", "status")
+    stretches = islands(runs, ["metric", "rule"], "started_at", "status", chunk)
+    return stretches.filter(F.col("runs") >= least)
 
 
 # An issue opens after this many failed runs in a row and closes after
@@ -148,7 +143,8 @@ def issue_title() -> Column:
 def failing_streaks(results: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Failing streaks as issue rows; the key is equal for all streaks of one rule."""
     title = issue_title()
-    return status_streaks(results, (FAILED,), STREAK_LENGTH, chunk).select(
+    failing = status_streaks(results, STREAK_LENGTH, chunk).filter(F.col("status") == FAILED)
+    return failing.select(
         "metric",
         "rule",
         "streak_start",
@@ -161,14 +157,15 @@ def failing_streaks(results: DataFrame, chunk: Column | None = None) -> DataFram
 
 def recovered_streaks(results: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Per metric and rule with a failing streak: the first passing streak after the last one."""
+    streaks = status_streaks(results, STREAK_LENGTH, chunk)
     failing = (
-        status_streaks(results, (FAILED,), STREAK_LENGTH, chunk)
+        streaks.filter(F.col("status") == FAILED)
         .groupBy("metric", "rule")
         .agg(F.max("streak_end").alias("failed_until"))
     )
-    passing = status_streaks(results, (PASSED,), STREAK_LENGTH, chunk)
     return (
-        passing.join(failing, ["metric", "rule"])
+        streaks.filter(F.col("status") == PASSED)
+        .join(failing, ["metric", "rule"])
         .filter(F.col("streak_start") > F.col("failed_until"))
         .groupBy("metric", "rule")
         .agg(

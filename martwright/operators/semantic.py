@@ -119,19 +119,11 @@ def measure_by(
         joined, names = _join_dimensions(reduced, known, tables, paths, by)
         results.append(joined.groupBy(*names).agg(F.count_distinct("_held").alias(m["name"])))
     names = [c for c in results[0].columns if c not in measures]
-    whole = reduce(lambda a, b: _join_null_safe(a, b, names), results)
-    return whole.select(*names, *measures)
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Small group rows side by side; a NULL group meets the NULL group."""
-    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[
-        c for c in right.columns if c not in keys
-    ])
-    same = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.lit(True)
-    )
-    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
+    if len(results) == 1:
+        return results[0].select(*names, *measures)
+    # Each part holds its own measures, one row per group; stacking them needs no join.
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
+    return stacked.groupBy(*names).agg(*[F.max(m).alias(m) for m in measures])
 
 
 def _join_dimensions(
@@ -173,9 +165,10 @@ def _join_dimensions(
         name = f"{owner}_{column}"
         names.append(name)
         columns.append(F.col(f"{owner}__{column}" if path else column).alias(name))
-    keep = [c for c in summed.columns if c not in {p[0]["column"] for p in paths if p}]
-    keep = [c for c in keep if c not in [d.partition(".")[2] for d, p in zip(by, paths, strict=True) if not p]]
-    return frame.select(*columns, *keep), names
+    grouped_by = {
+        p[0]["column"] if p else d.partition(".")[2] for p, d in zip(paths, by, strict=True)
+    }
+    return frame.select(*columns, *[c for c in summed.columns if c not in grouped_by]), names
 
 
 def checked_filter(df: DataFrame, filters: list[dict]) -> DataFrame:

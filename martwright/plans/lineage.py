@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.operators import lineage
-from martwright.plans import views
 from martwright.plans.registry import query
 from martwright.session import cut_lineage, read_table
 

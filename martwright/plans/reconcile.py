@@ -79,7 +79,9 @@ def reconcile(spark: SparkSession, root: str) -> DataFrame:
     fine = F.lit(None).cast("string")
     broken = F.when(F.col("metric") == "revenue_2001", "report not available")
     parts = [
-        invoiced.select("metric", F.lit("invoice_lines").alias("source"), "value", fine.alias("error")),
+        invoiced.select(
+            "metric", F.lit("invoice_lines").alias("source"), "value", fine.alias("error")
+        ),
         *[
             yearly.select(
                 "metric", F.lit(c).alias("source"), F.col(c).alias("value"), error.alias("error")

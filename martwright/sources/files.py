@@ -91,8 +91,3 @@ def scan_source(spark: SparkSession, spec: dict) -> DataFrame:
 def stamp_loaded(df: DataFrame, as_of: datetime) -> DataFrame:
     """Add the load time (not the time of the source)."""
     return df.withColumn("_loaded_at", instant(as_of))
-
-
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Inline rows for seeds and tests."""
-    return spark.createDataFrame(rows, schema)

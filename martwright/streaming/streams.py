@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from martwright.functions.values import PASSED, WARNING, instant
 from martwright.sources.files import stamp_loaded
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -21,6 +22,13 @@ class StreamRun:
     rows_too_late: int
 
 
+def run_row(spark: SparkSession, name: str, run: StreamRun, as_of: datetime) -> DataFrame:
+    """The outcome of a stream as a run row, so that rows lost to the watermark are on record."""
+    rows = [(name, WARNING if run.rows_too_late else PASSED, run.rows_in, run.rows_too_late)]
+    schema = "metric_name string, status string, row_count bigint, rows_too_late bigint"
+    return spark.createDataFrame(rows, schema).withColumn("started_at", instant(as_of))
+
+
 def utc_instant(column: str) -> Column:
     """A zone-free time read as UTC: watermarks and windows need an instant."""
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col(column)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from martwright.functions import periods, values
 from martwright.functions.ordered import islands, with_previous, with_running_sum
 from martwright.functions.percentiles import exact_percentile
+from martwright.functions.skew import salted_join
 
 AS_OF = date(2024, 5, 16)
 
@@ -162,6 +163,16 @@ def test_exact_percentile_of_nothing_and_of_one_hot_value(spark):
     assert exact_percentile(hot, F.col("v"), 0.5, "p").first()["p"] == 7
 
 
+def test_salted_join_is_a_plain_join(spark):
+    large = spark.range(1000).select(
+        F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+    )
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (500, "c"), (5000, "d")], "k bigint, w string")
+    salted = salted_join(large, small, ["k"], F.col("v"), 7)
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, large.join(small, "k").collect()))
+    assert salted.count() == 801
+
+
 def test_moment_takes_the_type_of_the_column(spark):
     rows = spark.sql("SELECT DATE'2024-01-01' AS d, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS t")
     for column in ("d", "t"):

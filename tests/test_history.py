@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martwright.operators import history, lineage, reconcile, semantic
-from martwright.streaming.streams import stream_append, stream_daily_checks
+from martwright.streaming.streams import run_row, stream_append, stream_daily_checks
 
 DAY = datetime(2024, 1, 1)
 
@@ -198,6 +198,8 @@ def test_measures_follow_declared_joins(star):
     assert got == {"L": (30.5, 3, 12.5, 7.0, 2), None: (1.0, 1, 1.0, 1.0, 1)}
     total = semantic.measure_by(ENTITIES, star, "sale", ["revenue"], []).collect()
     assert [tuple(r) for r in total] == [(31.5,)]
+    both = semantic.measure_by(ENTITIES, star, "sale", ["revenue", "people"], []).collect()
+    assert [tuple(r) for r in both] == [(31.5, 3)]
     own = semantic.measure_by(ENTITIES, star, "sale", ["sales"], ["sale.status", "shop.name"]).collect()
     assert ("refunded", "s1", 1) in {tuple(r) for r in own}
 
@@ -291,6 +293,9 @@ def test_daily_stream_updates_open_days_and_counts_late_rows(spark, tmp_path):
     assert run().rows_too_late == 0
     late = events(spark, (3, "2024-01-01 11:00:00", 1.0), (4, "2024-01-03 23:00:00", 2.0))
     late.coalesce(1).write.mode("append").parquet(source)
-    assert run().rows_too_late == 1
+    outcome = run()
+    assert outcome.rows_too_late == 1
+    row = run_row(spark, "daily", outcome, DAY).first()
+    assert (row["status"], row["row_count"], row["rows_too_late"]) == ("warning", 2, 1)
     got = {str(r["day"]): (r["row_count"], r["null_values"]) for r in spark.read.parquet(target).collect()}
     assert got == {"2024-01-01": (1, 0), "2024-01-03": (2, 1)}

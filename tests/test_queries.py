@@ -62,6 +62,27 @@ def test_four_definitions_take_two_scans(spark):
     assert len(scanned(REGISTRY["definition_gap"].build(spark, ROOT))) == 2
 
 
+def final_plan(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+
+
+@pytest.mark.parametrize("name", ["revision_dedup", "history_last_n", "issue_drafts"])
+def test_rank_filters_run_before_the_shuffle(spark, name):
+    assert "WindowGroupLimit" in final_plan(REGISTRY[name].build(spark, ROOT))
+
+
+@pytest.mark.parametrize(
+    "name, table", [("mart_customer_ltv", "o_custkey"), ("gmv", "l_orderkey"), ("def_aligned", "l_orderkey")]
+)
+def test_hot_keys_are_combined_before_they_are_shuffled(spark, name, table):
+    """The scan of the large table is followed by a partial aggregate below the exchange."""
+    lines = final_plan(REGISTRY[name].build(spark, ROOT)).split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and table in line)
+    above = [line for line in lines[:scan] if "Exchange" in line or "partial_" in line]
+    assert "partial_" in above[-1]
+
+
 def test_entry_has_one_row_per_test(spark):
     import __spark_entry__ as contract
 
