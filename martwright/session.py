@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.numRecentProgressUpdates": "10000",
+    # A suite runs many different queries again and again: keep their compiled stages.
+    "spark.sql.codegen.cache.maxEntries": "4000",
     "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.ui.enabled": "false",
 }

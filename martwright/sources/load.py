@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,8 +79,28 @@ def merged(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
 
     A small batch is broadcast by its size, and then the stored rows are not shuffled.
     """
-    kept = stored.join(incoming.select(*keys), keys, "left_anti").select(*stored.columns)
-    return kept.unionByName(incoming)
+    return _match(stored, incoming, keys, "left_anti").unionByName(incoming)
+
+
+def _match(stored: DataFrame, incoming: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Stored rows with (left_semi) or without (left_anti) an incoming key; NULL equals NULL."""
+    wanted = incoming.select(*[F.col(k).alias(f"_in_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_in_{k}")) for k in keys]
+    return stored.join(wanted, reduce(lambda a, b: a & b, same), how)
+
+
+def _touched(stored: DataFrame, batch: DataFrame, parts: list[str]) -> DataFrame:
+    """Stored rows in the partitions of the batch.
+
+    The least and greatest value per partition column reach the driver, so that the scan
+    skips the other folders; the join then keeps the exact partitions.
+    """
+    ends = [f(p).alias(f"{f.__name__}_{p}") for p in parts for f in (F.min, F.max)]
+    bounds = batch.agg(*ends).first()
+    for p in parts:
+        inside = F.col(p).between(F.lit(bounds[f"min_{p}"]), F.lit(bounds[f"max_{p}"]))
+        stored = stored.filter(inside | F.col(p).isNull())
+    return _match(stored, batch.select(*parts).distinct(), parts, "left_semi")
 
 
 def load(
@@ -122,7 +143,7 @@ def load(
             batch = cut_lineage(batch)
             narrow = bool(parts) and set(parts) <= set(primary_key)
             if narrow:
-                stored = stored.join(batch.select(*parts).distinct(), parts, "left_semi")
+                stored = _touched(stored, batch, parts)
             # The table is read and rewritten, so the result is written aside in between.
             result = cut_lineage(merged(stored, batch, primary_key))
             _overwrite(result, path, parts, "dynamic" if narrow else "static")

@@ -136,6 +136,18 @@ def test_merge_rewrites_only_the_partitions_of_the_batch(spark, folder):
     }
 
 
+def test_merge_treats_null_as_a_key(spark, folder):
+    for name, parts in (("plain", None), ("parted", ["day"])):
+        path = str(folder / name)
+        rows = lambda *r: spark.createDataFrame(list(r), "day int, k int, v string")
+        first = rows((None, 1, "a"), (None, 2, "b"), (1, None, "c"))
+        load(stamp_loaded(first, T1), path, "merge", ["day", "k"], None, parts)
+        second = rows((None, 1, "z"), (1, None, "y"))
+        load(stamp_loaded(second, T2), path, "merge", ["day", "k"], None, parts)
+        stored = {(r["day"], r["k"], r["v"]) for r in spark.read.parquet(path).collect()}
+        assert stored == {(None, 1, "z"), (None, 2, "b"), (1, None, "y")}
+
+
 def test_merge_under_a_hot_key(spark, folder):
     path = str(folder / "t")
     hot = spark.range(20000).select(
