@@ -178,6 +178,19 @@ def label_of(rule: Rule) -> str:
 _UNITS = {"freshness": "h", "range": "", "row_count": "", "schema_drift": ""}
 
 
+def limit_of(rule: Rule) -> str:
+    """The threshold as a message shows it."""
+    unit = _UNITS.get(rule.rule_type, "%")
+    if rule.rule_type == "schema_drift":
+        return "no change"
+    if rule.rule_type == "range":
+        return f"{rule.min:.1f} to {rule.max:.1f}"
+    if rule.rule_type == "row_count":
+        return f"> {rule.min:.1f}"
+    sign = "<" if rule.rule_type in ("freshness", "null_rate") else "<="
+    return f"{sign} {rule.max:.1f}{unit}"
+
+
 def finding(
     rule: Rule,
     actual: Column,
@@ -198,6 +211,7 @@ def finding(
         F.lit(missing).alias("missing"),
         F.lit(label_of(rule)).alias("label"),
         F.lit(_UNITS.get(rule.rule_type, "%")).alias("unit"),
+        F.lit(limit_of(rule)).alias("limit"),
     )
 
 
@@ -226,9 +240,10 @@ def results(findings: DataFrame) -> DataFrame:
         "actual_value",
         "threshold",
         F.format_string(
-            "%s: %s - %s",
+            "%s: %s (threshold: %s) — %s",
             "label",
             F.coalesce(shown, F.lit("nothing to compare")),
+            "limit",
             F.upper("status"),
         ).alias("message"),
     )

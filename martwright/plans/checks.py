@@ -19,13 +19,16 @@ AS_OF = datetime(2024, 1, 31, 6, 0, 0)
 _RESULT = "metric, rule_type, column_name, status, actual_value, threshold, message"
 
 
-def _message(label: str, unit: str = "%") -> str:
+def _message(label: str, unit: str, limit: str) -> str:
     return (
         f"'{label}: ' || COALESCE(printf('%.1f', actual_value) || '{unit}', 'nothing to compare')"
-        " || ' - ' || upper(status)"
+        f" || ' (threshold: ' || {limit} || ') — ' || upper(status)"
     )
 
 
+_THRESHOLD = "printf('%.1f', threshold)"
+
+
 @query(f"""
 WITH a AS (
     SELECT 'event_flow' AS metric, 'ts' AS column_name, 12.0::DOUBLE AS threshold,
@@ -41,7 +44,7 @@ WITH a AS (
                / 3600000000.0::DOUBLE FROM lineitem),
 s AS (SELECT *, CASE WHEN actual_value < threshold THEN 'passed' ELSE 'failed' END AS status FROM a)
 SELECT metric, 'freshness' AS rule_type, column_name, status, actual_value, threshold,
-       {_message('Freshness', 'h')} AS message FROM s
+       {_message('Freshness', 'h', f"'< ' || {_THRESHOLD} || 'h'")} AS message FROM s
 """)
 def check_freshness(spark: SparkSession, root: str) -> DataFrame:
     tables = {t: read_table(spark, root, t) for t in ("events", "orders", "lineitem")}
@@ -73,8 +76,8 @@ a AS (
 s AS (SELECT *, CASE WHEN actual_value < threshold OR (threshold = 0 AND actual_value = 0)
                      THEN 'passed' ELSE 'failed' END AS status FROM a)
 SELECT 'labelling' AS metric, 'null_rate' AS rule_type, column_name, status, actual_value,
-       threshold, 'Null rate on ' || column_name || ': ' || printf('%.1f', actual_value) || '% - '
-       || upper(status) AS message FROM s
+       threshold, 'Null rate on ' || column_name || ': ' || printf('%.1f', actual_value)
+       || '% (threshold: < ' || {_THRESHOLD} || '%) — ' || upper(status) AS message FROM s
 """)
 def check_null_rate(spark: SparkSession, root: str) -> DataFrame:
     contract = {
@@ -137,7 +140,7 @@ WITH a AS (
 s AS (SELECT *, CASE WHEN actual_value BETWEEN lo AND hi THEN 'passed' ELSE 'failed' END AS status
       FROM a)
 SELECT metric, 'range' AS rule_type, column_name, status, actual_value, hi AS threshold,
-       {_message('Value range', '')} AS message FROM s
+       {_message('Value range', '', f"printf('%.1f', lo) || ' to ' || printf('%.1f', hi)")} AS message FROM s
 """)
 def check_value_range(spark: SparkSession, root: str) -> DataFrame:
     tables = {t: read_table(spark, root, t) for t in ("orders", "lineitem")}
@@ -287,7 +290,7 @@ WITH a AS (
     UNION ALL SELECT 'lineitem', COUNT(*)::DOUBLE, 500.0::DOUBLE FROM lineitem),
 s AS (SELECT *, CASE WHEN actual_value > threshold THEN 'passed' ELSE 'failed' END AS status FROM a)
 SELECT metric, 'row_count' AS rule_type, NULL::VARCHAR AS column_name, status, actual_value,
-       threshold, {_message('Row count', '')} AS message FROM s
+       threshold, {_message('Row count', '', f"'> ' || {_THRESHOLD}")} AS message FROM s
 """)
 def check_row_floor(spark: SparkSession, root: str) -> DataFrame:
     floors = {"events": 1000, "orders": 1_000_000_000, "lineitem": 500}
@@ -446,7 +449,13 @@ a AS (
 r AS (
     SELECT metric, rule_type, column_name, status, actual_value, threshold,
            label || ': ' || COALESCE(printf('%.1f', actual_value) || unit, 'nothing to compare')
-               || ' - ' || upper(status) AS message
+               || ' (threshold: ' || CASE rule_type
+                      WHEN 'freshness' THEN '< ' || {_THRESHOLD} || 'h'
+                      WHEN 'null_rate' THEN '< ' || {_THRESHOLD} || '%'
+                      WHEN 'range' THEN '0.0 to ' || {_THRESHOLD}
+                      WHEN 'row_count' THEN '> ' || {_THRESHOLD}
+                      ELSE '<= ' || {_THRESHOLD} || '%' END
+               || ') — ' || upper(status) AS message
     FROM a)
 """
 

@@ -1,4 +1,4 @@
-"""Hand-made input rows with known results."""
+"""Input rows with known results. Rows and results that have to be matched."""
 
 from datetime import date, datetime
 from decimal import Decimal

@@ -111,7 +111,7 @@ def test_contract_of_the_five_orders(orders):
         "duplicate_rate": "passed",
     }
     assert rows["null_rate"]["actual_value"] == 20.0
-    assert rows["null_rate"]["message"] == "Null rate on amount: 20.0% - FAILED"
+    assert rows["null_rate"]["message"] == "Null rate on amount: 20.0% (threshold: < 5.0%) — FAILED"
     assert rows["range"]["actual_value"] == 925.75
     assert rows["freshness"]["actual_value"] == 12.0
     assert rows["duplicate_rate"]["actual_value"] == 0.0
@@ -135,7 +135,7 @@ def test_alignment_contract_passes_six_of_seven(spark):
     assert (score["trust_score"], score["trust_total"], score["status"]) == (6.0, 7, "failed")
     assert score["scorecard"] == "FAIL"
     failed = results.filter("status = 'failed'").first()
-    assert failed["message"] == "Null rate on amount: 12.5% - FAILED"
+    assert failed["message"] == "Null rate on amount: 12.5% (threshold: < 5.0%) — FAILED"
     value = results.filter("rule_type = 'range'").first()["actual_value"]
     assert value == 4_750_000.0
 
@@ -167,7 +167,7 @@ def test_empty_table_is_an_error_where_a_value_is_needed(orders):
     empty = orders.limit(0)
     fresh = only(contract({"freshness": {"max": "1 day"}}), {"orders": empty})
     assert fresh["status"] == "error"
-    assert fresh["message"] == "Freshness: nothing to compare - ERROR"
+    assert fresh["message"] == "Freshness: nothing to compare (threshold: < 24.0h) — ERROR"
     rate = only(contract({"null_rate": {"column": "amount", "max": "5%"}}), {"orders": empty})
     assert rate["status"] == "passed"
 
