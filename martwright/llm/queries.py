@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import mixing, url_lists
+from martwright.llm import licenses, mixing, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -149,3 +149,9 @@ def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")),
     )
     return url_lists.evaluate(captures, list_entries(pages))
+
+
+@_query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license findings; compared with a word-by-word search in the tests."""
+    return licenses.scan(open_table(spark, sf_dir, "documents")).drop("detections")
