@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from martwright.session import cut_lineage
 
-__all__ = ["cut_lineage", "let", "open_table", "row_keys", "shuffle_width"]
+__all__ = ["cut_lineage", "document_keys", "let", "open_table", "row_keys", "ship", "shuffle_width"]
 
 
 def open_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +38,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def document_keys(id_column: Column, text: Column, id_type: DataType) -> list[Column]:
+    """Two longs, never null, that name a document: a digest of id and text, and the id.
+
+    Rows equal in both share them. An id that is no integer is digested.
+    """
+    number = id_column.cast("long") if isinstance(id_type, IntegralType) else F.xxhash64(id_column)
+    return [
+        F.xxhash64(F.lit(11), id_column, text).alias("k1"),
+        F.coalesce(number, F.lit(0)).cast("long").alias("k2"),
+    ]
+
+
+def ship(module: str) -> None:
+    """Send the module's functions whole to the executors, which may not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

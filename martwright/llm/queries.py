@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import licenses, mixing, url_lists
+from martwright.llm import licenses, mixing, suffixes, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -155,3 +155,10 @@ def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's license findings; compared with a word-by-word search in the tests."""
     return licenses.scan(open_table(spark, sf_dir, "documents")).drop("detections")
+
+
+@_query("op1_suffixes")
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated strings of 400 bytes."""
+    docs = open_table(spark, sf_dir, "documents")
+    return suffixes.remove_repeats(docs, threshold=400, with_kept=False).drop("spans")
