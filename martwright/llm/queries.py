@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import licenses, mixing, suffixes, url_lists
+from martwright.llm import dartminhash, licenses, mixing, suffixes, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -162,3 +162,10 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated strings of 400 bytes."""
     docs = open_table(spark, sf_dir, "documents")
     return suffixes.remove_repeats(docs, threshold=400, with_kept=False).drop("spans")
+
+
+@_query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near-copies."""
+    docs = open_table(spark, sf_dir, "documents")
+    return dartminhash.near_duplicates(docs).select("doc_id", "n_words", "class_id", "class_size")
