@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import dartminhash, licenses, mixing, suffixes, url_lists
+from martwright.llm import chunks, dartminhash, licenses, mixing, suffixes, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -169,3 +169,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near-copies."""
     docs = open_table(spark, sf_dir, "documents")
     return dartminhash.near_duplicates(docs).select("doc_id", "n_words", "class_id", "class_size")
+
+
+@_query("op2_chunks")
+def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks that an earlier place has."""
+    docs = open_table(spark, sf_dir, "documents")
+    return chunks.remove_repeated_chunks(docs, with_kept=False).drop("spans")

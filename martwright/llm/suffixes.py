@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martwright.llm.common import cut_lineage, document_keys, ship, shuffle_width
-from martwright.llm.textarrays import U, Rolling, blocks, mix, sliding_min, text_column
+from martwright.llm.textarrays import U, Rolling, blocks, mix, sliding, text_column
 
 ship(__name__)
 STEP = 16
@@ -56,7 +56,7 @@ def _anchors(threshold: int, gram: int):
                 rolling = Rolling(block)
                 grams = rolling.windows(gram)
                 tagged = (grams & ~_PLACE) | np.arange(len(grams), dtype=U)
-                best = sliding_min(tagged, threshold - gram + 1)
+                best = sliding(np.minimum, tagged, threshold - gram + 1)
                 n = len(block) - threshold + 1
                 doc = np.repeat(np.arange(last - first), np.diff(at))[:n]
                 start = np.flatnonzero(at[doc + 1] - np.arange(n) >= threshold)
@@ -152,7 +152,7 @@ _STEPS = "digit long, run long, k1 long, k2 long, low int, n int, alone boolean,
 
 
 def _apply(with_kept: bool):
-    """Rows (id, text, spans) to their results; spans may overlap."""
+    """Rows (id, text, spans, note) to their results; spans may overlap, the note is handed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,31 +191,39 @@ def _apply(with_kept: bool):
                     pa.array(digests, pa.string()),
                     pa.array(spans, pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))),
                     pa.array(kept, pa.binary()),
+                    batch.column(3),
+                ],
+                names=[
+                    *("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"),
+                    "note",
                 ],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
             )
 
     return run
 
 
-def cut_spans(keyed: DataFrame, spans: DataFrame, id_col: str, with_kept: bool) -> DataFrame:
-    """Remove spans (k1, k2, b, e) from documents (k1, k2, id, text).
+def cut_spans(
+    keyed: DataFrame, lists: DataFrame, id_col: str, with_kept: bool, note: str | None = None
+) -> DataFrame:
+    """Remove spans (k1, k2, spans, note) from documents (k1, k2, id, text).
 
-    Bytes are counted from 0, ``e`` is the first byte after the span.
+    Bytes are counted from 0, the end ``e`` of a span is the first byte after it.
+    ``note`` names a long column of ``lists`` to hand on, 0 where a document has no spans.
     """
-    kind = dict(keyed.dtypes)["id"]
-    lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    kind = keyed.schema["id"].dataType.simpleString()
+    lists = lists.withColumn("note", F.col(note) if note else F.lit(0).cast("long"))
     schema = (
         f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"
-        " spans array<struct<b:int,e:int>>, kept binary"
+        " spans array<struct<b:int,e:int>>, kept binary, note long"
     )
     out = (
-        keyed.join(lists, ["k1", "k2"], "left")
-        .select("id", "text", "spans")
+        keyed.join(lists.select("k1", "k2", "spans", "note"), ["k1", "k2"], "left")
+        .select("id", "text", "spans", F.coalesce("note", F.lit(0)).cast("long").alias("note"))
         .mapInArrow(_apply(with_kept), schema)
         .withColumnRenamed("id", id_col)
     )
-    return out if with_kept else out.drop("kept")
+    out = out if with_kept else out.drop("kept")
+    return out.withColumnRenamed("note", note) if note else out.drop("note")
 
 
 def repeats(rows: DataFrame) -> DataFrame:
@@ -291,5 +299,6 @@ def remove_repeats(
         )
     )
     starts = decided.union(whole).union(found)
-    spans = starts.select("k1", "k2", "b", (F.col("e") + (threshold - 1)).alias("e"))
+    end = (F.col("e") + (threshold - 1)).alias("e")
+    spans = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("b", end)).alias("spans"))
     return cut_spans(spread, spans, id_col, with_kept)

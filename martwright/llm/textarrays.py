@@ -108,14 +108,14 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of every window of ``width`` values, by doubling."""
+def sliding(op: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """``np.minimum`` or ``np.maximum`` of every window of ``width`` values, by doubling."""
     out, have = values, 1
     while have * 2 <= width:
-        out = np.minimum(out[:-have], out[have:])
+        out = op(out[:-have], out[have:])
         have *= 2
     rest = width - have
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+    return op(out[: len(out) - rest], out[rest:]) if rest else out
 
 
 _KIND = np.zeros(256, dtype=bool)
