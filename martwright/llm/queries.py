@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import chunks, dartminhash, licenses, mixing, suffixes, url_lists
+from martwright.llm import bitcodes, chunks, dartminhash, licenses, mixing, suffixes, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -176,3 +176,10 @@ def op2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the chunks that an earlier place has."""
     docs = open_table(spark, sf_dir, "documents")
     return chunks.remove_repeated_chunks(docs, with_kept=False).drop("spans")
+
+
+@_query("op7_bitcodes")
+def op7_bitcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, among all others."""
+    vectors = open_table(spark, sf_dir, "embeddings")
+    return bitcodes.nearest(vectors, F.col("vec_id") % 50 == 0)
