@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import bitcodes, chunks, dartminhash, licenses, mixing, suffixes, url_lists
+from martwright.llm import bitcodes, chunks, dartminhash, factors, licenses, mixing, suffixes, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -183,3 +183,22 @@ def op7_bitcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector, among all others."""
     vectors = open_table(spark, sf_dir, "embeddings")
     return bitcodes.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether labels of this id are kept from training."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> factors.Model:
+    return factors.fit(docs, labels.where(~held_out(F.col("doc_id"))).select("doc_id", "quality"))
+
+
+@_query("op10_factors")
+def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; the labels of every third id are kept for the test."""
+    docs = open_table(spark, sf_dir, "documents")
+    model = quality_model(docs, open_table(spark, sf_dir, "labels"))
+    doc_id = F.col("doc_id")
+    scored = factors.score(docs, model, carry={"doc_id": doc_id, "held_out": held_out(doc_id)})
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
