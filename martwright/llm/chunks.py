@@ -139,9 +139,12 @@ def remove_repeated_chunks(
     chunks = keyed.select("k1", "k2", "text").mapInArrow(
         _chunks(reach), "d1 long, d2 long, k1 long, k2 long, b int, n int"
     )
-    counts = chunks.groupBy("d1", "d2").count().where("count > 1").drop("count")
+    # Written first, so that the join reads plain shuffles on both sides and a hot digest is split.
+    counts = cut_lineage(chunks.groupBy("d1", "d2").count().where("count > 1").drop("count"))
     again = cut_lineage(chunks.join(counts, ["d1", "d2"], "left_semi"))
-    first = again.groupBy("d1", "d2").agg(F.min(F.struct("k2", "k1", "b")).alias("first"))
+    first = cut_lineage(
+        again.groupBy("d1", "d2").agg(F.min(F.struct("k2", "k1", "b")).alias("first"))
+    )
     stays = F.col("first") == F.struct("k2", "k1", "b")
     lists = (
         again.join(first, ["d1", "d2"])

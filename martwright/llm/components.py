@@ -56,4 +56,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+    return cut_lineage(stars.union(stars.select(F.col("root").alias("node"), "root").distinct()))

@@ -156,7 +156,8 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     least = [
         F.min(F.col("word_key").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in SCRAMBLES
     ]
-    leaders = (
+    # Written first, so that the join reads plain shuffles on both sides and a hot key is split.
+    leaders = cut_lineage(
         keyed.groupBy("key")
         .agg(
             F.min("word_key").alias("low"),
@@ -203,7 +204,7 @@ def near_duplicates(
         )
     )
     pairs = cut_lineage(candidate_pairs(signed))
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    nodes = cut_lineage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
     speakers = (
         signed.where("n_words > 0")
         .join(nodes, F.col("word_key") == F.col("node"))
@@ -243,8 +244,10 @@ def near_duplicates(
             (F.col("n_words") > 0).alias("worded"),
         )
     )
-    named = classed.groupBy("class_key", "worded").agg(
-        F.min("k2").alias("class_id"), F.count(F.lit(1)).alias("class_size")
+    named = cut_lineage(
+        classed.groupBy("class_key", "worded").agg(
+            F.min("k2").alias("class_id"), F.count(F.lit(1)).alias("class_size")
+        )
     )
     return classed.join(named, ["class_key", "worded"]).select(
         F.col("id").alias(id_col), "k1", "k2", "n_words", "class_key", "class_id", "class_size"
