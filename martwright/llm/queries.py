@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import bitcodes, chunks, dartminhash, factors, licenses, mixing, suffixes, url_lists
+from martwright.llm import bitcodes, chunks, dartminhash, factors, latent, licenses, mixing, suffixes, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -202,3 +202,14 @@ def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("doc_id")
     scored = factors.score(docs, model, carry={"doc_id": doc_id, "held_out": held_out(doc_id)})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@_query("op8_latent")
+def op8_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that leaks a benchmark text, with the text."""
+    found = latent.leaks(
+        open_table(spark, sf_dir, "documents"), open_table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", F.col("item").alias("item_id"), "cover", "told", "cosine", "start"
+    )
