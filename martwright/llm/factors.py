@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from martwright.llm.common import cut_lineage, ship
 from martwright.llm.textarrays import U, blocks, text_column, words
@@ -277,5 +278,5 @@ def score(
         _recorded(docs, length_col),
         *(c.alias(name) for name, c in carry.items()),
     )
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:]]
-    return rows.mapInArrow(_score(model), ", ".join([*fields, "score double"]))
+    schema = StructType([*rows.schema[2:], StructField("score", DoubleType())])
+    return rows.mapInArrow(_score(model), schema)

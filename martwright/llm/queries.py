@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import bitcodes, chunks, dartminhash, factors, latent, licenses, mixing, suffixes, url_lists
+from martwright.llm import bitcodes, chunks, dartminhash, factors, latent, licenses, mixing, secretscan, suffixes, url_lists
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 
@@ -213,3 +213,22 @@ def op8_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.col("item").alias("item_id"), "cover", "told", "cosine", "start"
     )
+
+
+def secret_model(docs: DataFrame):
+    return secretscan.fit(secretscan.made_findings(docs))
+
+
+@_query("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in every document, with the forest's verdict; values as digests."""
+    docs = open_table(spark, sf_dir, "documents")
+    found = secretscan.scan(docs, secret_model(docs))
+    return found.select(
+        "doc_id",
+        "word_no",
+        F.length("value").alias("n_chars"),
+        F.sha2("value", 256).alias("value_sha256"),
+        "score",
+        "is_secret",
+    )
