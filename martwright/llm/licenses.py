@@ -80,7 +80,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         for phrasing, priority, confidence in VERSIONED:
             for version in versions:
                 number = version.replace(".", r"\.").replace(r"\.0", r"(?:\.0)?")
-                pattern = phrasing.replace("N", f"(?:{name})").replace("V", rf"{number}(?![\w])")
+                pattern = phrasing.replace("N", f"(?:{name})").replace("V", rf"{number}(?!\w|\.\d)")
                 out.append((keyword, pattern, f"{label}-{version}", priority, confidence))
         for phrasing, priority, confidence in GENERIC:
             pattern = phrasing.replace("N", f"(?:{name})")

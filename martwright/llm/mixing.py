@@ -89,7 +89,8 @@ def mix(
     )
     base = cut_lineage(
         docs.select(
-            F.col(id_col).alias(id_col),
+            F.col(id_col).alias("id"),
+            F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
             source.alias("source"),
             F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")).alias(
                 "source_key"
@@ -97,7 +98,6 @@ def mix(
             sizes(text).alias("size"),
             F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("draw"),
             F.conv(F.substring(digest, 16, 15), 16, 10).cast("long").alias("tie"),
-            *carry,
         )
     )
     totals = base.groupBy("source_key").agg(
@@ -140,11 +140,12 @@ def mix(
         rows.join(offsets, ["source_key", "slice"])
         .withColumn("before", before)
         .select(
-            id_col,
+            F.col("id").alias(id_col),
             "size",
             "source_size",
             "target",
             taken.cast("long").alias("taken"),
-            *(base.columns[6:]),
+            "carried.*",
         )
+        .drop("_")
     )
