@@ -199,7 +199,7 @@ def made_findings(docs: DataFrame, *, max_rows: int = 500, seed: int = 42) -> Da
     """Labelled findings for training, made from at most about ``max_rows`` documents.
 
     Each chosen document lends two of its own words as neighbours and its source as path to one finding
-    of every kind below; values come from digests of its id. Kinds with label 1 are keys as programs
+    of every kind below, and one empty document always does; values come from digests of its id. Kinds with label 1 are keys as programs
     issue them after a word that asks for one; kinds with label 0 are what a pattern takes for keys: digests,
     identifiers, numbers, placeholders, long words.
     """
@@ -209,6 +209,12 @@ def made_findings(docs: DataFrame, *, max_rows: int = 500, seed: int = 42) -> Da
         draw = F.xxhash64(F.lit(seed), "doc_id")
         chosen = docs.where(draw < F.lit(int((2 * share - 1) * 2.0**62) * 2))
     tokens = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    blank = docs.sparkSession.range(1).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.lit("").alias("text"),
+        F.lit("").alias("source"),
+    )
+    chosen = chosen.select(F.col("doc_id").cast("long"), "text", "source").union(blank)
     base = chosen.select(
         F.get(tokens, F.lit(0)).alias("w1"),
         F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("w2"),

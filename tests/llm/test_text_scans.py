@@ -1,0 +1,216 @@
+"""Mixing, secret scan, license scan and URL lists: SQL forms, brute force and odd cases."""
+
+import re
+from collections import Counter, defaultdict
+from datetime import date
+
+import cases
+import pytest
+from compare import connect, duck_rows, spark_rows
+from pyspark.sql import functions as F
+
+from martwright.llm import licenses, mixing, secretscan, url_lists
+from martwright.llm.queries import LLM
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", [n for n, q in LLM.items() if q.sql])
+def test_query_matches_sql(spark, name):
+    names, want = duck_rows(connect(SF), LLM[name].sql)
+    got_names, got = spark_rows(LLM[name].build(spark, SF))
+    assert got_names == names
+    assert got == want
+
+
+# mixing
+
+
+def water_fill(sizes, weights, budget):
+    """Targets by sharing again and again, one cap at a time."""
+    target, full = {}, set()
+    while True:
+        left = budget - sum(2 * sizes[s] for s in full)
+        total = sum(weights[s] for s in sizes if s not in full)
+        over = set()
+        for s in sizes:
+            target[s] = 2.0 * sizes[s] if s in full else left * weights[s] / total
+            if s not in full and target[s] > 2 * sizes[s]:
+                over.add(s)
+        if not over:
+            return target
+        full |= over
+
+
+@pytest.mark.parametrize("per_slice", [1, 3, 4096])
+def test_mix_meets_targets(spark, per_slice):
+    docs = cases.documents(spark)
+    got = mixing.mix(docs, carry=[F.col("source")], rows_per_slice=per_slice).collect()
+    rows = cases.rows()
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(word.findall(r[1] or ""))
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None]
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    want = water_fill(dict(sizes), weights, 1.5 * sum(sizes.values()))
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        assert r.target == pytest.approx(want[r.source])
+        assert r.source_size == sizes[r.source]
+        taken[r.source] += r.taken
+    assert len(got) == len(rows)
+    assert {s: abs(taken[s] - want[s]) <= 0.5 for s in sizes} == dict.fromkeys(sizes, True)
+    again = mixing.mix(docs.repartition(5), carry=[F.col("source")], rows_per_slice=per_slice)
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.mix(cases.none(spark)).count() == 0
+    blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert {(r.taken, r.target) for r in mixing.mix(blank).collect()} == {(0, 0.0)}
+
+
+# licenses
+
+
+def test_license_query_matches_word_search(spark):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    texts = {
+        r.doc_id: r.text
+        for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    }
+    found = 0
+    for r in LLM["op6_licenses"].build(spark, SF).collect():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or "")
+        words = word.findall(low)
+        places = sorted(
+            (i, label)
+            for phrase, label in licenses.BASE
+            for i in range(len(words))
+            if words[i : i + len(phrase.split())] == phrase.split()
+        )
+        found += len(places)
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert r.first_word == (places[0][0] if places else None)
+        assert r.last_word == (places[-1][0] if places else None)
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1
+    assert found
+
+
+def test_license_rules_and_odd_texts(spark):
+    texts = [
+        "The MIT--license; the mit License! MITlicense",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1",
+        "licensed under the BSD license and the ISC license",
+        "É mit licenseé General\nPublic\tLicense",
+        None,
+        "",
+        "licence " * 40_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert (got[0].n_base, got[0].first_word, got[0].last_word) == (2, 1, 4)
+    assert got[1].labels == "apache-2.0"
+    # the grant with the plain GPL inside is suppressed, the base phrase stays
+    assert got[2].labels == "gpl,lgpl-2.1"
+    assert got[3].labels == "bsd,isc"
+    assert (got[4].n_base, got[4].base_labels) == (1, "gpl")
+    for i in (5, 6):
+        assert (got[i].n_words, got[i].n_base, got[i].first_word) == (0, 0, None)
+        assert (got[i].labels, got[i].score) == ("", 0.0)
+    assert got[7].n_words == 40_000
+    assert licenses.scan(cases.none(spark)).count() == 0
+    assert licenses.scan(cases.documents(spark)).count() == len(cases.rows())
+
+
+# secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return secretscan.fit(secretscan.made_findings(docs.where("doc_id % 2 = 0"), max_rows=150))
+
+
+def test_forest_on_findings_of_other_documents(spark, forest):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 1")
+    other = secretscan.made_findings(docs, max_rows=100, seed=7)
+    scored = forest.transform(secretscan._vectors(other))
+    right = scored.where("prediction = label").count() / scored.count()
+    assert right > 0.97
+
+
+def test_secrets_found_and_redacted(spark, forest):
+    docs = cases.documents(spark)
+    found = secretscan.scan(docs, forest).where("is_secret").collect()
+    assert [(r.doc_id, r.word_no) for r in found] == [(13, 3)]
+    clean = secretscan.redact(docs, forest)
+    assert clean.columns == docs.columns
+    new = Counter(map(tuple, clean.collect()))
+    old = Counter(map(tuple, docs.collect()))
+    changed = list((new - old).elements())
+    assert [r[:2] for r in changed] == [(13, 'see token = "[SECRET]" here')]
+    assert sum(new.values()) == sum(old.values())
+    assert secretscan.redact(cases.none(spark), forest).count() == 0
+
+
+def test_candidates(spark):
+    text = 'a "0123456789abcdefg" short1 b=abcdefghijklmnop1;c=zyxwvutsrqponm99 longwordwithoutanydigit'
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    got = df.select(secretscan.candidates(F.col("t")).alias("c")).collect()
+    assert [(x.word_no, x.value) for x in got[0].c] == [
+        (1, "0123456789abcdefg"),
+        (3, "b=abcdefghijklmnop1"),
+        (3, "c=zyxwvutsrqponm99"),
+    ]
+    assert got[1].c is None
+    assert got[2].c is None
+
+
+# URL lists
+
+
+def test_entries_hold_from_their_day(spark):
+    entries = spark.createDataFrame(
+        [
+            ("example.com", date(2024, 1, 10), 1, "block"),
+            ("example.com", date(2024, 2, 1), 2, "remove"),
+            ("a.example.com", date(2024, 1, 15), 1, "allow"),
+            ("a.example.com/x", date(2024, 1, 20), 1, "block"),
+            ("same.org", date(2024, 1, 1), 1, "block"),
+            ("same.org", date(2024, 1, 1), 2, "allow"),
+            (None, date(2024, 1, 1), 1, "block"),
+            ("late.org", None, 1, "block"),
+        ],
+        "key string, day date, seq int, action string",
+    )
+    rows = [
+        (1, "http://example.com/", date(2024, 1, 9), None),
+        (2, "http://EXAMPLE.com./", date(2024, 1, 10), "block"),
+        (3, "https://u:p@b.example.com:80/q?x=/y", date(2024, 1, 31), "block"),
+        (4, "http://example.com", date(2024, 2, 1), None),
+        (5, "http://a.example.com/x/y", date(2024, 1, 16), "allow"),
+        (6, "http://a.example.com/x/y#z", date(2024, 1, 20), "block"),
+        (7, "http://a.example.com/xx", date(2024, 1, 20), "allow"),
+        (8, "http://same.org", date(2024, 5, 5), "allow"),
+        (9, "http://notexample.com", date(2024, 1, 20), None),
+        (10, None, date(2024, 1, 20), None),
+        (11, "not a url", date(2024, 1, 20), None),
+        (12, "http://example.com", None, None),
+        (None, "http://example.com", date(2024, 1, 12), "block"),
+        (2, "http://EXAMPLE.com./", date(2024, 1, 10), "block"),
+    ]
+    captures = spark.createDataFrame(
+        [(*r[:3], "k") for r in rows], "page_id long, url string, fetch_day date, key string"
+    )
+    got = url_lists.evaluate(captures, entries)
+    assert Counter((r.page_id, r.url, r.fetch_day, r.action) for r in got.collect()) == Counter(rows)
+    assert got.where("blocked <> coalesce(action = 'block', false)").count() == 0
+    none = url_lists.evaluate(captures, entries.where("false"))
+    assert none.count() == len(rows)
+    assert url_lists.evaluate(captures.where("false"), entries).count() == 0
