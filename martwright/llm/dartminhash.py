@@ -12,8 +12,9 @@ coordinate with the probability of their (weighted) Jaccard similarity.
 ``bands`` groups of ``rows`` coordinates are the join keys. With 25 bands of 5 a pair at
 similarity 0.8 meets in no band with probability 5e-5. Within a key, equal word sequences are one
 text, and every text is paired with a few leaders of the key (its smallest, largest and smallest
-after fixed scrambles), never with all others. Pairs are then checked by exact Jaccard similarity, and
-checked pairs are closed into classes.
+after fixed scrambles), never with all others. Pairs with the first leader are checked by exact Jaccard
+similarity and closed into classes; of the pairs with the other leaders those between two classes are
+checked after that, as the others cannot change a class.
 
 Defined results: null, empty and word-less texts are alone in their class; texts with equal word
 sequences share a class; an empty table gives an empty table; null ids are kept and take the least
@@ -150,31 +151,61 @@ def _shingle_sets(width: int):
     return run
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct (u, v), u < v, of texts that share a key with a leader of it."""
-    keyed = signed.select("word_key", F.explode("bands").alias("key"))
+def key_leaders(signed: DataFrame) -> DataFrame:
+    """Leaders of every key that more than one text has: key, l0, l1, ..."""
     least = [
         F.min(F.col("word_key").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in SCRAMBLES
     ]
-    # Written first, so that the join reads plain shuffles on both sides and a hot key is split.
-    leaders = cut_lineage(
-        keyed.groupBy("key")
-        .agg(
-            F.min("word_key").alias("low"),
-            F.max("word_key").alias("high"),
-            *(c.alias(f"l{i}") for i, c in enumerate(least)),
-        )
-        .where("low <> high")
+    every = [F.min("word_key"), F.max("word_key"), *least]
+    return (
+        signed.select("word_key", F.explode("bands").alias("key"))
+        .groupBy("key")
+        .agg(*(c.alias(f"l{i}") for i, c in enumerate(every)))
+        .where("l0 <> l1")
     )
-    lists = F.array_distinct(F.array("low", "high", *(f"l{i}" for i in range(len(least)))))
+
+
+def candidate_pairs(signed: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Distinct (u, v, first), u < v, of texts and the leaders of a key that they have.
+
+    ``first`` tells whether one of them is the first leader of such a key.
+    """
+    names = [c for c in leaders.columns if c != "key"]
+    every = F.array(*(F.struct(F.col(c).alias("leader"), F.lit(c == "l0").alias("first")) for c in names))
     return (
-        keyed.join(leaders, "key")
-        .select("word_key", F.explode(lists).alias("leader"))
+        signed.select("word_key", F.explode("bands").alias("key"))
+        .join(leaders, "key")
+        .select("word_key", F.inline(F.array_distinct(every)))
         .where("word_key <> leader")
-        .select(
+        .groupBy(
             F.least("word_key", "leader").alias("u"), F.greatest("word_key", "leader").alias("v")
         )
-        .distinct()
+        .agg(F.max("first").alias("first"))
+    )
+
+
+def between_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one class yet."""
+    a = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
+    b = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
+    return (
+        pairs.join(a, "u", "left")
+        .join(b, "v", "left")
+        .where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+        .select("u", "v")
+    )
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose exact Jaccard similarity is high enough."""
+    a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return (
+        pairs.join(a, "u")
+        .join(b, "v")
+        .where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both))
+        .select("u", "v")
     )
 
 
@@ -203,8 +234,11 @@ def near_duplicates(
             " bands array<long>",
         )
     )
-    pairs = cut_lineage(candidate_pairs(signed))
-    nodes = cut_lineage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    # Written first, so that the join reads plain shuffles on both sides and a hot key is split.
+    leaders = cut_lineage(key_leaders(signed))
+    pairs = cut_lineage(candidate_pairs(signed, leaders))
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
+    nodes = cut_lineage(ends.distinct())
     speakers = (
         signed.where("n_words > 0")
         .join(nodes, F.col("word_key") == F.col("node"))
@@ -220,16 +254,9 @@ def near_duplicates(
         .mapInArrow(_shingle_sets(width), "node long, set array<long>")
     )
     sets = cut_lineage(sets)
-    a = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    links = (
-        pairs.join(a, "u")
-        .join(b, "v")
-        .where(both >= F.lit(similarity) * (F.size("a") + F.size("b") - both))
-        .select("u", "v")
-    )
-    roots = components(links)
+    links = cut_lineage(checked(pairs.where("first"), sets, similarity))
+    open_pairs = between_classes(pairs.where("not first"), components(links))
+    roots = components(links.union(checked(open_pairs, sets, similarity)))
     classed = (
         signed.select("k1", "k2", "id", "n_words", "word_key")
         .join(roots.withColumnRenamed("node", "word_key"), "word_key", "left")
