@@ -12,28 +12,46 @@ from pyspark.sql import functions as F
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: str, value: Column, chunk: Column, name: str
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    value: Column,
+    chunk: Column | list[Column],
+    name: str,
 ) -> DataFrame:
-    """Add ``name``: ``value`` of the previous row of the key, NULL on the first row."""
-    cut = [*keys, "_chunk"]
-    rows = df.withColumn("_value", value).withColumn("_chunk", chunk)
+    """Add ``name``: ``value`` of the previous row of the key, NULL on the first row.
+
+    ``chunk`` may be several columns from fine to coarse: the last rows of the fine chunks
+    are then compared in coarser chunks, and so on, so that no task gets all of them.
+    """
+    fine, *coarser = chunk if isinstance(chunk, list) else [chunk]
+    at, last, carried = (f"_{part}{len(coarser)}" for part in ("chunk", "last", "carried"))
+    cut = [*keys, at]
+    above = [c.alias(f"_above{i}") for i, c in enumerate(coarser)]
+    rows = df.withColumn(last, value).withColumn(at, fine)
     inside = Window.partitionBy(*cut).orderBy(order)
-    rows = rows.withColumn("_lag", F.lag("_value").over(inside)).withColumn(
-        "_head", F.row_number().over(inside) == 1
-    )
     ends = (
-        df.withColumn("_value", value)
-        .withColumn("_chunk", chunk)
+        df.select(*keys, F.col(order).alias("_order"), value.alias(last), fine.alias(at), *above)
         .groupBy(*cut)
-        .agg(F.max_by("_value", order).alias("_end"))
+        .agg(
+            F.max_by(last, "_order").alias(last),
+            *(F.max(f"_above{i}").alias(f"_above{i}") for i in range(len(coarser))),
+        )
+    )
+    if coarser:
+        names = [f"_above{i}" for i in range(len(coarser))]
+        ends = with_previous(ends, keys, at, F.col(last), [F.col(n) for n in names], carried)
+        ends = ends.drop(last, *names)
+    else:
+        before = F.lag(last).over(Window.partitionBy(*keys).orderBy(at))
+        ends = ends.withColumn(carried, before).drop(last)
+    rows = rows.withColumn("_lag", F.lag(last).over(inside)).withColumn(
+        "_head", F.row_number().over(inside) == 1
     )
-    ends = ends.withColumn(
-        "_carried", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk"))
-    ).drop("_end")
     return (
         rows.join(ends, cut, "left")
-        .withColumn(name, F.when(F.col("_head"), F.col("_carried")).otherwise(F.col("_lag")))
-        .drop("_chunk", "_value", "_lag", "_head", "_carried")
+        .withColumn(name, F.when(F.col("_head"), F.col(carried)).otherwise(F.col("_lag")))
+        .drop(at, last, "_lag", "_head", carried)
     )
 
 

@@ -49,34 +49,74 @@ def money(column: Column | str, precision: int = 12, scale: int = 2) -> Column:
     return column.cast(f"decimal({precision},{scale})")
 
 
-def whole(df: DataFrame, column: str, digits: int | None) -> tuple[Column, float]:
-    """A floating column as integers of 10^-digits, with the divisor that undoes it.
+def scaled(df: DataFrame, column: str, digits: int) -> DataFrame:
+    """State that a floating column holds whole multiples of 10^-digits.
 
-    Integer sums do not depend on row order and cost a fraction of decimal sums; an
-    overflow raises. Decimal and integer columns, and ``digits=None``, stay as they are.
+    Sums of such a column are exact and do not depend on row order. Nothing is rounded
+    without this statement: other floating columns are summed as they are.
     """
-    value = F.col(column)
-    if digits is None or df.schema[column].dataType.typeName() not in ("double", "float"):
-        return value, 1.0
+    return df.withMetadata(column, {**df.schema[column].metadata, "digits": digits})
+
+
+def scale_of(df: DataFrame, column: str, digits: int | None = None) -> int | None:
+    """The decimal places stated for a floating column; None for other types."""
+    field = df.schema[column]
+    if field.dataType.typeName() not in ("double", "float"):
+        return None
+    return field.metadata.get("digits") if digits is None else digits
+
+
+def whole(df: DataFrame, column: str, digits: int | None = None) -> tuple[Column, float]:
+    """A column with a stated scale as integers of 10^-digits, with the divisor that undoes it.
+
+    Values that are no such number (NaN, or beyond a bigint) raise; any other
+    column stays as it is.
+    """
+    digits = scale_of(df, column, digits)
+    if digits is None:
+        return F.col(column), 1.0
     scale = float(10**digits)
-    return F.rint(value.cast("double") * scale).cast("bigint"), scale
+    return F.rint(F.col(column).cast("double") * scale).cast("bigint"), scale
+
+
+# A sum of bigints is kept as two sums, of the low bits and of the rest.
+_LOW_BITS = 24
 
 
 def total(
-    df: DataFrame, column: str, when: Column | None = None, digits: int | None = 2
+    df: DataFrame, column: str, when: Column | None = None, digits: int | None = None
 ) -> Column:
-    """Aggregate: sum of a column (where a condition holds) as a double."""
-    value, scale = whole(df, column, digits)
-    summed = F.sum(value if when is None else F.when(when, value)).cast("double")
-    return summed if scale == 1.0 else summed / F.lit(scale)
+    """Aggregate: sum of a column (where a condition holds) as a double.
 
+    With a stated scale integers are summed, in two halves that 10^11 rows cannot overflow;
+    a NaN, or an amount beyond a bigint, among the rows makes the sum NaN.
+    """
+    digits = scale_of(df, column, digits)
+    if digits is None:
+        value = F.col(column)
+        return F.sum(value if when is None else F.when(when, value)).cast("double")
+    scale = float(10**digits)
+    units = F.col(column).cast("double") * scale
+    fits = F.abs(units) < F.lit(2.0**62)
+    counted = fits if when is None else when & fits
+    unit = F.rint(units).cast("bigint")
+    high = F.sum(F.when(counted, F.shiftright(unit, _LOW_BITS))).cast("decimal(20,0)")
+    low = F.sum(F.when(counted, unit.bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))).cast("decimal(20,0)")
+    odd = ~fits if when is None else when & ~fits
+    exact = (high * F.lit(Decimal(1 << _LOW_BITS)) + low).cast("double") / F.lit(scale)
+    return F.when(F.max(odd), F.lit(float("nan"))).otherwise(exact)
 
-def exact_decimal(df: DataFrame, column: str, digits: int) -> Column:
-    """Aggregate: the same sum as a decimal, for amounts that are summed up further."""
+
+def exact_decimal(df: DataFrame, column: str, digits: int | None = None) -> Column:
+    """Aggregate: the same sum as a decimal, for amounts that are summed up further.
+
+    Without a stated scale it is the plain sum.
+    """
     value, scale = whole(df, column, digits)
     if scale == 1.0:
         return F.sum(value)
-    return F.sum(value).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))
+    places = scale_of(df, column, digits)
+    return F.sum(value).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))
 
 
 def month_of(column: Column | str) -> Column:

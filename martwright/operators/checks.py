@@ -223,7 +223,8 @@ def _literal(value: str | float | None, kind: str) -> Column:
 def results(findings: DataFrame) -> DataFrame:
     """The common output of every check."""
     status = (
-        F.when(F.col("met").isNull(), F.col("missing"))
+        F.when(F.isnan("actual_value"), ERROR)
+        .when(F.col("met").isNull(), F.col("missing"))
         .when(~F.col("met"), FAILED)
         .when(~F.col("calm"), WARNING)
         .otherwise(PASSED)
@@ -371,7 +372,7 @@ def per_period(
     grain: str,
     value: str,
     keys: list[str] | None = None,
-    digits: int | None = 2,
+    digits: int | None = None,
 ) -> DataFrame:
     """Rows, value and mean per calendar period (and key): the input of the series checks."""
     keys = keys or []

@@ -97,18 +97,12 @@ def data_test_suite(
 ) -> DataFrame:
     """One row per test: name, problem rows, status, message.
 
-    ``custom`` tests are SQL texts or functions that return the offending rows. One
-    that cannot be analysed gets status ``error`` and the others still run.
+    ``custom`` tests are SQL texts or functions that return the offending rows. They run one by
+    one: a test that cannot be analysed or fails while running gets status ``error`` and
+    the others are reported.
     """
     counted = [row_test_counts(df, tests) for df, tests in declared]
-    broken = []
-    for name, test in sorted((custom or {}).items()):
-        try:
-            violations = spark.sql(test) if isinstance(test, str) else test()
-            counted.append(violation_count(name, violations))
-        except PySparkException as error:
-            broken.append((name, None, ERROR, error.getCondition() or type(error).__name__))
-    parts = [spark.createDataFrame(broken, RESULT)] if broken or not counted else []
+    parts = [run_each(spark, custom)] if custom or not counted else []
     if counted:
         results = reduce(DataFrame.unionByName, counted)
         verdict = F.when(F.col("problem_rows") > 0, FAILED).otherwise(PASSED)
@@ -131,7 +125,7 @@ def run_each(spark: SparkSession, custom: dict[str, str | Callable[[], DataFrame
     Only a count per test reaches the driver.
     """
     rows = []
-    for name, test in sorted(custom.items()):
+    for name, test in sorted((custom or {}).items()):
         try:
             violations = spark.sql(test) if isinstance(test, str) else test()
             problems = violations.count()

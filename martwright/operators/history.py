@@ -33,7 +33,7 @@ def run_snapshot(
     value_column: str,
     mean_columns: list[str],
     as_of: datetime,
-    digits: int | None = 2,
+    digits: int | None = None,
 ) -> DataFrame:
     """What a run stores about its table, in one pass."""
     means = []
@@ -197,7 +197,7 @@ def issue_drafts(results: DataFrame, chunk: Column | None = None) -> DataFrame:
 
 
 def kept_revisions(
-    revisions: DataFrame, keys: list[str], order: str, text: str, chunk: Column
+    revisions: DataFrame, keys: list[str], order: str, text: str, chunk: Column | list[Column]
 ) -> DataFrame:
     """Revisions whose text differs from the one before; compared by hash, split by ``chunk``."""
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
@@ -206,7 +206,12 @@ def kept_revisions(
 
 
 def latest_revisions(
-    revisions: DataFrame, keys: list[str], order: str, text: str, chunk: Column, rows: int = 30
+    revisions: DataFrame,
+    keys: list[str],
+    order: str,
+    text: str,
+    chunk: Column | list[Column],
+    rows: int = 30,
 ) -> DataFrame:
     """The newest kept revisions per key, place 1 is the newest."""
     kept = kept_revisions(revisions, keys, order, text, chunk)

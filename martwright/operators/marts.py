@@ -66,7 +66,7 @@ def top_customers(ltv: DataFrame, rows: int = 10) -> DataFrame:
     )
 
 
-def budget_utilisation(budget: DataFrame, digits: int = 2) -> DataFrame:
+def budget_utilisation(budget: DataFrame, digits: int | None = None) -> DataFrame:
     """Total spent over the rows where both the budget and the spending are present."""
     return budget.filter(F.col("budgeted").isNotNull() & F.col("spent").isNotNull()).agg(
         total(budget, "spent", digits=digits).alias("spent"),

@@ -40,16 +40,18 @@ def merchandise_revenue(
     invoices: DataFrame,
     completed: str = "completed",
     finalized: str = "finalized",
+    digits: int | None = None,
 ) -> DataFrame:
     """Per month: net amount plus tax of finalized invoices of completed orders.
 
     Invoices are summed per order before the join: one row per order whatever the
-    number of its invoices. Amounts arrive in the base currency.
+    number of its invoices. Amounts arrive in the base currency; ``digits`` states the
+    decimal places of net amount plus tax, if they have any such bound.
     """
     billed = invoices.filter(F.col("invoice_status") == finalized).withColumn(
         "gross", F.col("net_amount") + F.col("tax")
     )
-    per_order = billed.groupBy("order_id").agg(exact_decimal(billed, "gross", 6).alias("gross"))
+    per_order = billed.groupBy("order_id").agg(exact_decimal(billed, "gross", digits).alias("gross"))
     return (
         orders.filter(F.col("status") == completed)
         .select("order_id", month_of("order_at").alias("month"))
@@ -228,7 +230,7 @@ def revenue_retention(
     now = period_span(month, "month")
     then = period_span(month, "month", -months_back)
     in_now, in_then = within(revenue, "order_at", *now), within(revenue, "order_at", *then)
-    amount, scale = whole(revenue, "amount", 2)
+    amount, scale = whole(revenue, "amount")
     cohort = (
         revenue.filter(in_now | in_then)
         .groupBy(customer)
@@ -241,6 +243,8 @@ def revenue_retention(
     before, after = F.col("before"), F.col("after")
 
     def moved(value: Column, name: str) -> Column:
+        if scale != 1.0:
+            value = value.cast("decimal(20,0)")
         return F.coalesce(F.sum(value).cast("double") / F.lit(scale), F.lit(0.0)).alias(name)
 
     return cohort.agg(

@@ -100,7 +100,7 @@ def _in_scope(
 def _refund_per_order(refunds: DataFrame) -> DataFrame:
     """Refunds combined per order first: an order with very many refunds is one row."""
     return refunds.groupBy("order_id").agg(
-        exact_decimal(refunds, "refund_amount", 4).alias("refund")
+        exact_decimal(refunds, "refund_amount").alias("refund")
     )
 
 
@@ -120,7 +120,9 @@ def definition_values(
         *[inside.alias(f"in_{d.name}") for d, inside in counts.items()],
     )
     if any(d.net for d in definitions):
-        flagged = flagged.join(_refund_per_order(refunds), "order_id", "left")
+        # Only refunds of these orders are grouped; few orders are broadcast by their size.
+        theirs = refunds.join(flagged.select("order_id"), "order_id", "left_semi")
+        flagged = flagged.join(_refund_per_order(theirs), "order_id", "left")
     totals = []
     for d in definitions:
         total = F.sum(d.name)

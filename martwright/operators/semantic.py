@@ -44,6 +44,10 @@ def _join_path(entities: dict[str, dict], start: str, goal: str) -> list[dict]:
     raise ValueError(f"no declared join from {start} to {goal}")
 
 
+def _sum(source: Column, wide: str | None) -> Column:
+    return F.sum(source) if wide is None else F.sum(source).cast(wide)
+
+
 def _parts(rows: DataFrame, measure: dict) -> tuple[list[Column], list[Column], Column]:
     """Partial aggregates, how to add them up, and the final value of a measure."""
     name, kind = measure["name"], measure["aggregation"]
@@ -54,9 +58,11 @@ def _parts(rows: DataFrame, measure: dict) -> tuple[list[Column], list[Column],
             source, scale = whole(rows, measure["source"], measure.get("digits"))
     if measure.get("filter"):
         source = F.when(F.expr(measure["filter"]), source)
+    # Integers are partial sums per key; what is added up further are decimals.
+    wide = "decimal(20,0)" if scale != 1.0 else None
     if kind == "sum":
         value = F.col(name).cast("double") / F.lit(scale)
-        return [F.sum(source).alias(name)], [F.sum(name).alias(name)], value
+        return [_sum(source, wide).alias(name)], [F.sum(name).alias(name)], value
     if kind == "count":
         return [F.count(source).alias(name)], [F.sum(name).alias(name)], F.col(name)
     if kind in ("min", "max"):
@@ -65,7 +71,7 @@ def _parts(rows: DataFrame, measure: dict) -> tuple[list[Column], list[Column],
     if kind == "avg":
         s, n = f"{name}__sum", f"{name}__n"
         return (
-            [F.sum(source).alias(s), F.count(source).alias(n)],
+            [_sum(source, wide).alias(s), F.count(source).alias(n)],
             [F.sum(s).alias(s), F.sum(n).alias(n)],
             ratio(F.col(s).cast("double") / F.lit(scale), F.col(n)),
         )

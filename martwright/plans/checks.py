@@ -178,7 +178,7 @@ SELECT period, value, previous, change_pct,
 """)
 def check_value_change(spark: SparkSession, root: str) -> DataFrame:
     monthly = checks.per_period(
-        read_table(spark, root, "orders"), "o_orderdate", "month", "o_totalprice"
+        views.orders(spark, root), "order_at", "month", "amount"
     )
     return checks.change_series(monthly, 15)
 

@@ -202,17 +202,20 @@ def issue_drafts(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT source, doc_id, lang,
-                  LAG(lang) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents),
+WITH c AS (SELECT source, doc_id, lang, text,
+                  LAG(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents),
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id DESC) AS position
-      FROM c WHERE before IS NULL OR before <> lang)
+      FROM c WHERE before IS NULL OR before <> text)
 SELECT source, doc_id, lang, CAST(position AS INTEGER) AS position FROM k WHERE position <= 30
 """)
 def revision_dedup(spark: SparkSession, root: str) -> DataFrame:
-    """Each source is a contract, its documents in order are revisions, the language is the text."""
-    revisions = read_table(spark, root, "documents").select("source", "doc_id", "lang")
-    chunk = F.floor(F.col("doc_id") / 256)
-    return history.latest_revisions(revisions, ["source"], "doc_id", "lang", chunk, 30)
+    """Each source is a contract, its documents in order are the revisions of its text."""
+    revisions = read_table(spark, root, "documents").select(
+        "source", "doc_id", "lang", F.sha2("text", 256).alias("digest")
+    )
+    chunks = [F.floor(F.col("doc_id") / width) for width in (2**12, 2**24, 2**36)]
+    latest = history.latest_revisions(revisions, ["source"], "doc_id", "digest", chunks, 30)
+    return latest.drop("digest")
 
 
 @query("""

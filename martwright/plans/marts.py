@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.functions.values import month_of, total
+from martwright.functions.values import month_of, scaled, total
 from martwright.operators import marts
 from martwright.plans import views
 from martwright.plans.registry import query
@@ -36,7 +36,8 @@ LTV_SQL = """
 
 @query(DAILY_SQL)
 def mart_daily_revenue(spark: SparkSession, root: str) -> DataFrame:
-    return marts.daily_revenue(views.orders(spark, root), views.ORDERS_AS_OF_TIME, views.PAID)
+    mart = marts.daily_revenue(views.orders(spark, root), views.ORDERS_AS_OF_TIME, views.PAID)
+    return scaled(mart, "revenue", 2)
 
 
 @query(LTV_SQL)
@@ -98,7 +99,7 @@ def budget_utilisation(spark: SparkSession, root: str) -> DataFrame:
         .select("order_id", F.col("amount").alias("budgeted"))
         .join(spent, "order_id", "left")
     )
-    return marts.budget_utilisation(budget, 4)
+    return marts.budget_utilisation(budget)
 
 
 @query("""

@@ -39,7 +39,7 @@ FROM orders JOIN inv ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP
 """)
 def gmv(spark: SparkSession, root: str) -> DataFrame:
     return metrics.merchandise_revenue(
-        views.orders(spark, root), views.invoices(spark, root), views.PAID, "F"
+        views.orders(spark, root), views.invoices(spark, root), views.PAID, "F", digits=6
     )
 
 
@@ -182,7 +182,7 @@ def mrr_by_plan(spark: SparkSession, root: str) -> DataFrame:
     segment = F.col("c_mktsegment")
     subscriptions = read_table(spark, root, "customer").select(
         F.when(segment == "HOUSEHOLD", "trial").otherwise(segment).alias("plan_name"),
-        F.col("c_acctbal").alias("plan_amount"),
+        F.col("c_acctbal").alias("plan_amount", metadata=views.CENTS),
         F.when(F.col("c_acctbal") >= 5000, "annual").otherwise("monthly").alias("billing_interval"),
         F.lit("active").alias("status"),
     )

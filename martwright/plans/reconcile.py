@@ -74,7 +74,7 @@ def reconcile(spark: SparkSession, root: str) -> DataFrame:
         orders.select("order_id", "metric")
         .join(lines, "order_id")
         .groupBy("metric")
-        .agg(total(lines, "net", digits=4).alias("value"))
+        .agg(total(lines, "net").alias("value"))
     )
     fine = F.lit(None).cast("string")
     broken = F.when(F.col("metric") == "revenue_2001", "report not available")
@@ -113,14 +113,16 @@ def reconcile_by_dim(spark: SparkSession, root: str) -> DataFrame:
     Facts are summed by customer and by supplier before they meet the dimensions.
     """
     orders = views.orders(spark, root)
-    per_customer = orders.groupBy("customer_id").agg(total(orders, "amount").alias("v"))
+    per_customer = orders.groupBy("customer_id").agg(
+        total(orders, "amount").alias("v", metadata=views.CENTS)
+    )
     customer = read_table(spark, root, "customer").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("nation")
     )
     lines = read_table(spark, root, "lineitem").select(
         F.col("l_suppkey").alias("supplier_id"), views.net_price().alias("net")
     )
-    per_supplier = lines.groupBy("supplier_id").agg(total(lines, "net", digits=4).alias("v"))
+    per_supplier = lines.groupBy("supplier_id").agg(total(lines, "net", digits=4).alias("v", metadata=views.FOUR_DIGITS))
     supplier = read_table(spark, root, "supplier").select(
         F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").alias("nation")
     )
@@ -130,6 +132,6 @@ def reconcile_by_dim(spark: SparkSession, root: str) -> DataFrame:
         .agg(total(per_customer, "v").alias("value")),
         per_supplier.join(supplier, "supplier_id")
         .groupBy("nation")
-        .agg(total(per_supplier, "v", digits=4).alias("value")),
+        .agg(total(per_supplier, "v").alias("value")),
         ["nation"],
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.functions.values import instant
 from martwright.operators import data_tests
 from martwright.plans import views
 from martwright.plans.marts import mart_daily_revenue
@@ -19,14 +19,14 @@ LATE = datetime(2024, 2, 2)
 
 
 @query("""
-SELECT COUNT(*) AS row_count FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-02'
-HAVING COUNT(*) = 0
+SELECT COUNT(*) AS row_count FROM customer
+WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) HAVING COUNT(*) = 0
 """)
 def test_not_empty(spark: SparkSession, root: str) -> DataFrame:
-    """Orders of the newest day are missing."""
-    newest = views.ORDERS_AS_OF_TIME + timedelta(days=1)
-    orders = views.orders(spark, root)
-    return data_tests.not_empty(orders.filter(F.col("order_at") >= instant(newest)))
+    """No customer is of an unknown nation, so that table is found to be empty."""
+    nations = read_table(spark, root, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    stray = read_table(spark, root, "customer").join(nations, "c_nationkey", "left_anti")
+    return data_tests.not_empty(stray)
 
 
 @query("""
@@ -67,14 +67,18 @@ def test_unique_key(spark: SparkSession, root: str) -> DataFrame:
 
 
 def suite(spark: SparkSession, root: str) -> DataFrame:
-    """Declared tests on three tables, key tests, and SQL tests of which one is broken."""
+    """Declared tests on three tables, key tests, and SQL tests.
+
+    One SQL test cannot be analysed and one fails while it runs.
+    """
     lineitem = read_table(spark, root, "lineitem")
     mart = mart_daily_revenue(spark, root)
     documents = views.labelled_documents(spark, root)
-    view = "martwright_daily"
+    orders = read_table(spark, root, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    view = f"daily_{uuid.uuid4().hex}"
     mart.createOrReplaceTempView(view)
     dt = data_tests
-    return dt.data_test_suite(
+    results = dt.data_test_suite(
         spark,
         declared=[
             (
@@ -98,11 +102,14 @@ def suite(spark: SparkSession, root: str) -> DataFrame:
         ],
         custom={
             "lines_unique": lambda: dt.duplicate_keys(lineitem, ["l_orderkey", "l_linenumber"]),
-            "mart_day_unique": lambda: dt.duplicate_keys(mart, ["day"]),
+            "lines_have_orders": lambda: lineitem.join(orders, "l_orderkey", "left_anti"),
             "mart_revenue_positive": f"SELECT day FROM {view} WHERE revenue <= 0",
             "mart_broken": f"SELECT missing_column FROM {view}",
+            "mart_divides": f"SELECT day FROM {view} WHERE revenue / (revenue - revenue) > 1",
         },
     )
+    spark.catalog.dropTempView(view)
+    return results
 
 
 _SUITE_SQL = """
@@ -119,9 +126,8 @@ counts AS (
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
     UNION ALL SELECT 'lines_unique', COUNT(*) FROM (
         SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1)
-    UNION ALL SELECT 'mart_day_unique', COUNT(*) FROM (
-        SELECT day FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders
-                         WHERE o_orderstatus = 'F' GROUP BY 1) GROUP BY 1 HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'lines_have_orders', COUNT(*) FROM lineitem
+        WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
     UNION ALL SELECT 'mart_revenue_positive', COUNT(*) FROM (
         SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'F'
         GROUP BY 1 HAVING SUM(o_totalprice) <= 0)),
@@ -130,7 +136,8 @@ results AS (
            CASE WHEN problem_rows > 0 THEN 'failed' ELSE 'passed' END AS status,
            CASE WHEN problem_rows > 0 THEN problem_rows || ' problem row(s)' ELSE '' END AS message
     FROM counts
-    UNION ALL SELECT 'mart_broken', NULL, 'error', 'UNRESOLVED_COLUMN.WITH_SUGGESTION')
+    UNION ALL SELECT 'mart_broken', NULL, 'error', 'UNRESOLVED_COLUMN.WITH_SUGGESTION'
+    UNION ALL SELECT 'mart_divides', NULL, 'error', 'DIVIDE_BY_ZERO')
 """
 
 

@@ -11,12 +11,14 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.functions.values import money, total
+from martwright.functions.values import money, scaled, total
 from martwright.session import read_table
 
 # "Now" of the data: every query gets it as a literal.
 EVENTS_AS_OF = datetime(2024, 1, 31)
 ORDERS_AS_OF = date(2001, 8, 1)
+# Decimal places of floating amounts: what ``values.scaled`` states.
+CENTS, FOUR_DIGITS = {"digits": 2}, {"digits": 4}
 ORDERS_AS_OF_TIME = datetime(2001, 8, 1)
 MONTH = date(2001, 7, 1)
 
@@ -38,7 +40,7 @@ def orders(spark: SparkSession, root: str) -> DataFrame:
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").alias("amount"),
+        F.col("o_totalprice").alias("amount", metadata=CENTS),
         F.col("o_orderdate").alias("order_at"),
         F.col("o_orderpriority").alias("priority"),
     )
@@ -102,16 +104,21 @@ def refunds(spark: SparkSession, root: str) -> DataFrame:
     return (
         read_table(spark, root, "lineitem")
         .filter(F.col("l_returnflag") == "R")
-        .select(F.col("l_orderkey").alias("order_id"), net_price().alias("refund_amount"))
+        .select(
+            F.col("l_orderkey").alias("order_id"),
+            net_price().alias("refund_amount", metadata=FOUR_DIGITS),
+        )
     )
 
 
 def line_totals(spark: SparkSession, root: str) -> DataFrame:
     """Net line value per order, exact to four digits."""
     lines = read_table(spark, root, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"), net_price().alias("net")
+        F.col("l_orderkey").alias("order_id"), net_price().alias("net", metadata=FOUR_DIGITS)
+    )
+    return lines.groupBy("order_id").agg(
+        total(lines, "net").alias("net", metadata=FOUR_DIGITS)
     )
-    return lines.groupBy("order_id").agg(total(lines, "net", digits=4).alias("net"))
 
 
 def invoices(spark: SparkSession, root: str) -> DataFrame:
@@ -125,7 +132,7 @@ def invoices(spark: SparkSession, root: str) -> DataFrame:
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, root, "events")
+    return scaled(read_table(spark, root, "events"), "value", 2)
 
 
 def labelled_documents(spark: SparkSession, root: str) -> DataFrame:

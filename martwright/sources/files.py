@@ -91,3 +91,9 @@ def scan_source(spark: SparkSession, spec: dict) -> DataFrame:
 def stamp_loaded(df: DataFrame, as_of: datetime) -> DataFrame:
     """Add the load time (not the time of the source)."""
     return df.withColumn("_loaded_at", instant(as_of))
+
+
+def target_table(name: str, spec: dict) -> str:
+    """The table an ingest loads: the one it names, else ``raw_`` and the ingest's own name."""
+    named = spec["target"].get("table") if "target" in spec else None
+    return named or f"raw_{name}"

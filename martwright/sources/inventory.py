@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martwright.sources.files import target_table
+
 _COUNTS = "table_name string, row_count bigint"
 
 
@@ -31,9 +33,9 @@ def table_counts(spark: SparkSession, tables: dict[str, DataFrame | None]) -> Da
 def table_inventory(
     spark: SparkSession, tables: dict[str, DataFrame | None], entities: list[dict]
 ) -> DataFrame:
-    """Row counts next to the entity and description that cover each table."""
+    """Row counts next to the entity and the whole description that cover each table."""
     described = spark.createDataFrame(
-        [(e["table"], e["entity"], (e.get("description") or "")[:60]) for e in entities],
+        [(e["table"], e["entity"], e.get("description")) for e in entities],
         "table_name string, entity string, description string",
     )
     counts = table_counts(spark, tables)
@@ -50,10 +52,7 @@ def ingest_health(
 ) -> DataFrame:
     """Per ingest spec: target table, its rows, and ``loaded`` or ``missing``."""
     targets = spark.createDataFrame(
-        [
-            (name, spec.get("target", {}).get("table", f"raw_{name}"))
-            for name, spec in sorted(specs.items())
-        ],
+        [(name, target_table(name, spec)) for name, spec in sorted(specs.items())],
         "ingest string, table_name string",
     )
     return targets.join(table_counts(spark, tables), "table_name", "left").select(

@@ -16,9 +16,11 @@ from pyspark.sql.utils import AnalysisException
 
 from martwright.functions.values import within
 from martwright.session import cut_lineage
-from martwright.sources.files import scan_source, stamp_loaded
+from martwright.sources.files import scan_source, stamp_loaded, target_table
 
 MODES = ("append", "replace", "merge")
+# Suffixes of a table that is being written and of the one it replaces.
+_NEXT, _ASIDE = "__next", "__aside"
 
 
 class SchemaMismatch(ValueError):
@@ -35,6 +37,9 @@ class LoadResult:
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table, or None when nothing is stored yet."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)) and fs.exists(at(path + _ASIDE)):
+        fs.rename(at(path + _ASIDE), at(path))
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -74,12 +79,22 @@ def latest_per_key(df: DataFrame, keys: list[str], newest: list[Column]) -> Data
     return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
 
 
-def merged(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert: stored rows whose key does not come again, plus ``incoming``, one row per key.
+def merged(
+    stored: DataFrame, incoming: DataFrame, keys: list[str], newest: list[Column]
+) -> DataFrame:
+    """Upsert: stored rows whose key does not come, and per key that comes the newest row.
 
-    A small batch is broadcast by its size, and then the stored rows are not shuffled.
+    A stored row stays if it is newer than the incoming one by ``newest``; of equally new ones the
+    incoming one stays. A small batch is broadcast by its size, and then the stored rows are not
+    shuffled.
     """
-    return _match(stored, incoming, keys, "left_anti").unionByName(incoming)
+    contested = (
+        _match(stored, incoming, keys, "left_semi")
+        .withColumn("_comes", F.lit(0))
+        .unionByName(incoming.withColumn("_comes", F.lit(1)))
+    )
+    kept = latest_per_key(contested, keys, [*newest, F.col("_comes")]).drop("_comes")
+    return _match(stored, incoming, keys, "left_anti").unionByName(kept)
 
 
 def _match(stored: DataFrame, incoming: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -144,13 +159,38 @@ def load(
             narrow = bool(parts) and set(parts) <= set(primary_key)
             if narrow:
                 stored = _touched(stored, batch, parts)
-            # The table is read and rewritten, so the result is written aside in between.
-            result = cut_lineage(merged(stored, batch, primary_key))
-            _overwrite(result, path, parts, "dynamic" if narrow else "static")
+            result = merged(stored, batch, primary_key, order)
+            if narrow:
+                # Spark stages the partitions and moves them when all are written.
+                _overwrite(result, path, parts, "dynamic")
+            else:
+                _swap_in(result, path, parts)
     added = int(counted.get["rows"])
     return LoadResult(path, mode, added, spark.read.parquet(path).count())
 
 
+def _swap_in(df: DataFrame, path: str, parts: list[str]) -> None:
+    """Write a table that is also read: once, beside the old one, then change places.
+
+    A failed write leaves the old table where it was. Between the two renames the old
+    table stands under its aside name, from which ``existing`` brings it back.
+    """
+    spark = df.sparkSession
+    _overwrite(df, path + _NEXT, parts, "static")
+    fs, at = _file_system(spark, path)
+    fs.delete(at(path + _ASIDE), True)
+    fs.rename(at(path), at(path + _ASIDE))
+    fs.rename(at(path + _NEXT), at(path))
+    fs.delete(at(path + _ASIDE), True)
+    spark.catalog.refreshByPath(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system that holds ``path`` and a function that names places in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def _overwrite(df: DataFrame, path: str, parts: list[str], scope: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", scope).partitionBy(*parts).parquet(
         path
@@ -158,7 +198,7 @@ def _overwrite(df: DataFrame, path: str, parts: list[str], scope: str) -> None:
 
 
 def run_ingest(
-    spark: SparkSession, spec: dict, root: str, as_of: datetime, backfill: bool = True
+    spark: SparkSession, spec: dict, root: str, as_of: datetime, backfill: bool = False
 ) -> LoadResult:
     """Scan the source of ``spec``, stamp it and load it into ``root/<table>``.
 
@@ -181,8 +221,18 @@ def run_ingest(
     )
 
 
-def load_folder(spark: SparkSession, paths: dict[str, str], root: str, as_of: datetime) -> None:
-    """Replace one table per CSV: ``{table name: csv path}``."""
+def csv_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The CSV files (or folders named like one) of a folder, by their name without the ending."""
+    fs, at = _file_system(spark, folder)
+    found = [s.getPath() for s in fs.globStatus(at(f"{folder}/*.csv"))]
+    return {p.getName().removesuffix(".csv"): p.toString() for p in found}
+
+
+def load_folder(
+    spark: SparkSession, source: str | dict[str, str], root: str, as_of: datetime
+) -> None:
+    """Replace one table per CSV of a folder, or per entry of ``{table name: csv path}``."""
+    paths = csv_files(spark, source) if isinstance(source, str) else source
     for table, path in sorted(paths.items()):
         spec = {
             "source": {"type": "csv", "path": path},
@@ -191,6 +241,22 @@ def load_folder(spark: SparkSession, paths: dict[str, str], root: str, as_of: da
         run_ingest(spark, spec, root, as_of)
 
 
+def transform_sql(spark: SparkSession, text: str, root: str) -> DataFrame:
+    """The rows of a transform's SQL text, whose table names are the folders under ``root``.
+
+    The names live in a session of their own, so that two roots do not meet.
+    """
+    session = spark.newSession()
+    fs, at = _file_system(spark, root)
+    for status in fs.listStatus(at(root)):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.isidentifier() and not name.endswith((_NEXT, _ASIDE)):
+            stored = existing(session, f"{root}/{name}")
+            if stored is not None:
+                stored.createOrReplaceTempView(name)
+    return session.sql(text)
+
+
 def materialise(mart: DataFrame, path: str) -> int:
     """Full rebuild of a mart table; running it again gives the same table. Returns its rows."""
     counted = Observation()
@@ -200,19 +266,27 @@ def materialise(mart: DataFrame, path: str) -> int:
 
 
 def run_everything(
-    spark: SparkSession, specs: dict[str, dict], marts: dict, root: str, as_of: datetime
+    spark: SparkSession,
+    specs: dict[str, dict],
+    marts: dict,
+    root: str,
+    as_of: datetime,
+    backfill: bool = False,
 ) -> dict[str, int]:
     """Every ingest in name order, then every mart in name order; no dependency graph.
 
-    ``marts`` maps a table name to ``f(read, as_of) -> DataFrame`` where ``read(table)``
-    opens a table under ``root``.
+    ``marts`` maps a table name to the SQL text of its transform, or to
+    ``f(read, as_of) -> DataFrame`` where ``read(table)`` opens a table under ``root``.
     """
     rows = {}
     for name in sorted(specs):
-        rows[specs[name]["target"]["table"]] = run_ingest(
-            spark, specs[name], root, as_of
+        rows[target_table(name, specs[name])] = run_ingest(
+            spark, specs[name], root, as_of, backfill
         ).rows_in_table
     for name in sorted(marts):
-        mart = marts[name](lambda table: spark.read.parquet(f"{root}/{table}"), as_of)
+        if isinstance(marts[name], str):
+            mart = transform_sql(spark, marts[name], root)
+        else:
+            mart = marts[name](lambda table: spark.read.parquet(f"{root}/{table}"), as_of)
         rows[name] = materialise(mart, f"{root}/{name}")
     return rows

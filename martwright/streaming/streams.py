@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from threading import Event
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from martwright.functions.values import PASSED, WARNING, instant
 from martwright.sources.files import stamp_loaded
 
+_REPORT_SECONDS = 300
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -34,14 +38,43 @@ def utc_instant(column: str) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.col(column)))
 
 
-def _finish(query: StreamingQuery) -> StreamRun:
-    query.awaitTermination()
-    rows = late = 0
-    for progress in query.recentProgress:
-        rows += progress["numInputRows"]
-        for state in progress["stateOperators"]:
-            late += state["numRowsDroppedByWatermark"]
-    return StreamRun(rows, late)
+class _Tally(StreamingQueryListener):
+    """Adds up every batch of one query as it is reported; the stored list of batches is short."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = defaultdict(int)
+        self.late: dict[str, int] = defaultdict(int)
+        self.ended: dict[str, Event] = defaultdict(Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        run = str(progress.runId)
+        self.rows[run] += progress.numInputRows
+        self.late[run] += sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+
+def _finish(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamRun:
+    """Run a query to its end and count its rows, batch by batch."""
+    tally = _Tally()
+    spark.streams.addListener(tally)
+    try:
+        query = start()
+        query.awaitTermination()
+        run = str(query.runId)
+        if not tally.ended[run].wait(_REPORT_SECONDS):
+            raise TimeoutError("the batches of the stream were not reported")
+    finally:
+        spark.streams.removeListener(tally)
+    return StreamRun(tally.rows[run], tally.late[run])
 
 
 def stream_append(
@@ -59,10 +92,11 @@ def stream_append(
         reader = reader.option("header", True).option("escape", '"')
     rows = stamp_loaded(reader.load(source), as_of)
     return _finish(
-        rows.writeStream.format("parquet")
+        spark,
+        lambda: rows.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(target)
+        .start(target),
     )
 
 
@@ -108,9 +142,10 @@ def stream_daily_checks(
         )
 
     return _finish(
-        rows.writeStream.outputMode("update")
+        spark,
+        lambda: rows.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(keep)
         .trigger(availableNow=True)
-        .start()
+        .start(),
     )
