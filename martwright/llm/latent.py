@@ -6,11 +6,12 @@
    TF-IDF weight on the benchmark's buckets is below ``gate`` of its whole weight cannot reach a
    higher cosine with any benchmark text, and is left there. The others are written down, with the words
    around them.
-3. A randomised SVD of their TF-IDF rows and the benchmark's: products with a fixed random matrix
-   are summed over partitions, one power step sharpens them, and a small eigenproblem gives ``rank``
-   latent directions.
-4. Passages are compared with all benchmark pieces in the latent space; pairs with a cosine of ``cosine``
-   or more are candidates.
+3. A randomised SVD of their TF-IDF rows and the benchmark's, of which each weighs as much as all
+   passages together, so that text which the corpus repeats does not push it out: products with a fixed random matrix are summed over partitions, one power step
+   sharpens them, and a small eigenproblem gives ``rank`` latent directions. There is one such space for
+   every ``rank`` benchmark pieces, so that no piece is lost to the others.
+4. Passages are compared with the benchmark pieces in the latent space; pairs with a cosine of ``cosine``
+   or more (of the whole passage with what the space keeps of the piece) are candidates.
 5. A candidate is a leak if the heaviest common subsequence of words, each weighing its rarity,
    covers ``exact`` of the piece, or ``loose`` of it while the answer, the last words of the benchmark
    text, is found in order too.
@@ -51,7 +52,7 @@ def pair_bucket(hashes: np.ndarray) -> np.ndarray:
     return bucket(mix(hashes[:-1] * U(0x9FB21C651E98DF25) + hashes[1:]))
 
 
-def sum_arrays(parts: DataFrame, length: int, tasks: int = 16) -> np.ndarray:
+def sum_arrays(parts: DataFrame, length: int, tasks: int = 4) -> np.ndarray:
     """The sum of all arrays of doubles in the binary column ``part``, added up in two levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarity(docs: DataFrame, text_col: str, window: int, stride: int) -> np.ndarray:
-    """Inverse passage frequency of every bucket, over all documents.
+    """Inverse passage frequency of every bucket (float32), over all documents.
 
     With passages ``stride`` apart an occurrence lies in ``window / stride`` of them.
     """
@@ -93,20 +94,22 @@ def rarity(docs: DataFrame, text_col: str, window: int, stride: int) -> np.ndarr
     counts = sum_arrays(parts, BUCKETS + 1)
     passages = counts[BUCKETS] / stride
     seen = np.minimum(counts[:BUCKETS] * window / stride, passages)
-    return np.log((1 + passages) / (1 + seen)) + 1e-3
+    return (np.log((1 + passages) / (1 + seen)) + 1e-3).astype(np.float32)
 
 
 @dataclass
 class Pieces:
-    """Benchmark pieces: owner, word hashes, and the last words of the owner."""
+    """Benchmark pieces: owner, words, the owner's last words, and the rarity of both."""
 
     owner: list[int]
     hashes: list[np.ndarray]
     answer: list[np.ndarray]
+    weight: list[np.ndarray]
+    answer_weight: list[np.ndarray]
 
 
-def cut_pieces(items, piece: int, min_words: int, answer_words: int) -> Pieces:
-    out = Pieces([], [], [])
+def cut_pieces(items, idf: np.ndarray, piece: int, min_words: int, answer_words: int) -> Pieces:
+    out = Pieces([], [], [], [], [])
     for item, text in items:
         data = np.frombuffer((text or "").lower().encode(), np.uint8)
         hashes = words(data, np.array([0, len(data)]))[2]
@@ -116,12 +119,16 @@ def cut_pieces(items, piece: int, min_words: int, answer_words: int) -> Pieces:
             out.owner.append(item)
             out.hashes.append(hashes[start : start + piece])
             out.answer.append(hashes[-answer_words:])
+            out.weight.append(idf[bucket(out.hashes[-1])].astype(np.float64))
+            out.answer_weight.append(idf[bucket(out.answer[-1])].astype(np.float64))
     return out
 
 
 def _passages(
-    idf: np.ndarray, wanted: np.ndarray, window: int, stride: int, lead: int, gate: float
+    idf: np.ndarray, place: np.ndarray, window: int, stride: int, lead: int, gate: float
 ) -> Callable:
+    """Texts to passages above the gate: their benchmark terms by place, and their length as a vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_column(pc.utf8_lower(batch.column(3)))
@@ -129,8 +136,8 @@ def _passages(
                 at = offsets[first : last + 1] - offsets[first]
                 _, _, hashes, of = words(data[offsets[first] : offsets[last]], at)
                 slot, pair = bucket(hashes), np.append(pair_bucket(hashes), 0)
-                every, ours = _masses(slot, idf, wanted)
-                pairs, our_pairs = _masses(pair[:-1], idf, wanted)
+                every, ours = _masses(slot, idf, place)
+                pairs, our_pairs = _masses(pair[:-1], idf, place)
                 count = np.bincount(of, minlength=last - first)
                 begin = np.cumsum(count) - count
                 n = np.where(count > 0, -(-np.maximum(count - window, 0) // stride) + 1, 0)
@@ -151,109 +158,138 @@ def _passages(
                     [
                         *(batch.column(i).take(pa.array(first + doc)) for i in range(3)),
                         pa.array((low - begin[doc]).astype(np.int32)),
-                        _lists(
-                            np.concatenate([slot, pair]).astype(np.int32),
+                        _terms(
+                            np.concatenate([place[slot], place[pair]]),
                             np.column_stack([low, low + len(slot)]).ravel(),
                             np.column_stack([high, end[keep] + len(slot)]).ravel(),
-                            every=2,
                         ),
+                        pa.array(np.sqrt(whole[keep])),
                         _lists(hashes.view(np.int64), left, right),
                     ],
-                    names=["k1", "k2", "id", "start", "slots", "around"],
+                    names=["k1", "k2", "id", "start", "terms", "norm", "around"],
                 )
 
     return run
 
 
-def _masses(slots: np.ndarray, idf: np.ndarray, wanted: np.ndarray):
-    """Running sums of the squared weights of all terms and of the wanted ones."""
-    mass = idf[slots] ** 2
-    ours = np.where(wanted[slots], mass, 0.0)
+def _masses(slots: np.ndarray, idf: np.ndarray, place: np.ndarray):
+    """Running sums of the squared weights of all terms and of the benchmark's."""
+    mass = idf[slots].astype(np.float64) ** 2
+    ours = np.where(place[slots] >= 0, mass, 0.0)
     return np.append(0.0, np.cumsum(mass)), np.append(0.0, np.cumsum(ours))
 
 
-def _lists(values: np.ndarray, low: np.ndarray, high: np.ndarray, every: int = 1) -> pa.ListArray:
-    """Lists of ``values[low:high]``, each of ``every`` such ranges one after the other."""
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and where each range begins and ends."""
     size = high - low
     ends = np.append(0, np.cumsum(size))
-    at = np.arange(ends[-1]) + np.repeat(low - ends[:-1], size)
-    ends = ends[::every].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[at]))
-
-
-def _unit_rows(slots: np.ndarray, size: np.ndarray, idf: np.ndarray):
-    """Distinct (row, slot) with TF-IDF values of unit length, in order of rows."""
-    row = np.repeat(np.arange(len(size)), size)
-    pair, tf = np.unique(row * BUCKETS + slots, return_counts=True)
-    row, slot = pair // BUCKETS, pair % BUCKETS
-    value = tf * idf[slot]
-    norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(size)))
-    return row, slot, value / norm[row]
-
-
-def project(slots, size, idf, place, matrix) -> np.ndarray:
-    """Rows times ``matrix``; ``place`` gives a bucket's row of it, -1 for none."""
-    row, slot, value = _unit_rows(slots, size, idf)
-    inside = place[slot] >= 0
-    row, slot, value = row[inside], place[slot[inside]], value[inside]
-    out = np.zeros((len(size), matrix.shape[1]))
+    return np.arange(ends[-1]) + np.repeat(low - ends[:-1], size), ends
+
+
+def _lists(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.ListArray:
+    at, ends = _ranges(low, high)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[at]))
+
+
+def _terms(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.ListArray:
+    """Lists of the places that are not -1, each of two ranges (words and pairs)."""
+    at, ends = _ranges(low, high)
+    found = places[at]
+    inside = found >= 0
+    ends = np.append(0, np.cumsum(inside))[ends[::2]]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found[inside]))
+
+
+@dataclass
+class Rows:
+    """TF-IDF rows: terms by place, terms per row, length of each row as a vector."""
+
+    terms: np.ndarray
+    size: np.ndarray
+    norm: np.ndarray
+
+    def entries(self, weight: np.ndarray):
+        """Distinct (row, term), in order of rows, with the values of unit rows."""
+        n = len(weight)
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        pair, tf = np.unique(row * n + self.terms, return_counts=True)
+        row, term = pair // n, pair % n
+        return row, term, tf * weight[term] / self.norm[row]
+
+
+def project(rows: Rows, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Rows times ``matrix``, which has a line per term."""
+    row, term, value = rows.entries(weight)
+    out = np.zeros((len(rows.size), matrix.shape[1]))
     full, begin = np.unique(row, return_index=True)
     if len(full):
-        out[full] = np.add.reduceat(matrix[slot] * value[:, None], begin, axis=0)
+        out[full] = np.add.reduceat(matrix[term] * value[:, None], begin, axis=0)
     return out
 
 
-def back(slots, size, idf, place, left, n: int) -> np.ndarray:
+def back(rows: Rows, weight: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Transposed rows times ``left`` (one line per row)."""
-    row, slot, value = _unit_rows(slots, size, idf)
-    inside = place[slot] >= 0
-    out = np.zeros((n, left.shape[1]))
-    np.add.at(out, place[slot[inside]], left[row[inside]] * value[inside][:, None])
-    return out
+    row, term, value = rows.entries(weight)
+    part = left[row] * value[:, None]
+    columns = [np.bincount(term, part[:, c], len(weight)) for c in range(left.shape[1])]
+    return np.column_stack(columns)
 
 
-def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _rows(batch: pa.RecordBatch, inner: np.ndarray, terms: int, norm: int):
+    """(first row, Rows) of the batch, with the terms that ``inner`` gives a place in the group."""
     for first in range(0, batch.num_rows, 2048):
-        lists = batch.slice(first, 2048).column(column)
-        ends = lists.offsets.to_numpy()
-        yield first, lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.int64), np.diff(ends)
+        part = batch.slice(first, 2048)
+        ends = part.column(terms).offsets.to_numpy()
+        values = inner[part.column(terms).values.to_numpy()[ends[0] : ends[-1]]]
+        kept = values >= 0
+        size = np.diff(np.append(0, np.cumsum(kept))[ends - ends[0]])
+        yield first, Rows(values[kept].astype(np.int64), size, part.column(norm).to_numpy())
 
 
-def _product(idf, place, matrix, gram: bool) -> Callable:
+def _product(weight: np.ndarray, inner: np.ndarray, matrix: np.ndarray, gram: bool) -> Callable:
     """Partition sums of A'A M, or, if ``gram``, of (A M)'(A M)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, rank = matrix.shape
         total = np.zeros((rank if gram else n, rank))
         for batch in batches:
-            for _, slots, size in _batches(batch, 0):
-                left = project(slots, size, idf, place, matrix)
-                total += left.T @ left if gram else back(slots, size, idf, place, left, n)
+            for _, rows in _rows(batch, inner, 0, 1):
+                left = project(rows, weight, matrix)
+                total += left.T @ left if gram else back(rows, weight, left)
         yield _part(total.ravel())
 
     return run
 
 
 def latent_space(
-    passages: DataFrame, own: tuple[np.ndarray, np.ndarray], idf, place, rank: int, seed: int
+    passages: DataFrame,
+    own: Rows,
+    weight: np.ndarray,
+    inner: np.ndarray,
+    rank: int,
+    heavy: float,
+    seed: int,
 ) -> np.ndarray:
-    """Leading right singular vectors of the passages' rows and the benchmark's ``own`` rows."""
-    n = int(place.max()) + 1
+    """Leading right singular vectors of the passages' rows and ``heavy`` times the ``own`` rows."""
+    n = len(weight)
     rank = min(rank, n)
-    slots = passages.select("slots").coalesce(max(8, shuffle_width(passages.sparkSession) // 4))
+    rows = passages.select("terms", "norm").coalesce(
+        max(8, shuffle_width(passages.sparkSession) // 4)
+    )
 
     def product(matrix: np.ndarray, gram: bool = False) -> np.ndarray:
         shape = (rank, rank) if gram else (n, rank)
-        parts = slots.mapInArrow(_product(idf, place, matrix, gram), "part binary")
-        left = project(*own, idf, place, matrix)
-        ours = left.T @ left if gram else back(*own, idf, place, left, n)
-        return sum_arrays(parts, shape[0] * shape[1]).reshape(shape) + ours
+        matrix = matrix.astype(np.float32)
+        parts = rows.mapInArrow(_product(weight, inner, matrix, gram), "part binary")
+        left = project(own, weight, matrix)
+        ours = left.T @ left if gram else back(own, weight, left)
+        return sum_arrays(parts, shape[0] * shape[1]).reshape(shape) + heavy * ours
 
     basis = np.random.default_rng(seed).standard_normal((n, rank))
     for _ in range(2):
         basis = np.linalg.qr(product(basis))[0]
     strength, turn = np.linalg.eigh(product(basis, gram=True))
-    return basis @ turn[:, strength > 1e-9 * max(strength.max(), 1e-300)]
+    return (basis @ turn[:, strength > 1e-9 * max(strength.max(), 1e-300)]).astype(np.float32)
 
 
 def common_share(piece: np.ndarray, text: np.ndarray, weight: np.ndarray) -> float:
@@ -265,23 +301,24 @@ def common_share(piece: np.ndarray, text: np.ndarray, weight: np.ndarray) -> flo
     return float(best[-1] / weight.sum())
 
 
-def _search(idf, place, space, pieces: Pieces, latent, cosine, exact, loose, found) -> Callable:
+def _search(weight, inner, space, pieces: Pieces, latent, cosine, exact, loose, found) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(5)
+            lists = batch.column(6)
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(U)
             rows, hits = [], []
-            for first, slots, size in _batches(batch, 4):
-                at = project(slots, size, idf, place, space)
-                at /= np.maximum(np.sqrt((at * at).sum(axis=1)), 1e-12)[:, None]
-                alike = at @ latent.T
+            for first, part in _rows(batch, inner, 4, 5):
+                alike = project(part, weight, space) @ latent.T
                 for i, j in zip(*np.nonzero(alike >= cosine), strict=True):
                     around = values[ends[first + i] : ends[first + i + 1]]
-                    piece, answer = pieces.hashes[j], pieces.answer[j]
-                    cover = common_share(piece, around, idf[bucket(piece)])
+                    # Words that occur at all bound the subsequence from above.
+                    weighs = pieces.weight[j]
+                    if weighs[np.isin(pieces.hashes[j], around)].sum() < loose * weighs.sum():
+                        continue
+                    cover = common_share(pieces.hashes[j], around, weighs)
                     if cover < loose:
                         continue
-                    told = common_share(answer, around, idf[bucket(answer)])
+                    told = common_share(pieces.answer[j], around, pieces.answer_weight[j])
                     if cover >= exact or told >= found:
                         rows.append(first + i)
                         hits.append((pieces.owner[j], cover, told, float(alike[i, j])))
@@ -306,9 +343,9 @@ def leaks(
     piece: int = 64,
     min_words: int = 8,
     answer_words: int = 8,
-    rank: int = 96,
+    rank: int = 128,
     gate: float = 0.45,
-    cosine: float = 0.4,
+    cosine: float = 0.35,
     exact: float = 0.7,
     loose: float = 0.5,
     found: float = 0.75,
@@ -338,31 +375,45 @@ def leaks(
     hits = []
     for number in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == number)
-        pieces = cut_pieces(
-            sorted((r["item"], r["text"]) for r in part.collect()), piece, min_words, answer_words
-        )
+        texts = sorted((r["item"], r["text"]) for r in part.collect())
+        pieces = cut_pieces(texts, idf, piece, min_words, answer_words)
         if not pieces.owner:
             continue
         terms = [np.append(bucket(h), pair_bucket(h)) for h in pieces.hashes]
-        own = np.concatenate(terms), np.array([len(t) for t in terms], dtype=np.int64)
-        wanted = np.zeros(BUCKETS, dtype=bool)
-        wanted[own[0]] = True
-        place = np.where(wanted, np.cumsum(wanted) - 1, -1)
+        slots = np.unique(np.concatenate(terms))
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[slots] = np.arange(len(slots))
         passages = cut_lineage(
             keyed.mapInArrow(
-                _passages(idf, wanted, window, stride, piece, gate),
-                f"k1 long, k2 long, id {kind.simpleString()}, start int, slots array<int>,"
-                " around array<long>",
+                _passages(idf, place, window, stride, piece, gate),
+                f"k1 long, k2 long, id {kind.simpleString()}, start int, terms array<int>,"
+                " norm double, around array<long>",
             )
         )
-        space = latent_space(passages, own, idf, place, rank, seed)
-        latent = project(*own, idf, place, space)
-        latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-12)[:, None]
-        hits.append(
-            passages.mapInArrow(
-                _search(idf, place, space, pieces, latent, cosine, exact, loose, found), schema
+        n_passages = passages.count()
+        for begin in range(0, len(terms), rank):
+            group = terms[begin : begin + rank]
+            ours = np.unique(np.concatenate(group))
+            # places in the group's vocabulary of the places in the block's
+            inner = np.full(len(slots), -1, dtype=np.int32)
+            inner[place[ours]] = np.arange(len(ours))
+            weight = idf[ours].astype(np.float64)
+            own = Rows(
+                inner[place[np.concatenate(group)]].astype(np.int64),
+                np.array([len(t) for t in group]),
+                np.array([np.sqrt((idf[t].astype(np.float64) ** 2).sum()) for t in group]),
+            )
+            heavy = float(max(1, n_passages))
+            space = latent_space(passages, own, weight, inner, rank, heavy, seed)
+            latent = project(own, weight, space)
+            latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-12)[:, None]
+            some = Pieces(*(x[begin : begin + rank] for x in vars(pieces).values()))
+            hits.append(
+                passages.mapInArrow(
+                    _search(weight, inner, space, some, latent, cosine, exact, loose, found),
+                    schema,
+                )
             )
-        )
     if not hits:
         return _named(docs.sparkSession.createDataFrame([], schema), id_col)
     every = hits[0]
