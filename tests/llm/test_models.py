@@ -83,18 +83,21 @@ def test_latent_space_keeps_the_strong_directions(spark):
     draw = np.random.default_rng(2)
     n, rows = 40, 300
     groups = draw.integers(0, n // 4, rows)
-    slots = [np.append(4 * g + np.arange(4), draw.integers(0, n, 1)) for g in groups]
-    df = spark.createDataFrame([(s.tolist(),) for s in slots], "slots array<int>")
-    idf, place = np.ones(latent.BUCKETS), np.full(latent.BUCKETS, -1)
-    place[:n] = np.arange(n)
-    own = (np.arange(4), np.array([4]))
-    space = latent.latent_space(df, own, idf, place, 10, 1)
-    matrix = latent.project(
-        np.concatenate([*slots, own[0]]), np.array([5] * rows + [4]), idf, place, np.eye(n)
+    terms = [np.append(4 * g + np.arange(4), draw.integers(0, n, 1)) for g in groups]
+    df = spark.createDataFrame(
+        [(t.tolist(), 2.0) for t in terms], "terms array<int>, norm double"
     )
+    own = latent.Rows(np.arange(4), np.array([4]), np.array([2.0]))
+    space = latent.latent_space(df, own, np.ones(n), np.arange(n), 10, 1.0, 1)
+    every = latent.Rows(
+        np.concatenate([*terms, own.terms]), np.array([5] * rows + [4]), np.full(rows + 1, 2.0)
+    )
+    matrix = latent.project(every, np.ones(n), np.eye(n))
     best = np.linalg.svd(matrix, full_matrices=False)[2][:10]
     kept, most = np.linalg.norm(matrix @ space) ** 2, np.linalg.norm(matrix @ best.T) ** 2
     assert kept > 0.97 * most
+    left = draw.standard_normal((rows + 1, 3))
+    assert np.allclose(latent.back(every, np.ones(n), left), matrix.T @ left)
 
 
 def test_quality_on_held_out_labels(spark):
