@@ -10,9 +10,9 @@ def exact_percentile(df: DataFrame, value: Column, fraction: float, name: str) -
     """One row with the linearly interpolated percentile of a bigint ``value``.
 
     The built-in exact percentile keeps a map of all distinct values in one task.
-    Here equal values are counted first, then the wanted rank is narrowed down by
-    the high, middle and low bits. Each step ranks at most 2 * 65536 buckets
-    (high step: the value range divided by 2^32).
+    Here equal values are counted first, then the wanted rank is narrowed down by 16 bits at a
+    time. The first step ranks at most 65,536 buckets, each further one as many in each of
+    the one or two buckets kept.
     """
     counts = (
         df.select(value.cast("bigint").alias("v"))
@@ -20,7 +20,7 @@ def exact_percentile(df: DataFrame, value: Column, fraction: float, name: str) -
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    high = counts.groupBy(F.shiftright("v", 32).alias("b0")).agg(F.sum("n").alias("n"))
+    high = counts.groupBy(F.shiftright("v", 48).alias("b0")).agg(F.sum("n").alias("n"))
     upto = Window.orderBy("b0").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("b0").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -30,10 +30,11 @@ def exact_percentile(df: DataFrame, value: Column, fraction: float, name: str) -
         "before", F.coalesce(F.sum("n").over(upto), F.lit(0))
     )
     holds = (F.col("before") <= F.ceil("place")) & (F.col("before") + F.col("n") > F.floor("place"))
-    high = high.filter(holds).select("b0", "place", "before")
-
-    middle = _refine(counts, high, "b0", 32, "b1", 16).filter(holds)
-    low = _refine(counts, middle.select("b1", "place", "before"), "b1", 16, "v", 0).filter(holds)
+    kept = high.filter(holds).select("b0", "place", "before")
+    for step, shift in enumerate((48, 32, 16)):
+        bucket, finer = f"b{step}", "v" if shift == 16 else f"b{step + 1}"
+        low = _refine(counts, kept, bucket, shift, finer, shift - 16).filter(holds)
+        kept = low.select(finer, "place", "before")
 
     at = lambda rank: F.max(
         F.when((F.col("before") <= rank) & (F.col("before") + F.col("n") > rank), F.col("v"))

@@ -103,8 +103,8 @@ def total(
     high = F.sum(F.when(counted, F.shiftright(unit, _LOW_BITS))).cast("decimal(20,0)")
     low = F.sum(F.when(counted, unit.bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))).cast("decimal(20,0)")
     odd = ~fits if when is None else when & ~fits
-    exact = (high * F.lit(Decimal(1 << _LOW_BITS)) + low).cast("double") / F.lit(scale)
-    return F.when(F.max(odd), F.lit(float("nan"))).otherwise(exact)
+    exact = (high * F.lit(Decimal(1 << _LOW_BITS)) + low) * F.lit(Decimal(1).scaleb(-digits))
+    return F.when(F.max(odd), F.lit(float("nan"))).otherwise(exact.cast("double"))
 
 
 def exact_decimal(df: DataFrame, column: str, digits: int | None = None) -> Column:

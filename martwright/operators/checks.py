@@ -8,6 +8,7 @@ same aggregate. Only duplicate rates group the table by their column.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 from functools import reduce
 
@@ -28,7 +29,7 @@ from martwright.functions.values import (
     total,
     within,
 )
-from martwright.operators.rules import Rule, rules_of
+from martwright.operators.rules import DEFAULT_TRUST, Rule, rules_of
 
 
 # -- verdicts ------------------------------------------------------------------
@@ -276,16 +277,19 @@ def evaluate(
     tables: dict[str, DataFrame],
     as_of: datetime,
     schema_history: DataFrame | None = None,
+    defaults: Sequence[dict] = DEFAULT_TRUST,
 ) -> DataFrame:
     """Result rows of all contracts. Tables are scanned once, whatever the number of rules.
 
+    A contract without rules gets the ``defaults``.
+
     A rule over another table than that of its contract uses the contract's time column.
     """
     scans: dict[tuple[str, str], TableScan] = {}
     apart: list[DataFrame] = []
     for contract in contracts:
         stamp = contract.get("time_column", "updated_at")
-        for rule in rules_of(contract):
+        for rule in rules_of(contract, defaults):
             df = tables[rule.table_name]
             if rule.rule_type == "duplicate_rate":
                 apart.append(duplicate_result(df, rule))

@@ -23,25 +23,37 @@ def upsert_edges(*seen: DataFrame) -> DataFrame:
 def upstream(metrics: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """Ancestors of each metric with the least number of hops, at most ``hops``.
 
-    A fixed number of joins. Reached nodes are reduced to distinct rows per hop, so a
-    node reached over many paths is expanded once.
+    One growing set: each step joins it with the edges once, keeping what it has and adding what
+    lies one hop further, and reduces it to the least hops per node, so that a node
+    reached over many paths is expanded once.
     """
     links = edges.select("upstream", "downstream")
-    frontier = metrics.select("metric", F.col("metric").alias("node")).distinct()
-    reached = []
-    for hop in range(1, hops + 1):
-        frontier = (
-            frontier.join(links, F.col("node") == F.col("downstream"))
-            .select("metric", F.col("upstream").alias("node"))
-            .distinct()
-        )
-        reached.append(frontier.withColumn("hops", F.lit(hop)))
-    return (
-        reduce(DataFrame.unionByName, reached)
-        .filter(F.col("node") != F.col("metric"))
-        .groupBy("metric", "node")
-        .agg(F.min("hops").alias("hops"))
+    reached = (
+        metrics.select("metric", F.col("metric").alias("node"), F.lit(0).alias("hops"))
+        .distinct()
     )
+    for _ in range(hops):
+        here = F.struct(F.col("node"), F.col("hops"))
+        further = F.struct(F.col("upstream").alias("node"), (F.col("hops") + 1).alias("hops"))
+        both = F.when(F.col("upstream").isNull(), F.array(here)).otherwise(F.array(here, further))
+        reached = (
+            reached.join(links, F.col("node") == F.col("downstream"), "left")
+            .select("metric", F.inline(both))
+            .groupBy("metric", "node")
+            .agg(F.min("hops").alias("hops"))
+        )
+    return reached.filter(F.col("node") != F.col("metric"))
+
+
+def replace_subgraph(stored: DataFrame, metric: str, seen: DataFrame) -> DataFrame:
+    """The edge table after a metric was read anew: its edges that are gone upstream go.
+
+    ``seen`` holds all edges that lead to the metric now; first discoveries are kept.
+    """
+    before = stored.filter(F.col("downstream") == metric)
+    key = ["upstream", "downstream", "edge_type"]
+    still = before.join(seen.select(*key), key, "left_semi")
+    return stored.filter(F.col("downstream") != metric).unionByName(upsert_edges(still, seen))
 
 
 def node_kind(kind: Column) -> Column:

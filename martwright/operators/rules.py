@@ -8,6 +8,7 @@ are summed exactly in units of that many decimal places.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +53,9 @@ class Rule:
     digits: int | None
 
 
-def rules_of(contract: dict) -> list[Rule]:
-    """Flat rules of one contract, defaults when it has none."""
-    return [_rule(contract, entry) for entry in contract.get("trust") or DEFAULT_TRUST]
+def rules_of(contract: dict, defaults: Sequence[dict] = DEFAULT_TRUST) -> list[Rule]:
+    """Flat rules of one contract, ``defaults`` when it has none."""
+    return [_rule(contract, entry) for entry in contract.get("trust") or defaults]
 
 
 def _rule(contract: dict, entry: dict) -> Rule:

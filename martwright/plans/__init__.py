@@ -12,6 +12,7 @@ from martwright.plans import (  # noqa: F401
     semantic,
     streams,
     tests,
+    writes,
 )
 from martwright.plans.registry import REGISTRY, Query
 

@@ -11,7 +11,7 @@ from martwright.functions.values import total
 from martwright.operators import reconcile as ops
 from martwright.plans import views
 from martwright.plans.registry import query
-from martwright.session import cut_lineage, read_table
+from martwright.session import read_table
 
 _NET = "CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(5,2)))"
 _BAND = (
@@ -61,13 +61,11 @@ def reconcile(spark: SparkSession, root: str) -> DataFrame:
     """
     orders = views.orders(spark, root).withColumn("metric", _year("order_at"))
     settled = (F.col("priority") != "5-LOW") | (F.col("status") != "P")
-    # All figures over orders come from one scan; the few yearly rows are stored.
-    yearly = cut_lineage(
-        orders.groupBy("metric").agg(
-            total(orders, "amount", F.col("metric") != "revenue_1996").alias("warehouse"),
-            total(orders, "amount", settled).alias("settled_report"),
-            total(orders, "amount", F.col("metric") != "revenue_2001").alias("old_report"),
-        )
+    # All figures over orders come from one scan, reduced to one row per year.
+    yearly = orders.groupBy("metric").agg(
+        total(orders, "amount", F.col("metric") != "revenue_1996").alias("warehouse"),
+        total(orders, "amount", settled).alias("settled_report"),
+        total(orders, "amount", F.col("metric") != "revenue_2001").alias("old_report"),
     )
     lines = views.line_totals(spark, root)
     invoiced = (
