@@ -158,6 +158,7 @@ class TableScan:
 
 # -- result rows ---------------------------------------------------------------
 
+# Names of the checks and units of their values, as result rows show them.
 _LABELS = {
     "freshness": "Freshness",
     "null_rate": "Null rate on {column}",
@@ -180,7 +181,7 @@ _UNITS = {"freshness": "h", "range": "", "row_count": "", "schema_drift": ""}
 
 
 def limit_of(rule: Rule) -> str:
-    """The threshold as a message shows it."""
+    """The threshold as a message shows it (fixed wording)."""
     unit = _UNITS.get(rule.rule_type, "%")
     if rule.rule_type == "schema_drift":
         return "no change"

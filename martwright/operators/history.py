@@ -137,6 +137,7 @@ SHOWN_RUNS = 5
 
 
 def issue_title() -> Column:
+    """Fixed wording: issues are found again by it."""
     return F.format_string("[trust] %s failed: %s", F.col("metric"), F.col("rule"))
 
 
@@ -248,11 +249,15 @@ def catalog_search(
     text_columns: list[str],
     q: str | None = None,
     equals: dict[str, str] | None = None,
-    order: tuple[str, ...] = ("metric",),
-    page: int = 1,
+    order: str = "metric",
+    after: object = None,
     page_size: int = 20,
 ) -> DataFrame:
-    """One page of the entries that contain ``q`` in any case and match the given values."""
+    """One page of the entries that contain ``q`` in any case and match the given values.
+
+    ``after`` is the last ``order`` value of the page before, so that a page far back costs
+    no more than the first.
+    """
     found = catalog
     if q:
         wanted = F.lit(q.lower())
@@ -260,4 +265,6 @@ def catalog_search(
         found = found.filter(reduce(lambda a, b: a | b, hits))
     for column, value in (equals or {}).items():
         found = found.filter(F.col(column) == value)
-    return found.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
+    if after is not None:
+        found = found.filter(F.col(order) > F.lit(after))
+    return found.orderBy(order).limit(page_size)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from martwright.functions.values import FAILED, PASSED, WARNING, total
+from martwright.functions.values import FAILED, PASSED, WARNING, scaled, total
 from martwright.operators import history
 from martwright.operators.checks import drop_percent
 from martwright.plans import views
 from martwright.plans.registry import query
-from martwright.session import read_table
+from martwright.session import read_stored, read_table
 
 _RUNS_SQL = """
 d AS (
@@ -114,8 +114,10 @@ SELECT 'event value' AS metric_name, TIMESTAMP '2024-01-31 00:00:00' AS started_
 FROM events
 """)
 def run_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The fingerprint is that of the files as they are."""
+    events = scaled(read_stored(spark, root, "events"), "value", 2)
     return history.run_snapshot(
-        views.events(spark, root), "event value", "value", ["value", "user_id"], views.EVENTS_AS_OF
+        events, "event value", "value", ["value", "user_id"], views.EVENTS_AS_OF
     )
 
 
@@ -223,22 +225,23 @@ WITH t AS (
     SELECT 'events' AS table_name, MAX(ts) AS newest FROM events
     UNION ALL SELECT 'orders', MAX(o_orderdate) FROM orders
     UNION ALL SELECT 'lineitem', MAX(l_shipdate) FROM lineitem
-    UNION ALL SELECT 'orders_next_day', MAX(o_orderdate) FROM orders
-              WHERE o_orderdate >= TIMESTAMP '2001-08-02')
+    UNION ALL SELECT 'orphan_lines', MAX(l_shipdate) FROM lineitem
+              WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
 SELECT MIN(newest) AS data_through, min_by(table_name, newest) AS oldest_table,
        COUNT(*) AS tables
 FROM t WHERE newest IS NOT NULL
 """)
 def freshness_header(spark: SparkSession, root: str) -> DataFrame:
-    orders = read_table(spark, root, "orders")
+    """Lines without an order are a table too, an empty one, and so left out."""
+    orders, lineitem = (read_table(spark, root, t) for t in ("orders", "lineitem"))
     return history.freshness_header(
         {
             "events": (views.events(spark, root), "ts"),
             "orders": (orders, "o_orderdate"),
-            "lineitem": (read_table(spark, root, "lineitem"), "l_shipdate"),
-            "orders_next_day": (
-                orders.filter(F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ'2001-08-02 00:00:00'")),
-                "o_orderdate",
+            "lineitem": (lineitem, "l_shipdate"),
+            "orphan_lines": (
+                lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"], "left_anti"),
+                "l_shipdate",
             ),
         }
     )
@@ -246,13 +249,13 @@ def freshness_header(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""
 SELECT doc_id AS metric, lang AS owner, source FROM documents
-WHERE contains(lower(text), 'the') AND lang = 'en'
-ORDER BY doc_id LIMIT 20 OFFSET 20
+WHERE contains(lower(text), 'the') AND lang = 'en' AND doc_id > 100
+ORDER BY doc_id LIMIT 20
 """)
 def catalog_search(spark: SparkSession, root: str) -> DataFrame:
-    """Second page of the English documents that mention a word; whole texts are searched."""
+    """A further page of the English documents that mention a word; whole texts are searched."""
     catalog = read_table(spark, root, "documents").select(
         F.col("doc_id").alias("metric"), F.col("lang").alias("owner"), "source", "text"
     )
-    found = history.catalog_search(catalog, ["text"], "the", {"owner": "en"}, page=2)
+    found = history.catalog_search(catalog, ["text"], "the", {"owner": "en"}, after=100)
     return found.select("metric", "owner", "source")

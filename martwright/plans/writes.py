@@ -11,7 +11,7 @@ from martwright.operators import checks, history, marts, metrics, semantic
 from martwright.plans import views
 from martwright.plans.history import _RUNS_SQL, daily_runs
 from martwright.plans.registry import query
-from martwright.session import read_table, scratch_dir
+from martwright.session import read_stored, read_table, scratch_dir
 from martwright.sources.files import stamp_loaded
 from martwright.sources.load import (
     SchemaMismatch,
@@ -231,3 +231,28 @@ def large_amounts(spark: SparkSession, root: str) -> DataFrame:
         big.alias("spent", metadata=views.CENTS), big.alias("budgeted", metadata=views.CENTS)
     )
     return marts.budget_utilisation(budget)
+
+
+@query("""
+SELECT 'events' AS metric, 2::BIGINT AS run, * FROM (VALUES
+    ('props', 'added', NULL, 'string'),
+    ('session', 'removed', 'string', NULL),
+    ('user_id', 'retyped', 'int', 'bigint')) AS v(column_name, change, old_type, new_type)
+WHERE EXISTS (SELECT 1 FROM events)
+""")
+def stored_schema_drift(spark: SparkSession, root: str) -> DataFrame:
+    """Two stored versions of a table, compared by the columns that their files carry."""
+    folder = scratch_dir(spark, "stored_schema_drift")
+    events = read_stored(spark, root, "events")
+    older = (
+        events.withColumn("session", F.col("props"))
+        .withColumn("user_id", F.col("user_id").cast("int"))
+        .drop("props")
+    )
+    older.write.parquet(f"{folder}/v1.parquet")
+    events.write.parquet(f"{folder}/v2.parquet")
+    runs = [
+        checks.schema_snapshot(read_stored(spark, folder, f"v{run}"), "events", run)
+        for run in (1, 2)
+    ]
+    return checks.schema_drift(runs[0].unionByName(runs[1]))

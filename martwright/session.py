@@ -63,6 +63,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}.parquet")
 
 
+def read_stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table with the columns and types its files carry, whatever was declared."""
+    return spark.read.parquet(f"{root}/{name}.parquet")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder all executors can reach.
 

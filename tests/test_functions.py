@@ -86,6 +86,7 @@ def test_total_is_exact_for_any_row_order(spark):
     amounts = [0.1, 0.2, 0.3, 1e9, 0.07] * 1000
     random.Random(1).shuffle(amounts)
     rows = spark.createDataFrame([(a,) for a in amounts], "amount double").repartition(7)
+    rows = values.scaled(rows, "amount", 2)
     assert rows.agg(values.total(rows, "amount")).first()[0] == 1000000000670.0
     decimals = spark.sql("SELECT CAST(1.25 AS DECIMAL(12,2)) AS amount")
     assert decimals.agg(values.total(decimals, "amount")).first()[0] == 1.25

@@ -118,7 +118,7 @@ def test_catalog_pages(spark):
         [(f"m{i:02d}", "Revenue %" if i % 2 else "signups", "fin") for i in range(30)],
         "metric string, description string, owner string",
     )
-    page = history.catalog_search(frame, ["metric", "description"], "REVENUE %", {"owner": "fin"}, page=2, page_size=10)
+    page = history.catalog_search(frame, ["metric", "description"], "REVENUE %", {"owner": "fin"}, after="m19", page_size=10)
     assert [r["metric"] for r in page.collect()] == ["m21", "m23", "m25", "m27", "m29"]
 
 

@@ -6,6 +6,7 @@ import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
 
+from martwright.functions.values import scaled
 from martwright.operators import marts, metrics, revenue
 
 
@@ -96,7 +97,7 @@ def shop(spark):
         [("a", "Ann", "X"), ("b", "Bo", "Y"), ("c", "Cy", None)],
         "customer_id string, name string, country string",
     )
-    return customers, orders
+    return customers, scaled(orders, "amount", 2)
 
 
 def test_marts(shop):
@@ -106,7 +107,7 @@ def test_marts(shop):
         ("2024-01-01", 2, 30.3),
         ("2024-01-02", 1, 30.3),
     ]
-    kpis = marts.dashboard_kpis(daily).first()
+    kpis = marts.dashboard_kpis(scaled(daily, "revenue", 2)).first()
     assert (kpis["total_revenue"], kpis["total_orders"], kpis["avg_daily_revenue"]) == (60.6, 3, 30.3)
     ltv = {r["customer_id"]: r for r in marts.customer_ltv(customers, orders, fx.NOW).collect()}
     assert (ltv["a"]["lifetime_orders"], ltv["a"]["lifetime_revenue"]) == (2, 10.1)
