@@ -5,6 +5,9 @@ number, so it forgets what lies 32 bytes back). A chunk ends where the hash is t
 ``reach`` bytes to either side. That depends on the bytes near the place alone: after an insertion
 the next chunks are the same again, and no two chunk ends are closer than ``reach``.
 
+A repeated passage loses up to 32 + ``reach`` bytes and part of a chunk at its beginning and ``reach`` bytes
+and part of a chunk at its end; with chunks of 33 bytes on average, passages of 50 words are found.
+
 Chunks are compared by a digest of 128 bits. A repeated chunk counts if it stands in a run of neighbouring
 repeated chunks of at least ``min_run`` bytes, so chance repeats of a few common words do no harm. Of all
 occurrences the first, by id and place, stays; the others are removed.
@@ -121,8 +124,8 @@ def _runs(min_run: int):
 def remove_repeated_chunks(
     docs: DataFrame,
     *,
-    reach: int = 32,
-    min_run: int = 150,
+    reach: int = 16,
+    min_run: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
     with_kept: bool = True,
