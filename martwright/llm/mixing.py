@@ -110,7 +110,8 @@ def mix(
     part = F.least(F.floor(F.col("draw") / F.lit(float(16**15)) * n_slices), n_slices - 1)
     rows = base.join(targets, "source_key").withColumn("slice", part)
     ahead = Window.partitionBy("source_key").orderBy("slice")
-    offsets = (
+    # Written first: planned with the window below, both would be dealt by source alone.
+    offsets = cut_lineage(
         rows.groupBy("source_key", "slice")
         .agg(F.sum("size").alias("slice_size"))
         .withColumn(
