@@ -256,12 +256,14 @@ def remove_repeats(
     runs = keyed.select("k1", "k2", "text").mapInArrow(
         _anchors(threshold, threshold // 2), _ANCHORS
     )
-    # Runs whose first digit repeats: read several times below, so written once.
-    again = cut_lineage(runs.join(repeats(runs), "digit"))
-    strings = again.groupBy("digit", "run").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.first("one").alias("one"),
-        F.min(F.struct("k2", "k1", "low", "n", "ahead")).alias("of"),
+    # Written first, so that the joins read plain shuffles on both sides and a hot digit is split.
+    again = cut_lineage(runs.join(cut_lineage(repeats(runs)), "digit"))
+    strings = cut_lineage(
+        again.groupBy("digit", "run").agg(
+            F.count(F.lit(1)).alias("copies"),
+            F.first("one").alias("one"),
+            F.min(F.struct("k2", "k1", "low", "n", "ahead")).alias("of"),
+        )
     )
     decided = again.join(
         strings.where("copies > 1").select("digit", "run"), ["digit", "run"], "left_semi"
