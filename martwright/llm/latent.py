@@ -7,9 +7,10 @@
    higher cosine with any benchmark text, and is left there. The others are written down, with the words
    around them.
 3. A randomised SVD of their TF-IDF rows and the benchmark's, of which each weighs as much as all
-   passages together, so that text which the corpus repeats does not push it out: products with a fixed random matrix are summed over partitions, one power step
-   sharpens them, and a small eigenproblem gives ``rank`` latent directions. There is one such space for
-   every ``rank`` benchmark pieces, so that no piece is lost to the others.
+   passages together, so that text which the corpus repeats does not push it out: products with a
+   fixed random matrix are summed over partitions, one power step sharpens them, and a small
+   eigenproblem gives ``rank`` latent directions. There is one such space for every ``rank``
+   benchmark pieces, so that no piece is lost to the others.
 4. Passages are compared with the benchmark pieces in the latent space; pairs with a cosine of ``cosine``
    or more (of the whole passage with what the space keeps of the piece) are candidates.
 5. A candidate is a leak if the heaviest common subsequence of words, each weighing its rarity,
@@ -40,7 +41,7 @@ from martwright.llm.common import cut_lineage, document_keys, ship, shuffle_widt
 from martwright.llm.textarrays import U, blocks, mix, text_column, words
 
 ship(__name__)
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -52,18 +53,27 @@ def pair_bucket(hashes: np.ndarray) -> np.ndarray:
     return bucket(mix(hashes[:-1] * U(0x9FB21C651E98DF25) + hashes[1:]))
 
 
-def sum_arrays(parts: DataFrame, length: int, tasks: int = 4) -> np.ndarray:
-    """The sum of all arrays of doubles in the binary column ``part``, added up in two levels."""
+def sum_arrays(parts: DataFrame, length: int, fan_in: int = 16) -> np.ndarray:
+    """The sum of all arrays in the binary column ``part``, added up by a tree.
+
+    The first level has a task for every few partitions; one array reaches the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length)
         for batch in batches:
             for value in batch.column(0):
-                total += np.frombuffer(value.as_buffer(), np.float32)
+                array = value.as_buffer()
+                total += np.frombuffer(array, np.float32 if array.size == 4 * length else np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["part"])
 
-    sent = parts.repartition(tasks).mapInArrow(run, "part binary").collect()
-    return sum((np.frombuffer(r["part"]) for r in sent), np.zeros(length))
+    tasks = max(1, shuffle_width(parts.sparkSession) // 8)
+    while True:
+        parts = parts.repartition(tasks).mapInArrow(run, "part binary")
+        if tasks == 1:
+            break
+        tasks = -(-tasks // fan_in)
+    return np.frombuffer(parts.collect()[0]["part"])
 
 
 def _part(total: np.ndarray) -> pa.RecordBatch:
@@ -343,7 +353,7 @@ def leaks(
     piece: int = 64,
     min_words: int = 8,
     answer_words: int = 8,
-    rank: int = 128,
+    rank: int = 64,
     gate: float = 0.45,
     cosine: float = 0.35,
     exact: float = 0.7,

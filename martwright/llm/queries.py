@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm import bitcodes, chunks, dartminhash, factors, latent, licenses, mixing, secretscan, suffixes, url_lists
+from martwright.llm import (
+    bitcodes,
+    chunks,
+    dartminhash,
+    factors,
+    latent,
+    licenses,
+    mixing,
+    secretscan,
+    suffixes,
+    url_lists,
+)
 from martwright.llm.common import open_table
 from martwright.plans.registry import Build, Query
 

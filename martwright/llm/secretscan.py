@@ -231,6 +231,8 @@ def made_findings(docs: DataFrame, *, max_rows: int = 500, seed: int = 42) -> Da
         "-", *(F.substring(h, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     )
 
+    placeholder = F.concat(F.lit("your_token_goes_here_"), F.substring(digits, 1, 2))
+
     def kind(label: int, value: Column, before: str, left: str = "", right: str = "") -> Column:
         return F.struct(
             value.alias("value"),
@@ -258,7 +260,7 @@ def made_findings(docs: DataFrame, *, max_rows: int = 500, seed: int = 42) -> Da
         kind(0, digits, "", "", "!!"),
         kind(0, digits, "", "", "$$$"),
         kind(0, digits, "token"),
-        kind(0, F.concat(F.lit("your_token_goes_here_"), F.substring(digits, 1, 2)), "token =", '"', '"'),
+        kind(0, placeholder, "token =", '"', '"'),
         kind(0, F.concat(F.lit("xxxxxxxxxxxxxxxxxxxx"), F.substring(digits, 1, 4)), "secret ="),
         kind(0, F.concat(F.lit("example-password-"), F.substring(digits, 1, 4)), "password:"),
         kind(0, long_word, ""),
