@@ -36,7 +36,14 @@ def random_table(seed: int, n: int = 256) -> np.ndarray:
 
 
 BYTES = (random_table(1), random_table(7920))
-_POWERS: dict[int, np.ndarray] = {}
+class _Cache(dict):
+    """Kept where it is filled: functions sent to the executors take an empty one along."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def powers(base: int, n: int) -> np.ndarray:
