@@ -12,9 +12,12 @@ coordinate with the probability of their (weighted) Jaccard similarity.
 ``bands`` groups of ``rows`` coordinates are the join keys. With 25 bands of 5 a pair at
 similarity 0.8 meets in no band with probability 5e-5. Within a key, equal word sequences are one
 text, and every text is paired with a few leaders of the key (its smallest, largest and smallest
-after fixed scrambles), never with all others. Pairs with the first leader are checked by exact Jaccard
+after fixed scrambles). Pairs with the first leader are checked by exact Jaccard
 similarity and closed into classes; of the pairs with the other leaders those between two classes are
-checked after that, as the others cannot change a class.
+checked after that, as the others cannot change a class. Texts that lead a key nowhere and are still in
+different classes are then compared all with all, block by block, so every link of two texts with a
+common key counts. Blocks hold few texts each, and two blocks of one class never meet; a crowd of texts
+just below the similarity costs the square of its size in comparisons, spread over tasks of bounded size.
 
 Defined results: null, empty and word-less texts are alone in their class; texts with equal word
 sequences share a class; an empty table gives an empty table; null ids are kept and take the least
@@ -23,6 +26,7 @@ integer id of their class; other columns of the input are left out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,8 @@ _TERMS = np.cumsum(1.0 / np.cumprod(np.append(1.0, np.arange(1.0, 13.0)))) / np.
 DARTS = (_TERMS * 2.0**32).astype(U)
 # Scrambles that give a key's further leaders: fixed, so that keys of one group share them.
 SCRAMBLES = tuple(int(x) for x in mix(np.arange(1, 4, dtype=U)).view(np.int64))
+# Texts and words that a block of the last comparison holds on average, at most.
+BLOCK_TEXTS, BLOCK_WORDS = 256, 50_000
 
 
 def throw(
@@ -152,7 +158,7 @@ def _shingle_sets(width: int):
 
 
 def key_leaders(signed: DataFrame) -> DataFrame:
-    """Leaders of every key that more than one text has: key, l0, l1, ..."""
+    """Leaders of every key that more than one text has, and its rows: key, l0, l1, ..., n_rows."""
     least = [
         F.min(F.col("word_key").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in SCRAMBLES
     ]
@@ -160,17 +166,21 @@ def key_leaders(signed: DataFrame) -> DataFrame:
     return (
         signed.select("word_key", F.explode("bands").alias("key"))
         .groupBy("key")
-        .agg(*(c.alias(f"l{i}") for i, c in enumerate(every)))
+        .agg(*(c.alias(f"l{i}") for i, c in enumerate(every)), F.count(F.lit(1)).alias("n_rows"))
         .where("l0 <> l1")
     )
 
 
+def _leader_names(leaders: DataFrame) -> list[str]:
+    return [c for c in leaders.columns if c not in ("key", "n_rows")]
+
+
 def candidate_pairs(signed: DataFrame, leaders: DataFrame) -> DataFrame:
     """Distinct (u, v, first), u < v, of texts and the leaders of a key that they have.
 
     ``first`` tells whether one of them is the first leader of such a key.
     """
-    names = [c for c in leaders.columns if c != "key"]
+    names = _leader_names(leaders)
     every = F.array(*(F.struct(F.col(c).alias("leader"), F.lit(c == "l0").alias("first")) for c in names))
     return (
         signed.select("word_key", F.explode("bands").alias("key"))
@@ -209,6 +219,152 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def open_members(signed: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, n_words) of the texts that do not lead their key, in keys with several classes of them."""
+    own = F.array(*_leader_names(leaders))
+    crowded = leaders.where(F.col("n_rows") > F.size(F.array_distinct(own)))
+    members = (
+        signed.select(F.col("word_key").alias("node"), "n_words", F.explode("bands").alias("key"))
+        .join(crowded, "key")
+        .where(~F.array_contains(own, F.col("node")))
+        .groupBy("key", "node")
+        .agg(F.first("n_words").alias("n_words"))
+        .join(roots, "node", "left")
+        .select("key", "node", F.coalesce("root", "node").alias("root"), "n_words")
+    )
+    members = cut_lineage(members)
+    several = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    several = cut_lineage(several.where("a <> b").select("key"))
+    return members.join(several, "key", "left_semi")
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """(key, pair, node, root, low): every text once for each pair of blocks that it is in.
+
+    The classes of a key that fill more than a block have blocks of their own, which do not meet each other.
+    """
+    sums = (F.sum("n").alias("n"), F.sum("words").alias("words"))
+    size = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("words") / BLOCK_WORDS))
+    classes = (
+        members.groupBy("key", "root")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
+        .withColumn("mixed", size <= 1)
+        .withColumn("part", F.when(F.col("mixed"), F.lit(0)).otherwise(F.col("root")))
+    )
+    classes = cut_lineage(classes)
+    parts = classes.groupBy("key", "mixed", "part").agg(*sums).withColumn("size", size)
+    parts = cut_lineage(parts.select("key", "mixed", "part", "size"))
+    block = F.flatten(
+        F.transform(
+            F.collect_list(F.struct("mixed", "part", "size")),
+            lambda p: F.transform(
+                F.sequence(F.lit(0).cast("long"), p["size"] - 1),
+                lambda i: F.struct(p["mixed"].alias("mixed"), p["part"].alias("part"), i.alias("salt")),
+            ),
+        )
+    )
+    every = cut_lineage(parts.groupBy("key").agg(block.alias("blocks")))
+    salt = F.pmod(F.xxhash64("node"), F.col("size"))
+    own, other = F.col("own"), F.col("other")
+    return (
+        members.join(classes.select("key", "root", "mixed", "part"), ["key", "root"])
+        .join(parts, ["key", "mixed", "part"])
+        .withColumn("own", F.struct("mixed", "part", salt.alias("salt")))
+        .join(every, "key")
+        .withColumn(
+            "other",
+            F.explode(
+                F.filter("blocks", lambda x: x["mixed"] | own["mixed"] | (x["part"] != own["part"]))
+            ),
+        )
+        .select(
+            "key",
+            F.xxhash64(F.least(own, other), F.greatest(own, other)).alias("pair"),
+            "node",
+            "root",
+            (own == F.least(own, other)).alias("low"),
+        )
+    )
+
+
+def _common(values: np.ndarray, of: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
+    """How many elements each two of ``n`` sets share."""
+    _, place, count = np.unique(values, return_inverse=True, return_counts=True)
+    kept = count[place] > 1
+    number = np.cumsum(count > 1) - 1
+    place, of = number[place[kept]], of[kept]
+    order = np.argsort(place, kind="stable")
+    place, of = place[order], of[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    for first in range(0, int((count > 1).sum()), columns):
+        a, b = np.searchsorted(place, [first, first + columns])
+        part = np.zeros((n, columns), dtype=np.float32)
+        part[of[a:b], place[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _block_links(similarity: float):
+    """Rows of ``block_pairs`` with their sets, sorted by key and pair, to links (u, v) between classes.
+
+    Links that close a circle among the links of the same two blocks are left out.
+    """
+
+    def links(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+        node, root, low = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+        if (root == root[0]).all():
+            return []
+        ends = batch.column(5).offsets.to_numpy()
+        sizes = np.diff(ends)
+        of = np.repeat(np.arange(len(node)), sizes)
+        both = _common(batch.column(5).values.to_numpy()[ends[0] : ends[-1]], of, len(node))
+        both = both.astype(np.float64)
+        alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+        alike &= root[:, None] != root[None, :]
+        if not low.all():
+            alike &= low[:, None] != low[None, :]
+        top = {}
+
+        def find(x):
+            while x in top:
+                x = top[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+            a, b = find(int(root[i])), find(int(root[j]))
+            if a != b:
+                top[a] = b
+                out.append((int(node[i]), int(node[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if held is not None:
+                    table = pa.Table.from_batches([held, batch]).combine_chunks()
+                    batch = table.to_batches()[0]
+                key, pair = (batch.column(i).to_numpy() for i in (0, 1))
+                cuts = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+                cuts = np.append(0, cuts)
+                # the last two blocks may go on in the next batch
+                whole, held = batch, batch.slice(int(cuts[-1])) if batch.num_rows else None
+            elif held is None:
+                break
+            else:
+                whole, cuts = held, np.array([0, held.num_rows])
+            found = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                found += links(whole.slice(a, b - a))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"]
+                )
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -257,6 +413,19 @@ def near_duplicates(
     links = cut_lineage(checked(pairs.where("first"), sets, similarity))
     open_pairs = between_classes(pairs.where("not first"), components(links))
     roots = components(links.union(checked(open_pairs, sets, similarity)))
+    members = cut_lineage(open_members(signed, leaders, roots))
+    if not members.isEmpty():
+        blocks_of = (
+            cut_lineage(block_pairs(members))
+            .join(sets, "node")
+            .select("key", "pair", "node", "root", "low", "set")
+            .repartition("key", "pair")
+            .sortWithinPartitions("key", "pair")
+        )
+        more = cut_lineage(blocks_of.mapInArrow(_block_links(similarity), "u long, v long"))
+        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        # a text without a link so far stands for its own class
+        roots = components(stars.union(more))
     classed = (
         signed.select("k1", "k2", "id", "n_words", "word_key")
         .join(roots.withColumnRenamed("node", "word_key"), "word_key", "left")

@@ -7,7 +7,7 @@ import cases
 import numpy as np
 from pyspark.sql import functions as F
 
-from martwright.llm import bitcodes
+from martwright.llm import bitcodes, dartminhash
 from martwright.llm.components import components
 from martwright.llm.dartminhash import near_duplicates, throw
 from martwright.llm.queries import LLM
@@ -158,3 +158,55 @@ def test_bounds_hold():
     low, high = bitcodes.bounds(codes, scalar, 48, bitcodes.byte_sums(vectors[0], 1), 4.0)
     truth = vectors @ vectors[0]
     assert ((low <= truth) & (truth <= high)).mean() > 0.999
+
+
+def test_links_inside_a_crowd_below_the_threshold(spark):
+    """Two near-copies among many texts of one template that are no near-copies of each other."""
+    draw = np.random.default_rng(8)
+    base = cases.prose(31, 400).split()
+    texts = []
+    for i in range(600):
+        words = list(base)
+        for place in draw.choice(400, 13, replace=False):
+            words[place] = f"own{i}x{place}"
+        texts.append(words)
+    for i in range(0, 120, 2):
+        texts[i + 1] = list(texts[i])
+        for place in draw.choice(400, 9, replace=False):
+            texts[i + 1][place] = f"twin{i}x{place}"
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    want = {i: top(i) for i in range(len(sets))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert len(set(want.values())) > 400
+    assert got == want
+
+
+def test_classes_of_many_blocks(spark, monkeypatch):
+    """Two large classes of one key and some texts beside them: only blocks of different classes meet."""
+    rows = [(7, i, 1 if i < 40 else 2 if i < 80 else i, 10) for i in range(90)]
+    members = spark.createDataFrame(rows, "key long, node long, root long, n_words long")
+    monkeypatch.setattr(dartminhash, "BLOCK_TEXTS", 8)
+    got = dartminhash.block_pairs(members).collect()
+    met = defaultdict(lambda: (set(), set()))
+    for r in got:
+        met[r.pair][r.low].add(r.node)
+    pairs = set()
+    for high, low in met.values():
+        pairs |= {(min(a, b), max(a, b)) for a in low for b in (high or low)}
+    root = {r[1]: r[2] for r in rows}
+    assert {(a, b) for a in root for b in root if a < b and root[a] != root[b]} <= pairs
+    assert not any(root[a] == root[b] for a, b in pairs if a != b)
