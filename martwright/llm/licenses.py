@@ -30,61 +30,97 @@ BASE = (
     ("general public license", "gpl"),
 )
 
-# License, keyword of its rules, pattern of its name, versions.
+# Versions of the Creative Commons licenses, and what makes another license of their names.
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+CC_LONG, CC_SHORT = "non-?commercial|share-?alike|no-?deriv", "nc|sa|nd"
+
+# License, keyword of its rules, pattern of its name, versions, and what names it without
+# the word license: nothing (0), the name with a version (1), the name alone (2).
 LICENSES = (
-    ("apache", "apache", r"apache(?: software)?", ("1.0", "1.1", "2.0")),
-    ("mit", "mit", r"(?:mit|expat|x11)", ()),
-    ("gpl", "general public", r"(?:gnu )?general public", ("1.0", "2.0", "3.0")),
-    ("lgpl", "lesser general", r"(?:gnu )?lesser general public", ("2.0", "2.1", "3.0")),
-    ("agpl", "affero", r"(?:gnu )?affero general public", ("1.0", "3.0")),
-    ("bsd", "bsd", r"(?:new |simplified |modified )?bsd", ("2-clause", "3-clause", "4-clause")),
-    ("mpl", "mozilla", r"mozilla public", ("1.0", "1.1", "2.0")),
-    ("epl", "eclipse", r"eclipse public", ("1.0", "2.0")),
-    ("cddl", "common development", r"common development and distribution", ("1.0", "1.1")),
-    ("cc-by", "attribution", r"creative commons attribution", ("1.0", "2.0", "3.0", "4.0")),
-    ("cc-by-sa", "sharealike", r"creative commons attribution.sharealike", ("3.0", "4.0")),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution.noncommercial", ("3.0", "4.0")),
-    ("cc0", "cc0", r"(?:creative commons )?cc0", ("1.0",)),
-    ("artistic", "artistic", r"(?:perl )?artistic", ("1.0", "2.0")),
-    ("isc", "isc", r"isc", ()),
-    ("zlib", "zlib", r"zlib(?:/libpng)?", ()),
-    ("boost", "boost", r"boost software", ("1.0",)),
-    ("eupl", "european union", r"european union public", ("1.1", "1.2")),
-    ("ofl", "open font", r"(?:sil )?open font", ("1.0", "1.1")),
-    ("wtfpl", "wtfpl", r"wtfpl", ("2",)),
-    ("unlicense", "unlicense", r"unlicense", ()),
-    ("postgresql", "postgresql", r"postgresql", ()),
-    ("python", "python software", r"python software foundation", ("2.0",)),
-    ("ms-pl", "microsoft public", r"microsoft public", ()),
+    ("apache", "apache", r"apache(?: software)?", ("1.0", "1.1", "2.0"), 0),
+    ("mit", "mit", r"(?:mit|expat|x11)", (), 0),
+    ("mit", "expat", r"expat", (), 0),
+    ("mit", "x11", r"x11", (), 0),
+    ("gpl", "general public", r"(?:gnu )?(?<!lesser )(?<!affero )general public", ("1.0", "2.0", "3.0"), 0),
+    ("gpl", "gpl", r"(?:gnu )?gpl", ("1.0", "2.0", "3.0"), 2),
+    ("lgpl", "lesser general", r"(?:gnu )?lesser general public", ("2.0", "2.1", "3.0"), 0),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl", ("2.0", "2.1", "3.0"), 2),
+    ("agpl", "affero", r"(?:gnu )?affero general public", ("1.0", "3.0"), 0),
+    ("agpl", "agpl", r"(?:gnu )?agpl", ("1.0", "3.0"), 2),
+    ("bsd", "bsd", r"(?:new |simplified |modified )?bsd", ("2-clause", "3-clause", "4-clause"), 1),
+    ("mpl", "mozilla", r"mozilla public", ("1.0", "1.1", "2.0"), 0),
+    ("mpl", "mpl", r"mpl", ("1.0", "1.1", "2.0"), 1),
+    ("epl", "eclipse", r"eclipse public", ("1.0", "2.0"), 0),
+    ("epl", "epl", r"epl", ("1.0", "2.0"), 1),
+    ("cddl", "common development", r"common development and distribution", ("1.0", "1.1"), 0),
+    ("cddl", "cddl", r"cddl", ("1.0", "1.1"), 2),
+    ("cc-by", "attribution", rf"creative commons attribution(?![ -](?:{CC_LONG}))", CC_VERSIONS, 2),
+    ("cc-by", "cc", rf"cc[ -]by(?![ -](?:{CC_SHORT}))", CC_VERSIONS, 2),
+    ("cc-by-sa", "attribution", r"creative commons attribution.share-?alike", CC_VERSIONS, 2),
+    ("cc-by-sa", "cc", r"cc[ -]by[ -]sa", CC_VERSIONS, 2),
+    ("cc-by-nd", "attribution", r"creative commons attribution.no-?deriv\w*", CC_VERSIONS, 2),
+    ("cc-by-nd", "cc", r"cc[ -]by[ -]nd", CC_VERSIONS, 2),
+    ("cc-by-nc", "attribution", rf"creative commons attribution.non-?commercial(?![ -](?:{CC_LONG}))", CC_VERSIONS, 2),
+    ("cc-by-nc", "cc", rf"cc[ -]by[ -]nc(?![ -](?:{CC_SHORT}))", CC_VERSIONS, 2),
+    ("cc-by-nc-sa", "attribution", r"creative commons attribution.non-?commercial.share-?alike", CC_VERSIONS, 2),
+    ("cc-by-nc-sa", "cc", r"cc[ -]by[ -]nc[ -]sa", CC_VERSIONS, 2),
+    ("cc-by-nc-nd", "attribution", r"creative commons attribution.non-?commercial.no-?deriv\w*", CC_VERSIONS, 2),
+    ("cc-by-nc-nd", "cc", r"cc[ -]by[ -]nc[ -]nd", CC_VERSIONS, 2),
+    ("cc0", "cc0", r"(?:creative commons )?cc0", ("1.0",), 2),
+    ("artistic", "artistic", r"(?:perl )?artistic", ("1.0", "2.0"), 0),
+    ("isc", "isc", r"isc", (), 0),
+    ("zlib", "zlib", r"zlib(?:/libpng)?", (), 0),
+    ("boost", "boost", r"boost software", ("1.0",), 0),
+    ("boost", "bsl", r"bsl", ("1.0",), 1),
+    ("eupl", "european union", r"european union public", ("1.1", "1.2"), 0),
+    ("eupl", "eupl", r"eupl", ("1.1", "1.2"), 2),
+    ("ofl", "open font", r"(?:sil )?open font", ("1.0", "1.1"), 0),
+    ("ofl", "ofl", r"(?:sil )?ofl", ("1.0", "1.1"), 1),
+    ("wtfpl", "wtfpl", r"wtfpl", ("2",), 2),
+    ("unlicense", "unlicense", r"unlicense", (), 2),
+    ("postgresql", "postgresql", r"postgresql", (), 0),
+    ("python", "python software", r"python software foundation", ("2.0",), 0),
+    ("python", "psf", r"psf", ("2.0",), 1),
+    ("ms-pl", "microsoft public", r"microsoft public", (), 0),
+    ("ms-pl", "ms-pl", r"ms-pl", (), 2),
 )
 
-# Phrasing, priority, confidence. N is the name, V the version.
+# Phrasing, priority, confidence. N is the name, V the version; the last column is the
+# least value of the license's last column.
+UNDER = (
+    r"(?:licen[sc]ed|released|distributed|available)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?"
+    r"(?:the\s+)?"
+)
 VERSIONED = (
-    (r"spdx-license-identifier:\s*N?[\w.-]*V", 60, 0.99),
-    (r"licen[sc]ed\s+under\s+(?:the\s+)?N\s+licen[sc]e[^.]{0,40}?V", 50, 0.97),
-    (r"N\s+licen[sc]e,?\s*(?:version|v\.?)?\s*V", 40, 0.95),
+    (r"spdx-license-identifier:\s*N[\w.-]*(?<![\d.])V", 60, 0.99, 0),
+    (r"licen[sc]ed\s+under\s+(?:the\s+)?N\s+licen[sc]e[^.]{0,40}?V", 50, 0.97, 0),
+    (UNDER + r"N(?:\s+licen[sc]e)?[\s,-]*(?:version|v\.?)?\s*V", 45, 0.96, 0),
+    (r"N\s+licen[sc]e,?\s*(?:version|v\.?)?\s*V", 40, 0.95, 0),
+    (r"N[\s,-]*(?:version|v\.?)?\s*V\s+licen[sc]e", 40, 0.95, 0),
+    (r"N[\s,-]*(?:version|v\.?)?\s*V", 35, 0.9, 1),
 )
 GENERIC = (
-    (r"spdx-license-identifier:\s*N", 55, 0.95),
-    (r"(?:licen[sc]ed|released|distributed|available)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?"
-     r"(?:the\s+)?N(?:\s+licen[sc]e)?", 30, 0.9),
-    (r"https?://[^\s]{0,80}N[^\s]{0,40}", 20, 0.7),
-    (r"\bN\s+licen[sc]e\b", 10, 0.8),
-)
+    (r"spdx-license-identifier:\s*N(?![a-z0-9])", 55, 0.95, 0),
+    (UNDER + r"N(?:\s+licen[sc]e)?", 30, 0.9, 0),
+    (r"https?://[^\s]{0,80}N[^\s]{0,40}", 20, 0.7, 0),
+    (r"N\s+licen[sc]e\b", 10, 0.8, 0),
+    (r"N(?![a-z0-9])", 5, 0.7, 2),
+)
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(keyword, pattern, label, priority, confidence), most specific first."""
     out = []
-    for label, keyword, name, versions in LICENSES:
-        for phrasing, priority, confidence in VERSIONED:
-            for version in versions:
+    for label, keyword, name, versions, bare in LICENSES:
+        name = rf"(?<![a-z0-9])(?:{name})"
+        for phrasing, priority, confidence, least in VERSIONED:
+            for version in versions if bare >= least else ():
                 number = version.replace(".", r"\.").replace(r"\.0", r"(?:\.0)?")
-                pattern = phrasing.replace("N", f"(?:{name})").replace("V", rf"{number}(?!\w|\.\d)")
+                pattern = phrasing.replace("N", name).replace("V", rf"{number}(?!\w|\.\d)")
                 out.append((keyword, pattern, f"{label}-{version}", priority, confidence))
-        for phrasing, priority, confidence in GENERIC:
-            pattern = phrasing.replace("N", f"(?:{name})")
-            out.append((keyword, pattern, label, priority, confidence))
+        for phrasing, priority, confidence, least in GENERIC:
+            if bare >= least:
+                out.append((keyword, phrasing.replace("N", name), label, priority, confidence))
     return sorted(out, key=lambda r: (-r[3], r[0], r[1]))
 
 
@@ -143,19 +179,29 @@ def _spans(text: Column, rule: Column) -> Column:
 
 
 def _detections(text: Column) -> Column:
+    by_keyword = {}
+    for keyword, *rule in rules():
+        by_keyword.setdefault(keyword, []).append(rule)
     table = F.array(
         *(
             F.struct(
-                F.lit(k).alias("keyword"),
-                F.lit(p).alias("pattern"),
-                F.lit(x).alias("label"),
-                F.lit(n).alias("priority"),
-                F.lit(c).alias("confidence"),
+                F.lit(keyword).alias("keyword"),
+                F.array(
+                    *(
+                        F.struct(
+                            F.lit(p).alias("pattern"),
+                            F.lit(x).alias("label"),
+                            F.lit(n).alias("priority"),
+                            F.lit(c).alias("confidence"),
+                        )
+                        for p, x, n, c in own
+                    )
+                ).alias("rules"),
             )
-            for k, p, x, n, c in rules()
+            for keyword, own in by_keyword.items()
         )
     )
-    open_rules = F.filter(table, lambda r: F.contains(text, r["keyword"]))
+    open_rules = F.flatten(F.filter(table, lambda r: F.contains(text, r["keyword"]))["rules"])
     every = F.flatten(F.transform(open_rules, lambda r: _spans(text, r)))
     return let(
         every,

@@ -128,6 +128,72 @@ def test_license_rules_and_odd_texts(spark):
     assert licenses.scan(cases.documents(spark)).count() == len(cases.rows())
 
 
+NAMED = {
+    "apache-2.0": ("Apache-2.0", "Apache License, Version 2.0", "Apache 2.0 license"),
+    "mit": ("MIT", "MIT License", "Expat license"),
+    "gpl-3.0": ("GPL-3.0-or-later", "GNU General Public License v3.0", "GPLv3"),
+    "lgpl-2.1": ("LGPL-2.1-only", "GNU Lesser General Public License, version 2.1", "LGPL v2.1"),
+    "lgpl-3.0": ("LGPL-3.0", "GNU Lesser General Public License, version 3.0", "LGPLv3+"),
+    "agpl-3.0": ("AGPL-3.0", "GNU Affero General Public License version 3", "AGPLv3"),
+    "bsd-3-clause": ("BSD-3-Clause", "BSD 3-Clause License", "Licensed under BSD 3-clause"),
+    "mpl-1.1": ("MPL-1.1", "Mozilla Public License 1.1", "MPL 1.1"),
+    "mpl-2.0": ("MPL-2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "epl-2.0": ("EPL-2.0", "Eclipse Public License v2.0", "EPL 2.0"),
+    "cddl-1.0": ("CDDL-1.0", "Common Development and Distribution License 1.0", "CDDL 1.0"),
+    "cc-by-4.0": ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "cc-by-sa-4.0": ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0", "CC BY-SA 4.0"),
+    "cc-by-nd-4.0": ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0", "CC BY-ND 4.0"),
+    "cc-by-nc-4.0": (
+        "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0", "Licensed under CC BY-NC 4.0."
+    ),
+    "cc-by-nc-sa-3.0": (
+        "CC-BY-NC-SA-3.0", "Creative Commons Attribution-NonCommercial-ShareAlike 3.0", "CC BY-NC-SA 3.0"
+    ),
+    "cc-by-nc-nd-4.0": (
+        "CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "CC BY-NC-ND 4.0"
+    ),
+    "cc0-1.0": ("CC0-1.0", "Creative Commons CC0 License 1.0", "CC0 1.0"),
+    "artistic-2.0": ("Artistic-2.0", "Artistic License 2.0", "Perl Artistic 2.0 license"),
+    "isc": ("ISC", "ISC License", "Licensed under ISC"),
+    "zlib": ("Zlib", "zlib/libpng License", "licensed under zlib"),
+    "boost-1.0": ("BSL-1.0", "Boost Software License 1.0", "BSL 1.0"),
+    "eupl-1.2": ("EUPL-1.2", "European Union Public Licence v. 1.2", "EUPL 1.2"),
+    "ofl-1.1": ("OFL-1.1", "SIL Open Font License 1.1", "OFL 1.1"),
+    "wtfpl": ("WTFPL", "WTFPL License", "WTFPL"),
+    "unlicense": ("Unlicense", "Unlicense License", "The Unlicense"),
+    "postgresql": ("PostgreSQL", "PostgreSQL License", "licensed under the PostgreSQL licence"),
+    "python-2.0": ("PSF-2.0", "Python Software Foundation License 2.0", "PSF 2.0 license"),
+    "ms-pl": ("MS-PL", "Microsoft Public License", "Licensed under Ms-PL"),
+}
+
+
+def test_every_license_by_tag_title_and_abbreviation(spark):
+    """Beside other labels from plain names that stand in a text, never another license."""
+    rows = []
+    for label, (tag, title, short) in NAMED.items():
+        texts = (f"SPDX-License-Identifier: {tag}", f"License: the {title}", f"License: {short}")
+        rows += [(label, i, f"# {t}\n") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "label string, doc_id long, text string")
+    table = df.withColumn("doc_id", F.concat_ws("|", "label", F.col("doc_id").cast("string")))
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert {label for label, *_ in licenses.LICENSES} == {re.sub(r"-\d.*", "", x) for x in NAMED}
+    for label, i, text in rows:
+        r = got[f"{label}|{i}"]
+        own = {x["label"] for x in r.detections}
+        assert own == {label}, (text, own)
+        assert r.score > 0.5
+
+
+def test_license_tags_need_their_name(spark):
+    texts = [
+        "SPDX-License-Identifier: Foo-2.0 apache mozilla",
+        "see the license of the commit, discount epl bsl ofl mpl",
+        "License: gplx 3.0, accby 4.0, cc bypass 4.0",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(df).collect()] == [""] * 3
+
+
 # secrets
 
 
