@@ -1,7 +1,7 @@
 r"""License scan: ordered signature rules behind a keyword gate.
 
-A text is looked at only if it holds one of the gate's keywords. The rules of the
-keywords it holds are matched, each giving intervals of the text. A rule of higher priority
+A text is looked at only if it holds what any rule's match holds: a word of a phrasing, or a name that
+stands for itself. The rules of the keywords it holds are matched, each giving intervals of the text. A rule of higher priority
 suppresses every interval of a lower one that lies inside its own; what is left names the
 licenses. Rules are made from a table of licenses and a table of phrasings, in this
 order of priority: identifier tag, full title with version, grant sentence, web address, plain name.
@@ -101,8 +101,8 @@ VERSIONED = (
 )
 GENERIC = (
     (r"spdx-license-identifier:\s*N(?![a-z0-9])", 55, 0.95, 0),
-    (UNDER + r"N(?:\s+licen[sc]e)?", 30, 0.9, 0),
-    (r"https?://[^\s]{0,80}N[^\s]{0,40}", 20, 0.7, 0),
+    (UNDER + r"N(?:\s+licen[sc]e)?(?:v?\d[\d.]*)?(?![a-z0-9])", 30, 0.9, 0),
+    (r"https?://[^\s]{0,80}N(?:-?licen[sc]e|v?\d[\d.]*)?(?![a-z0-9])[^\s]{0,40}", 20, 0.7, 0),
     (r"N\s+licen[sc]e\b", 10, 0.8, 0),
     (r"N(?![a-z0-9])", 5, 0.7, 2),
 )
@@ -124,7 +124,13 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return sorted(out, key=lambda r: (-r[3], r[0], r[1]))
 
 
-GATE = r"(?i)licen[sc]e|spdx|wtfpl|cc0"
+def gate() -> str:
+    """What every match of a rule holds: a word of its phrasing, or the name where that is enough."""
+    names = "|".join(dict.fromkeys(name for _, _, name, _, bare in LICENSES if bare))
+    return rf"(?i)licen[sc]e|(?:released|distributed|available)\s+under|https?://|(?<![a-z0-9])(?:{names})"
+
+
+GATE = gate()
 
 
 def _spans(text: Column, rule: Column) -> Column:

@@ -194,6 +194,33 @@ def test_license_tags_need_their_name(spark):
     assert [r.labels for r in licenses.scan(df).collect()] == [""] * 3
 
 
+def test_license_gate_excludes_no_match(spark, monkeypatch):
+    texts = [
+        "Released under the MIT.",
+        "Distributed under the BSD terms",
+        "available under Creative Commons Attribution 4.0",
+        "released under the terms of the GNU General Public ...",
+        "see https://opensource.org/mit",
+        "see https://example.org/gplv3 now",
+        "this is GPLv3",
+        "https://example.org/commits/submit-discount",
+        "available under mitigating circumstances",
+    ]
+    names = ("MIT", "GNU GPL", "Mozilla Public", "CC BY-SA", "CC0", "Ms-PL", "BSD", "WTFPL", "PSF", "Apache")
+    for n in names:
+        for v in ("1.0", "2.0", "3-Clause", "4.0", ""):
+            texts += [
+                f"SPDX-License-Identifier: {n}-{v}", f"licenced under the {n} licence, {v}", f"distributed\nunder {n} {v}",
+                f"{n} license v{v}", f"{n} {v} LICENSE", f"a {n} {v} b", f"HTTP://x.org/{n}/{v}",
+            ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    monkeypatch.setattr(licenses, "GATE", "")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == got
+    want = ["mit", "bsd", "cc-by-4.0", "gpl", "mit", "gpl,gpl-3.0", "gpl-3.0", "", ""]
+    assert [got[i] for i in range(len(want))] == want
+
+
 # secrets
 
 
