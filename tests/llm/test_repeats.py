@@ -108,6 +108,28 @@ def test_chunks_match_brute_force(spark):
     assert any(k[1] for k in want)
 
 
+def test_short_copies_of_documents_and_lines(spark):
+    texts = [cases.prose(200 + n, n)[:n] for n in range(1, 100)]
+    texts = ["".join(c if c != " " else "x" for c in t) for t in texts]
+    split = [f"{cases.prose(800 + i, 4)}\n\n{cases.prose(900 + i, 3)}\n" for i in range(40)]
+    around = [f"{cases.prose(400 + i, 6)}\n{t}\r\n \n{cases.prose(600 + i, 6)}" for i, t in enumerate(texts[:40])]
+    rows = list(enumerate([*texts, *split, *texts, *split, *around]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in chunks.remove_repeated_chunks(df).collect()}
+    first, copies = len(texts) + len(split), 2 * (len(texts) + len(split))
+    seen = set()
+    for i, t in rows:
+        left = bytes(got[i].kept).decode()
+        if first <= i < copies:
+            assert left == "", (i, t)
+        else:
+            lines = t.split("\n")
+            assert left.split("\n") == ["" if x.strip() and x in seen else x for x in lines]
+        seen |= set(t.split("\n"))
+        assert got[i].n_bytes == len(t.encode())
+    assert all(got[i].n_removed == got[i].n_bytes for i in range(first, copies))
+
+
 def test_chunks_survive_an_insertion():
     text = cases.prose(5, 2000).encode()
     moved = text[:3000] + b"inserted" + text[3000:]
