@@ -4,7 +4,8 @@
    words and pairs of neighbouring words.
 2. Every document is read once as passages of ``window`` words, ``stride`` apart. A passage whose
    TF-IDF weight on the benchmark's buckets is below ``gate`` of its whole weight cannot reach a
-   higher cosine with any benchmark text, and is left there. The others are written down, with the words
+   higher cosine with any benchmark text (but for words that it repeats), and is left there; ``gate``
+   is never above ``cosine``. The others are written down, with the words
    around them.
 3. A randomised SVD of their TF-IDF rows and the benchmark's, of which each weighs as much as all
    passages together, so that text which the corpus repeats does not push it out: products with a
@@ -17,12 +18,15 @@
    covers ``exact`` of the piece, or ``loose`` of it while the answer, the last words of the benchmark
    text, is found in order too.
 
+Beside that, every benchmark text shorter than a window is searched for as a phrase, word by word, as it
+weighs too little in a passage to be sure of a cosine; one of fewer than ``min_words`` words by that alone.
+
 Benchmark texts are cut into pieces of ``piece`` words, half of it apart. They are taken block by block
 (``block_items``), so what goes to the executors is bounded however long the benchmark is; the bucket
 tables and the matrices of the SVD are bounded by BUCKETS and the rank.
 
-Defined results: null and word-less documents have no passages; benchmark texts of fewer than
-``min_words`` words are not searched for; repeated documents leak each, but show as one row per document,
+Defined results: null and word-less documents have no passages; word-less benchmark
+texts are not searched for; repeated documents leak each, but show as one row per document,
 text and benchmark text; an empty benchmark or table gives an empty table; other columns are left out.
 """
 
@@ -182,6 +186,70 @@ def _passages(
     return run
 
 
+def short_phrases(items, window: int) -> list[tuple[int, np.ndarray]]:
+    """(item, word hashes) of the texts that have words, but fewer than a window."""
+    out = []
+    for item, text in items:
+        data = np.frombuffer((text or "").lower().encode(), np.uint8)
+        hashes = words(data, np.array([0, len(data)]))[2]
+        if 0 < len(hashes) < window:
+            out.append((item, hashes))
+    return out
+
+
+def _phrases(phrases: list[tuple[int, np.ndarray]]) -> Callable:
+    """Texts to the phrases that stand in them word by word, each once a text."""
+    step = U(0x9FB21C651E98DF25)
+    owners = {}
+    for item, hashes in phrases:
+        acc = U(0)
+        for h in hashes:
+            acc = (np.array([acc]) * step + h)[0]
+        owners.setdefault((len(hashes), int(acc)), []).append(item)
+    lengths = {}
+    for n, acc in owners:
+        lengths.setdefault(n, []).append(acc)
+    lengths = {n: np.array(sorted(x), dtype=U) for n, x in lengths.items()}
+    heads = np.unique(np.array([h[0] for _, h in phrases], dtype=U))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_column(pc.utf8_lower(batch.column(3)))
+            for first, last in blocks(offsets):
+                at = offsets[first : last + 1] - offsets[first]
+                _, _, hashes, of = words(data[offsets[first] : offsets[last]], at)
+                ends = np.cumsum(np.bincount(of, minlength=last - first))
+                start = np.flatnonzero(np.isin(hashes, heads))
+                acc = np.zeros(len(start), dtype=U)
+                rows, hits = [], []
+                for n in range(1, max(lengths) + 1):
+                    fits = start + n <= ends[of[start]]
+                    start, acc = start[fits], acc[fits] * step + hashes[start[fits] + n - 1]
+                    if n not in lengths:
+                        continue
+                    found = np.flatnonzero(np.isin(acc, lengths[n]))
+                    _, once = np.unique(np.column_stack([of[start[found]].astype(U), acc[found]]), axis=0, return_index=True)
+                    for i in found[once].tolist():
+                        doc = of[start[i]]
+                        begin = ends[doc - 1] if doc else 0
+                        for item in owners[n, int(acc[i])]:
+                            rows.append(first + doc)
+                            hits.append((int(start[i] - begin), item, 1.0, 1.0, 1.0))
+                if rows:
+                    columns = [list(x) for x in zip(*hits, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(c).take(pa.array(rows)) for c in range(3)),
+                            pa.array(columns[0], pa.int32()),
+                            pa.array(columns[1], pa.int64()),
+                            *(pa.array(x, pa.float64()) for x in columns[2:]),
+                        ],
+                        names=["k1", "k2", "id", "start", "item", "cover", "told", "cosine"],
+                    )
+
+    return run
+
+
 def _masses(slots: np.ndarray, idf: np.ndarray, place: np.ndarray):
     """Running sums of the squared weights of all terms and of the benchmark's."""
     mass = idf[slots].astype(np.float64) ** 2
@@ -354,7 +422,7 @@ def leaks(
     min_words: int = 8,
     answer_words: int = 8,
     rank: int = 64,
-    gate: float = 0.45,
+    gate: float | None = None,
     cosine: float = 0.35,
     exact: float = 0.7,
     loose: float = 0.5,
@@ -367,6 +435,7 @@ def leaks(
     item_text_col: str = "text",
 ) -> DataFrame:
     """(id, k1, k2, item, cover, told, cosine, start): one row per document and text it leaks."""
+    gate = cosine if gate is None else min(gate, cosine)
     kind = docs.schema[id_col].dataType
     schema = (
         f"k1 long, k2 long, id {kind.simpleString()}, start int, item long, cover double,"
@@ -386,6 +455,9 @@ def leaks(
     for number in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == number)
         texts = sorted((r["item"], r["text"]) for r in part.collect())
+        phrases = short_phrases(texts, window)
+        if phrases:
+            hits.append(keyed.mapInArrow(_phrases(phrases), schema))
         pieces = cut_pieces(texts, idf, piece, min_words, answer_words)
         if not pieces.owner:
             continue

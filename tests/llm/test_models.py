@@ -71,6 +71,45 @@ def test_paraphrases_and_odd_documents(spark):
     assert latent.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_short_benchmark_texts_are_found(spark):
+    """Verbatim leaks of texts of 1 to 31 words inside long documents, whatever their weight there."""
+    common = cases.prose(50, 40).split()
+    draw = random.Random(5)
+
+    def crowd(n):
+        return " ".join(draw.choice(common) for _ in range(n))
+
+    items = [(n, " ".join(f"{common[(n + i) % 40]}" + ("q" if i == n - 1 else "") for i in range(n))) for n in (1, 2, 5, 7, 8, 9, 12, 31)]
+    fresh = [cases.prose(700 + n, 250) for n, _ in items]
+    rows = [(n, f"{fresh[i]} {t.upper()}, {fresh[i][::-1]}") for i, (n, t) in enumerate(items)]
+    rows += [(100 + i, crowd(300)) for i in range(40)] + [(200, None), (201, ""), (202, items[-1][1][:-2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([*items, (50, items[2][1]), (51, "!?")], "item_id long, text string")
+    got = {(r.doc_id, r.item) for r in latent.leaks(docs, benchmark).collect()}
+    texts = {i: normal(t) for i, t in rows}
+    want = {
+        (d, i) for d, w in texts.items() for i, t in [*items, (50, items[2][1])] if contains(w, normal(t))
+    }
+    assert want <= got
+    assert {(n, n) for n, _ in items} <= want
+
+
+def test_gate_is_not_above_the_cosine(spark, monkeypatch):
+    seen = []
+    passages = latent._passages
+
+    def keep(*args):
+        seen.append(args[-1])
+        return passages(*args)
+
+    monkeypatch.setattr(latent, "_passages", keep)
+    benchmark = spark.createDataFrame([(1, cases.SHARED)], "item_id long, text string")
+    docs = cases.documents(spark)
+    assert latent.leaks(docs, benchmark).count() == 2
+    latent.leaks(docs, benchmark, gate=0.9, cosine=0.3)
+    assert seen == [0.35, 0.3]
+
+
 def test_common_share():
     weight = np.array([1.0, 2.0, 3.0, 4.0])
     piece = np.array([1, 2, 3, 4])
