@@ -210,3 +210,15 @@ def test_classes_of_many_blocks(spark, monkeypatch):
     root = {r[1]: r[2] for r in rows}
     assert {(a, b) for a in root for b in root if a < b and root[a] != root[b]} <= pairs
     assert not any(root[a] == root[b] for a, b in pairs if a != b)
+
+
+def test_links_that_no_leader_has(spark):
+    """With one band every twin pair that shares the key of the crowd is linked, not only the leaders'."""
+    base = cases.prose(31, 400).split()
+    rows = []
+    for i in range(120):
+        own = [f"own{i // 2}x{j}" if j % 30 == i // 2 % 30 else w for j, w in enumerate(base)]
+        rows.append((i, " ".join([*own[:-1], f"end{i}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_duplicates(df, bands=1, rows=1).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 120, 2)) > 40
