@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm import (
+    activelloyd,
     bitcodes,
     chunks,
     dartminhash,
@@ -13,6 +14,8 @@ from martwright.llm import (
     latent,
     licenses,
     mixing,
+    periodic,
+    rankprofiles,
     secretscan,
     suffixes,
     url_lists,
@@ -243,3 +246,174 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "is_secret",
     )
+
+
+def _rounds(n: int) -> str:
+    """SQL of the assignments to the books b0 .. bn, of which each is made from the one before."""
+    out = []
+    for i in range(n + 1):
+        out.append(
+            f"""far{i} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, any_value(p.x) AS x, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM (
+    SELECT p.*, b.entry, list_sum(list_transform(range(1, len(p.x) + 1),
+           lambda k: (p.x[k] - b.x[k]) * (p.x[k] - b.x[k]))) AS d
+    FROM pieces p JOIN b{i} b ON p.part = b.part) p
+  GROUP BY p.vec_id, p.part
+)"""
+        )
+        if i < n:
+            out.append(
+                f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY k) AS x FROM (
+      SELECT part, entry, k, sum(x[k])::BIGINT AS s, count(*) AS n
+      FROM far{i}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM pieces))) AS k)
+      GROUP BY part, entry, k)
+    GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry
+)"""
+            )
+    return ", ".join(out)
+
+
+@_query(
+    "op11_active_lloyd",
+    sql=f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS MATERIALIZED (
+  SELECT vec_id, part, v[part * w + 1 : part * w + w] AS x
+  FROM (SELECT vec_id, v, len(v) // 16 AS w, unnest(range(16)) AS part FROM kept)
+), b0 AS MATERIALIZED (
+  SELECT p.part, n.entry, p.x FROM pieces p JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept
+    ORDER BY vec_id LIMIT 64) n ON p.vec_id = n.vec_id
+), {_rounds(2)}, codes AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM far2 GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), books
+""",
+)
+def op11_active_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every usable vector, with the digest of the codebooks."""
+    made = activelloyd.compress(open_table(spark, sf_dir, "embeddings"))
+    digits = F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return activelloyd.with_label_errors(made.codes).select(
+        "vec_id",
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(made.sha256).alias("codebooks_sha256"),
+    )
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """Texts with their language, but for those that are kept for the test."""
+    return docs.where(~held_out(F.col("doc_id"))).select("lang", "text")
+
+
+@_query(
+    "op12_rank_profiles",
+    sql=r"""
+WITH bits AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)
+              ORDER BY b) AS crc
+  FROM (SELECT unnest(range(256)) AS b)
+), docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, text, lang, coalesce(xor(list_reduce(
+           list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT),
+           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 3 = 1, false) AS held_out
+  FROM documents, bits
+), words AS (
+  SELECT rid, ' ' || unnest(regexp_extract_all(lower(text), '\p{L}+')) || ' ' AS w FROM docs
+), grams AS (
+  SELECT rid, unnest(list_transform(range(1, len(w) + 2 - n), lambda i: substr(w, i, n))) AS gram
+  FROM (SELECT rid, w, unnest([1, 2, 3]) AS n FROM words)
+), counts AS MATERIALIZED (
+  SELECT rid, gram, count(*) AS n FROM grams WHERE gram <> ' ' GROUP BY ALL
+), ranked AS (
+  SELECT rid, gram, row_number() OVER (PARTITION BY rid ORDER BY n DESC, gram) - 1 AS rank FROM counts
+), own AS MATERIALIZED (SELECT * FROM ranked WHERE rank < 300),
+profiles AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS rank
+    FROM counts JOIN docs USING (rid) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram)
+  WHERE rank < 300
+), sizes AS (SELECT rid, count(*) AS m FROM own GROUP BY rid),
+far AS (
+  SELECT s.rid, l.lang, s.m, s.m * 300 - coalesce(sum(300 - abs(o.rank - p.rank)), 0) AS far
+  FROM sizes s CROSS JOIN (SELECT DISTINCT lang FROM profiles) l
+  LEFT JOIN (own o JOIN profiles p ON o.gram = p.gram) ON o.rid = s.rid AND p.lang = l.lang
+  GROUP BY s.rid, l.lang, s.m
+), best AS (
+  SELECT rid, arg_min(lang, (far, lang)) AS lang_pred, min(far) AS far, any_value(m) AS m FROM far GROUP BY rid
+)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred,
+       coalesce(1.0::DOUBLE - far::DOUBLE / (m * 300)::DOUBLE, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN best USING (rid)
+""",
+)
+def op12_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; the languages of every third id are kept for the test."""
+    docs = open_table(spark, sf_dir, "documents")
+    doc_id = F.col("doc_id")
+    carry = {"doc_id": doc_id, "held_out": held_out(doc_id)}
+    return rankprofiles.predict(docs, rankprofiles.fit(learnable(docs)), carry=carry)
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth (by a digest of the id) goes on in copies of a stretch of its words.
+
+    With h the crc32 of the id and g a tenth of it, the words from a = g % n on are the
+    1 + (n - a) / (3 + g % 8) words after a, again and again.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10).cast("long"), F.size("w").cast("long")
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+
+    def again(words: Column, a: Column, p: Column) -> Column:
+        tail = F.transform(
+            F.sequence(a, F.size(words).cast("long") - 1),
+            lambda i: F.element_at(words, (a + (i - a) % p + 1).cast("int")),
+        )
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+
+    marked = docs.select("doc_id", "text", F.coalesce(h % 10 == 0, F.lit(False)).alias("tailed"))
+    tailed = (
+        marked.withColumn("w", F.when(F.col("tailed"), words))
+        .withColumn("a", F.when(n > 0, g % n))
+        .withColumn("p", F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + g % 8)).cast("long"))
+    )
+    text = F.when(F.col("a").isNotNull(), again(F.col("w"), F.col("a"), F.col("p"))).otherwise(F.col("text"))
+    return tailed.select("doc_id", text.alias("text"))
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs and the digest of its text without their repeats."""
+    docs = with_tails(open_table(spark, sf_dir, "documents"))
+    found = periodic.find_runs(docs, with_kept=False)
+    longer = lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r
+    ).otherwise(best)
+    kind = found.schema["runs"].dataType.elementType
+    best = F.aggregate("runs", F.lit(None).cast(kind), longer)
+    line = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.col("kept_sha256").alias("collapsed_sha256"),
+    )
