@@ -7,6 +7,8 @@ its own, and only one summary row per chunk is compared across chunks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,24 +58,51 @@ def with_previous(
 
 
 def with_running_sum(
-    df: DataFrame, keys: list[str], order: str, value: Column, chunk: Column, name: str
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    value: Column | dict[str, Column],
+    chunk: Column | list[Column],
+    name: str = "",
 ) -> DataFrame:
-    """Add ``name``: the sum of ``value`` from the first row of the key up to this one."""
-    cut = [*keys, "_chunk"]
-    rows = df.withColumn("_value", value).withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*cut).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*cut)
-        .agg(F.sum("_value").alias("_total"))
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-        .drop("_total")
+    """Add ``name``: the sum of ``value`` from the first row of the key up to this one.
+
+    Several sums share one pass as ``{name: value}``. ``chunk`` may be several columns from fine to
+    coarse: the totals of the fine chunks are then summed up in coarser chunks, and so on, so that no task
+    gets all of them.
+    """
+    values = value if isinstance(value, dict) else {name: value}
+    fine, *coarser = chunk if isinstance(chunk, list) else [chunk]
+    level = len(coarser)
+    at = f"_chunk{level}"
+    cut = [*keys, at]
+    part = {n: f"_part{level}_{n}" for n in values}
+    total = {n: f"_total{level}_{n}" for n in values}
+    offset = {n: f"_offset{level}_{n}" for n in values}
+    rows = df.withColumns({part[n]: c for n, c in values.items()}).withColumn(at, fine)
+    above = {f"_above{i}": c for i, c in enumerate(coarser)}
+    totals = (
+        rows.withColumns(above)
+        .groupBy(*cut)
+        .agg(*(F.sum(part[n]).alias(total[n]) for n in values), *(F.max(a).alias(a) for a in above))
     )
+    upto = {f"_upto{level}_{n}": F.col(total[n]) for n in values}
+    if coarser:
+        totals = with_running_sum(totals, keys, at, upto, [F.col(a) for a in above])
+    else:
+        along = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        totals = totals.withColumns({n: F.sum(c).over(along) for n, c in upto.items()})
+    offsets = totals.select(
+        *[F.col(c).alias(f"_of_{c}") for c in cut],
+        *[(F.col(f"_upto{level}_{n}") - F.col(total[n])).alias(offset[n]) for n in values],
+    )
+    inside = Window.partitionBy(*cut).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cut])
     return (
-        rows.withColumn("_sum", F.sum("_value").over(inside))
-        .join(offsets, cut, "left")
-        .withColumn(name, F.col("_sum") + F.col("_offset"))
-        .drop("_chunk", "_value", "_sum", "_offset")
+        rows.withColumns({n: F.sum(part[n]).over(inside) for n in values})
+        .join(offsets, same, "left")
+        .withColumns({n: F.col(n) + F.col(offset[n]) for n in values})
+        .drop(at, *part.values(), *offset.values(), *(f"_of_{c}" for c in cut))
     )
 
 

@@ -2,7 +2,9 @@
 
 from martwright.plans import (  # noqa: F401
     checks,
+    differences,
     history,
+    incremental,
     ingest,
     lineage,
     marts,
@@ -11,6 +13,7 @@ from martwright.plans import (  # noqa: F401
     revenue,
     semantic,
     streams,
+    sweep,
     tests,
     writes,
 )

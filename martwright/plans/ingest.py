@@ -13,7 +13,7 @@ from martwright.plans.semantic import ENTITIES
 from martwright.session import read_table, scratch_dir
 from martwright.sources import inventory
 from martwright.sources.files import stamp_loaded
-from martwright.sources.load import last_days, load, run_ingest
+from martwright.sources.load import last_days, load, run_ingest, stored_rows
 
 FIRST = datetime(2024, 1, 31, 0, 0, 0)
 SECOND = datetime(2024, 1, 31, 12, 0, 0)
@@ -106,8 +106,9 @@ def ingest_merge(spark: SparkSession, root: str) -> DataFrame:
             "merge",
             primary_key=["l_orderkey", "l_linenumber"],
             newest=_TIES,
+            buckets=8,
         )
-    return spark.read.parquet(path)
+    return stored_rows(spark, path)
 
 
 @query("""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from martwright.operators import lineage
 from martwright.plans.registry import query
-from martwright.session import read_table
+from martwright.session import cut_lineage, read_table
 
 _STAMP = "TIMESTAMP '2001-08-01 00:00:00'"
 
@@ -121,6 +121,7 @@ FROM all_nodes
 """)
 def lineage_upstream(spark: SparkSession, root: str) -> DataFrame:
     metrics = _metrics(spark, root)
-    links = edges(spark, root)
+    # Read by every hop: made once, as an edge table is kept.
+    links = cut_lineage(edges(spark, root))
     whole = lineage.with_stub(metrics, links, lineage.upstream(metrics, links))
     return whole.withColumn("kind", lineage.node_kind(F.split_part("node", F.lit("://"), F.lit(1))))

@@ -2,6 +2,11 @@
 
 ``replace`` rewrites, ``append`` adds rows by column name, ``merge`` keeps the
 latest row per primary key. An unknown mode raises.
+
+A table loaded with ``buckets`` is cut into that many folders by a hash of its primary key. A merge
+then reads and rewrites the folders of the incoming keys only, whatever the key is, and can write down
+the rows it takes out and puts in (``changes``), from which marts are kept up to date
+(``operators/incremental.py``).
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -21,6 +27,8 @@ from martwright.sources.files import scan_source, stamp_loaded, target_table
 MODES = ("append", "replace", "merge")
 # Suffixes of a table that is being written and of the one it replaces.
 _NEXT, _ASIDE = "__next", "__aside"
+# Folder column of a bucketed table, and the sign of a change.
+BUCKET, SIGN = "_bucket", "_sign"
 
 
 class SchemaMismatch(ValueError):
@@ -48,6 +56,25 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table without the column that names its folders."""
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """Number of the folder of a key; missing parts of a key count as values."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def folder_bytes(spark: SparkSession, path: str) -> dict[int, int]:
+    """Bytes of every folder of a bucketed table, by its number."""
+    fs, at = _file_system(spark, path)
+    return {
+        int(s.getPath().getName().split("=")[1]): fs.getContentSummary(s.getPath()).getLength()
+        for s in fs.globStatus(at(f"{path}/{BUCKET}=*"))
+    }
+
+
 def guard_schema(stored: DataFrame, incoming: DataFrame, table: str) -> None:
     """Refuse a load whose columns or types differ from the stored table."""
     have = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
@@ -97,6 +124,25 @@ def merged(
     return _match(stored, incoming, keys, "left_anti").unionByName(kept)
 
 
+def settled(stored: DataFrame, batch: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
+    """Stored rows and the rows of a batch with ``_keep``, and the sign that a row has as a change.
+
+    Both carry their folder. One shuffle by folder serves the comparison of equal keys and leaves
+    every folder in one task, which writes one file of it.
+    """
+    both = stored.withColumn("_comes", F.lit(0)).unionByName(batch.withColumn("_comes", F.lit(1)))
+    same = Window.partitionBy(BUCKET, *keys)
+    first = F.row_number().over(same.orderBy(*[c.desc() for c in [*newest, F.col("_comes")]])) == 1
+    contested = F.max("_comes").over(same) == 1
+    rows = both.repartition(BUCKET).withColumns({"_first": first, "_contested": contested})
+    sign = F.when(F.col("_first") & (F.col("_comes") == 1), 1).when(
+        ~F.col("_first") & F.col("_contested") & (F.col("_comes") == 0), -1
+    )
+    return rows.withColumns({"_keep": F.col("_first") | ~F.col("_contested"), SIGN: sign}).drop(
+        "_first", "_contested", "_comes"
+    )
+
+
 def _match(stored: DataFrame, incoming: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Stored rows with (left_semi) or without (left_anti) an incoming key; NULL equals NULL."""
     wanted = incoming.select(*[F.col(k).alias(f"_in_{k}") for k in keys])
@@ -125,16 +171,30 @@ def load(
     primary_key: list[str] | None = None,
     newest: list[str] | None = None,
     partition_by: list[str] | None = None,
+    buckets: int | None = None,
+    changes: str | None = None,
 ) -> LoadResult:
     """Write ``incoming`` (with ``_loaded_at``) to the table at ``path``.
 
-    ``merge`` with ``partition_by`` inside the primary key rewrites only the
-    partitions of incoming keys, since a key cannot move to another partition.
+    ``merge`` with ``partition_by`` inside the primary key, or with ``buckets``, rewrites only the
+    folders of incoming keys, since a key cannot move to another one. ``buckets`` takes the place of
+    ``partition_by``, stays the same over the life of a table, and is chosen so that a folder fits a task.
+    ``changes`` (with ``buckets``, for append and merge) names a folder that gets the rows put in with
+    ``_sign`` 1 and those taken out with -1, before the table changes; where it is whole already,
+    the load is a retry and leaves it as it is.
     """
     if mode not in MODES:
         raise ValueError(f"unknown load mode '{mode}', use one of {', '.join(MODES)}")
+    if buckets and (partition_by or not primary_key):
+        raise ValueError("buckets need a primary_key and no partition_by")
+    if changes and (not buckets or mode == "replace"):
+        raise ValueError("changes are kept of appends and merges into a table with buckets")
     spark = incoming.sparkSession
     stored = existing(spark, path)
+    if buckets:
+        incoming = incoming.withColumn(BUCKET, bucket_of(primary_key, buckets))
+        partition_by = [BUCKET]
+        _guard_buckets(stored, primary_key, buckets, path)
     if stored is not None and mode != "replace":
         guard_schema(stored, incoming, path)
 
@@ -143,9 +203,23 @@ def load(
     parts = partition_by or []
     if mode == "append":
         rows = incoming if stored is None else incoming.select(*stored.columns)
+        if buckets:
+            rows = rows.repartition(BUCKET)
+        if changes:
+            # The table gets what the change set says, so that the source is read once.
+            _keep_changes(rows.withColumn(SIGN, F.lit(1)), changes)
+            rows = spark.read.parquet(changes).drop(SIGN)
+            counted = Observation()
+            rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
+            rows = rows.withColumn(BUCKET, bucket_of(primary_key, buckets)).repartition(BUCKET)
         rows.write.mode("append").partitionBy(*parts).parquet(path)
     elif mode == "replace":
-        _overwrite(incoming, path, parts, "static")
+        rows = incoming.repartition(BUCKET) if buckets else incoming
+        _overwrite(rows, path, parts, "static")
+    elif buckets:
+        order = [F.col(c) for c in ["_loaded_at", *(newest or [])]]
+        batch = cut_lineage(latest_per_key(incoming, primary_key, order))
+        _merge_buckets(stored, batch, path, primary_key, order, changes)
     else:
         if not primary_key:
             raise ValueError("merge needs a primary_key")
@@ -165,8 +239,50 @@ def load(
                 _overwrite(result, path, parts, "dynamic")
             else:
                 _swap_in(result, path, parts)
-    added = int(counted.get["rows"])
-    return LoadResult(path, mode, added, spark.read.parquet(path).count())
+    added = _observed(counted)
+    table = existing(spark, path)  # a partitioned table without rows has no files
+    return LoadResult(path, mode, added, 0 if table is None else table.count())
+
+
+def _guard_buckets(stored: DataFrame | None, keys: list[str], buckets: int, path: str) -> None:
+    """Refuse another number of folders than the table was made with, by one stored row."""
+    if stored is None:
+        return
+    if BUCKET not in stored.columns:
+        raise SchemaMismatch(f"{path}: stored without buckets")
+    row = stored.select(BUCKET, bucket_of(keys, buckets).alias("here")).first()
+    if row is not None and row[BUCKET] != row["here"]:
+        raise SchemaMismatch(f"{path}: stored with another number of buckets than {buckets}")
+
+
+def _merge_buckets(
+    stored: DataFrame | None,
+    batch: DataFrame,
+    path: str,
+    keys: list[str],
+    order: list[Column],
+    changes: str | None,
+) -> None:
+    """Merge a batch into the folders of its keys; other folders are neither read nor written."""
+    if stored is None:
+        rows = batch.repartition(BUCKET)
+        if changes:
+            _keep_changes(rows.withColumn(SIGN, F.lit(1)), changes)
+        _overwrite(rows, path, [BUCKET], "static")
+        return
+    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+    rows = settled(stored.filter(F.col(BUCKET).isin(touched)), batch, keys, order)
+    if changes:
+        rows = cut_lineage(rows)
+        _keep_changes(rows.filter(F.col(SIGN).isNotNull()).drop("_keep"), changes)
+        rows = rows.repartition(BUCKET)
+    _overwrite(rows.filter("_keep").drop("_keep", SIGN), path, [BUCKET], "dynamic")
+
+
+def _keep_changes(rows: DataFrame, path: str) -> None:
+    fs, at = _file_system(rows.sparkSession, path)
+    if not fs.exists(at(f"{path}/_SUCCESS")):
+        rows.drop(BUCKET).write.mode("overwrite").parquet(path)
 
 
 def _swap_in(df: DataFrame, path: str, parts: list[str]) -> None:
@@ -218,6 +334,7 @@ def run_ingest(
         [key] if isinstance(key, str) else key,
         target.get("newest"),
         target.get("partition_by"),
+        target.get("buckets"),
     )
 
 
@@ -257,12 +374,20 @@ def transform_sql(spark: SparkSession, text: str, root: str) -> DataFrame:
     return session.sql(text)
 
 
+def _observed(counted: Observation) -> int:
+    """Rows that were counted; Spark leaves the counting out of a plan that it knows to be empty."""
+    try:
+        return int(counted.get["rows"])
+    except Py4JJavaError:
+        return 0
+
+
 def materialise(mart: DataFrame, path: str) -> int:
     """Full rebuild of a mart table; running it again gives the same table. Returns its rows."""
     counted = Observation()
     rows = mart.observe(counted, F.count(F.lit(1)).alias("rows"))
     _overwrite(rows, path, [], "static")
-    return int(counted.get["rows"])
+    return _observed(counted)
 
 
 def run_everything(
