@@ -3,26 +3,29 @@
 1. Every document is read once for how often its terms occur, hashed into ``BUCKETS``. Terms are
    words and pairs of neighbouring words.
 2. Every document is read once as passages of ``window`` words, ``stride`` apart. A passage whose
-   TF-IDF weight on the benchmark's buckets is below ``gate`` of its whole weight cannot reach a
-   higher cosine with any benchmark text (but for words that it repeats), and is left there; ``gate``
-   is never above ``cosine``. The others are written down, with the words
-   around them.
+   TF-IDF weight on the terms of a benchmark piece is below ``gate`` of its whole weight cannot reach a
+   higher cosine with that piece (but for words that it repeats); ``gate`` is never above ``cosine``. A
+   passage that can reach no piece is left there. The others are written down with the words around
+   them, once for each group of pieces that they can reach. The weight on a piece is bounded
+   from above: terms that more than ``SPREAD`` pieces hold count for every piece.
 3. A randomised SVD of their TF-IDF rows and the benchmark's, of which each weighs as much as all
    passages together, so that text which the corpus repeats does not push it out: products with a
    fixed random matrix are summed over partitions, one power step sharpens them, and a small
    eigenproblem gives ``rank`` latent directions. There is one such space for every ``rank``
-   benchmark pieces, so that no piece is lost to the others.
+   benchmark pieces, made of the passages that can reach them, so that no piece is lost to the others.
+   As rank and number of pieces are equal and the pieces outweigh the passages, a space keeps its
+   pieces whole, and the cosine with one of them is that of their TF-IDF rows.
 4. Passages are compared with the benchmark pieces in the latent space; pairs with a cosine of ``cosine``
    or more (of the whole passage with what the space keeps of the piece) are candidates.
 5. A candidate is a leak if the heaviest common subsequence of words, each weighing its rarity,
    covers ``exact`` of the piece, or ``loose`` of it while the answer, the last words of the benchmark
    text, is found in order too.
 
-Beside that, every benchmark text shorter than a window is searched for as a phrase, word by word, as it
+In the same reading every benchmark text shorter than a window is searched for as a phrase, word by word, as it
 weighs too little in a passage to be sure of a cosine; one of fewer than ``min_words`` words by that alone.
 
 Benchmark texts are cut into pieces of ``piece`` words, half of it apart. They are taken block by block
-(``block_items``), so what goes to the executors is bounded however long the benchmark is; the bucket
+(``block_items`` and ``block_chars``), so what goes to the executors is bounded however long the benchmark is; the bucket
 tables and the matrices of the SVD are bounded by BUCKETS and the rank.
 
 Defined results: null and word-less documents have no passages; word-less benchmark
@@ -34,18 +37,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from martwright.llm.common import cut_lineage, document_keys, ship, shuffle_width
 from martwright.llm.textarrays import U, blocks, mix, text_column, words
+from martwright.session import scratch_dir
 
 ship(__name__)
 BUCKETS = 1 << 19
+SPREAD = 64  # pieces up to which a term is counted for its own pieces only
+CELLS = 1 << 22  # (passage, piece) sums held at once
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -113,7 +121,7 @@ def rarity(docs: DataFrame, text_col: str, window: int, stride: int) -> np.ndarr
 
 @dataclass
 class Pieces:
-    """Benchmark pieces: owner, words, the owner's last words, and the rarity of both."""
+    """Benchmark pieces: number of the owner, words, the owner's last words, and the rarity of both."""
 
     owner: list[int]
     hashes: list[np.ndarray]
@@ -122,15 +130,19 @@ class Pieces:
     answer_weight: list[np.ndarray]
 
 
-def cut_pieces(items, idf: np.ndarray, piece: int, min_words: int, answer_words: int) -> Pieces:
+def _words_of(text: str | None) -> np.ndarray:
+    data = np.frombuffer((text or "").lower().encode(), np.uint8)
+    return words(data, np.array([0, len(data)]))[2]
+
+
+def cut_pieces(texts, idf: np.ndarray, piece: int, min_words: int, answer_words: int) -> Pieces:
     out = Pieces([], [], [], [], [])
-    for item, text in items:
-        data = np.frombuffer((text or "").lower().encode(), np.uint8)
-        hashes = words(data, np.array([0, len(data)]))[2]
-        if item is None or len(hashes) < min_words:
+    for number, text in enumerate(texts):
+        hashes = _words_of(text)
+        if len(hashes) < min_words:
             continue
         for start in range(0, max(len(hashes) - piece // 2, 1), piece // 2):
-            out.owner.append(item)
+            out.owner.append(number)
             out.hashes.append(hashes[start : start + piece])
             out.answer.append(hashes[-answer_words:])
             out.weight.append(idf[bucket(out.hashes[-1])].astype(np.float64))
@@ -138,10 +150,112 @@ def cut_pieces(items, idf: np.ndarray, piece: int, min_words: int, answer_words:
     return out
 
 
-def _passages(
-    idf: np.ndarray, place: np.ndarray, window: int, stride: int, lead: int, gate: float
-) -> Callable:
-    """Texts to passages above the gate: their benchmark terms by place, and their length as a vector."""
+class Reach:
+    """Which pieces a passage may reach, from the weights of its terms.
+
+    ``place`` numbers the buckets of the pieces' terms. A term of more than ``SPREAD`` pieces is common: its
+    weight counts for every piece, so that the bound holds and no list is long.
+    """
+
+    def __init__(self, terms: list[np.ndarray], idf: np.ndarray, gate: float, group: int):
+        self.slots = np.unique(np.concatenate(terms)) if terms else np.empty(0, np.int64)
+        self.place = np.full(BUCKETS, -1, dtype=np.int32)
+        self.place[self.slots] = np.arange(len(self.slots))
+        self.mass = idf[self.slots].astype(np.float64) ** 2
+        self.gate, self.group, self.pieces = gate * gate, group, len(terms)
+        own = [np.unique(self.place[t]) for t in terms]
+        held = np.concatenate(own) if own else np.empty(0, np.int64)
+        piece = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(held, kind="stable")
+        count = np.bincount(held, minlength=len(self.slots))
+        self.common = count > SPREAD
+        self.low = np.cumsum(count) - count
+        self.count = np.where(self.common, 0, count)
+        self.piece = piece[order]
+
+    def groups(self, places: np.ndarray, ends: np.ndarray, whole: np.ndarray):
+        """(passage, group) of all that may meet; ``ends`` are the offsets of the passages' places."""
+        size = np.diff(ends)
+        row = np.repeat(np.arange(len(size)), size)
+        base = np.bincount(row, np.where(self.common[places], self.mass[places], 0.0), len(size))
+        need = self.gate * whole - base
+        rows, groups = [], []
+        width = -(-self.pieces // self.group)
+        step = max(1, CELLS // max(self.pieces, 1))
+        for first in range(0, len(size), step):
+            last = min(first + step, len(size))
+            part = slice(ends[first], ends[last])
+            at, ends_at = _ranges(self.low[places[part]], self.low[places[part]] + self.count[places[part]])
+            times = np.diff(ends_at)
+            cell = np.repeat(row[part] - first, times) * self.pieces + self.piece[at]
+            sums = np.bincount(cell, np.repeat(self.mass[places[part]], times), (last - first) * self.pieces)
+            meets = sums.reshape(last - first, self.pieces) >= need[first:last, None]
+            padded = np.zeros((last - first, width * self.group), dtype=bool)
+            padded[:, : self.pieces] = meets
+            some = padded.reshape(last - first, width, self.group).any(axis=2)
+            i, g = np.nonzero(some)
+            rows.append(i + first)
+            groups.append(g)
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(rows), np.concatenate(groups)
+
+
+class Phrases:
+    """Texts that have words, but fewer than a window, to be found word by word."""
+
+    STEP = U(0x9FB21C651E98DF25)
+
+    def __init__(self, texts, window: int):
+        self.owners: dict[tuple[int, int], list[int]] = {}
+        # Buckets of a single word, or of the first two words.
+        self.one, self.two = (np.zeros(BUCKETS, dtype=bool) for _ in range(2))
+        for number, text in enumerate(texts):
+            hashes = _words_of(text)
+            if not 0 < len(hashes) < window:
+                continue
+            acc = U(0)
+            for h in hashes:
+                acc = (np.array([acc]) * self.STEP + h)[0]
+            self.owners.setdefault((len(hashes), int(acc)), []).append(number)
+            if len(hashes) == 1:
+                self.one[bucket(hashes)] = True
+            else:
+                self.two[pair_bucket(hashes)[:1]] = True
+        lengths: dict[int, list[int]] = {}
+        for n, acc in self.owners:
+            lengths.setdefault(n, []).append(acc)
+        self.lengths = {n: np.array(sorted(x), dtype=U) for n, x in lengths.items()}
+
+    def found(self, hashes, of, slot, pair, ends) -> list[tuple[int, int, int]]:
+        """(document, first word, phrase) of the phrases of a block, each once a document."""
+        out: list[tuple[int, int, int]] = []
+        if not self.lengths or not len(hashes):
+            return out
+        start = np.flatnonzero(self.one[slot] | self.two[pair])
+        acc = np.zeros(len(start), dtype=U)
+        for n in range(1, max(self.lengths) + 1):
+            fits = start + n <= ends[of[start]]
+            start, acc = start[fits], acc[fits] * self.STEP + hashes[start[fits] + n - 1]
+            if not len(start):
+                break
+            if n not in self.lengths:
+                continue
+            hit = np.flatnonzero(np.isin(acc, self.lengths[n]))
+            _, once = np.unique(np.column_stack([of[start[hit]].astype(U), acc[hit]]), axis=0, return_index=True)
+            for i in hit[once].tolist():
+                doc = int(of[start[i]])
+                begin = int(ends[doc - 1]) if doc else 0
+                out += [(doc, int(start[i]) - begin, p) for p in self.owners[n, int(acc[i])]]
+        return out
+
+
+def _passages(idf: np.ndarray, reach: Reach, phrases: Phrases, window: int, stride: int, lead: int) -> Callable:
+    """Texts to the passages that may reach a piece, by group: benchmark terms by place, length as a vector.
+
+    A phrase found is a row of group -1 with its number in ``phrase``.
+    """
+    place = reach.place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,11 +263,17 @@ def _passages(
             for first, last in blocks(offsets):
                 at = offsets[first : last + 1] - offsets[first]
                 _, _, hashes, of = words(data[offsets[first] : offsets[last]], at)
-                slot, pair = bucket(hashes), np.append(pair_bucket(hashes), 0)
+                slot, pair = bucket(hashes), np.append(pair_bucket(hashes), 0)[: len(hashes)]
                 every, ours = _masses(slot, idf, place)
                 pairs, our_pairs = _masses(pair[:-1], idf, place)
                 count = np.bincount(of, minlength=last - first)
                 begin = np.cumsum(count) - count
+                hits = phrases.found(hashes, of, slot, pair, begin + count)
+                if hits:
+                    doc, start, phrase = (np.array(x) for x in zip(*hits, strict=True))
+                    none = np.zeros(len(doc), dtype=np.int64)
+                    yield _found(batch, first + doc, start, none - 1, phrase, none.astype(float),
+                                 *(_lists(np.empty(0, t), none, none) for t in (np.int32, np.int64)))
                 n = np.where(count > 0, -(-np.maximum(count - window, 0) // stride) + 1, 0)
                 doc = np.repeat(np.arange(last - first), n)
                 turn = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
@@ -162,92 +282,45 @@ def _passages(
                 end = np.maximum(high - 1, low)
                 near = ours[high] - ours[low] + our_pairs[end] - our_pairs[low]
                 whole = every[high] - every[low] + pairs[end] - pairs[low]
-                keep = np.flatnonzero(near >= gate * gate * whole)
-                if not len(keep):
+                keep = np.flatnonzero(near >= reach.gate * whole)
+                if not len(keep) or not reach.pieces:
+                    continue
+                both = np.concatenate([place[slot], place[pair]])
+                # Rounding of the running sums must not part a passage from a piece it just reaches.
+                values, ends = _terms(both, *_spans(low[keep], high[keep], end[keep], len(slot)))
+                row, group = reach.groups(values, ends, whole[keep] * (1 - 1e-9))
+                if not len(row):
                     continue
-                doc, low, high = doc[keep], low[keep], high[keep]
+                keep = keep[row]
+                doc, low, high, end = doc[keep], low[keep], high[keep], end[keep]
                 left = np.maximum(low - lead, begin[doc])
                 right = np.minimum(high + lead, begin[doc] + count[doc])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).take(pa.array(first + doc)) for i in range(3)),
-                        pa.array((low - begin[doc]).astype(np.int32)),
-                        _terms(
-                            np.concatenate([place[slot], place[pair]]),
-                            np.column_stack([low, low + len(slot)]).ravel(),
-                            np.column_stack([high, end[keep] + len(slot)]).ravel(),
-                        ),
-                        pa.array(np.sqrt(whole[keep])),
-                        _lists(hashes.view(np.int64), left, right),
-                    ],
-                    names=["k1", "k2", "id", "start", "terms", "norm", "around"],
-                )
+                values, ends = _terms(both, *_spans(low, high, end, len(slot)))
+                terms = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+                yield _found(batch, first + doc, low - begin[doc], group, np.full(len(doc), -1),
+                             np.sqrt(whole[keep]), terms, _lists(hashes.view(np.int64), left, right))
 
     return run
 
 
-def short_phrases(items, window: int) -> list[tuple[int, np.ndarray]]:
-    """(item, word hashes) of the texts that have words, but fewer than a window."""
-    out = []
-    for item, text in items:
-        data = np.frombuffer((text or "").lower().encode(), np.uint8)
-        hashes = words(data, np.array([0, len(data)]))[2]
-        if 0 < len(hashes) < window:
-            out.append((item, hashes))
-    return out
-
+def _spans(low: np.ndarray, high: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each passage the range of its words and, ``n`` further, that of its pairs."""
+    return np.column_stack([low, low + n]).ravel(), np.column_stack([high, end + n]).ravel()
 
-def _phrases(phrases: list[tuple[int, np.ndarray]]) -> Callable:
-    """Texts to the phrases that stand in them word by word, each once a text."""
-    step = U(0x9FB21C651E98DF25)
-    owners = {}
-    for item, hashes in phrases:
-        acc = U(0)
-        for h in hashes:
-            acc = (np.array([acc]) * step + h)[0]
-        owners.setdefault((len(hashes), int(acc)), []).append(item)
-    lengths = {}
-    for n, acc in owners:
-        lengths.setdefault(n, []).append(acc)
-    lengths = {n: np.array(sorted(x), dtype=U) for n, x in lengths.items()}
-    heads = np.unique(np.array([h[0] for _, h in phrases], dtype=U))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_column(pc.utf8_lower(batch.column(3)))
-            for first, last in blocks(offsets):
-                at = offsets[first : last + 1] - offsets[first]
-                _, _, hashes, of = words(data[offsets[first] : offsets[last]], at)
-                ends = np.cumsum(np.bincount(of, minlength=last - first))
-                start = np.flatnonzero(np.isin(hashes, heads))
-                acc = np.zeros(len(start), dtype=U)
-                rows, hits = [], []
-                for n in range(1, max(lengths) + 1):
-                    fits = start + n <= ends[of[start]]
-                    start, acc = start[fits], acc[fits] * step + hashes[start[fits] + n - 1]
-                    if n not in lengths:
-                        continue
-                    found = np.flatnonzero(np.isin(acc, lengths[n]))
-                    _, once = np.unique(np.column_stack([of[start[found]].astype(U), acc[found]]), axis=0, return_index=True)
-                    for i in found[once].tolist():
-                        doc = of[start[i]]
-                        begin = ends[doc - 1] if doc else 0
-                        for item in owners[n, int(acc[i])]:
-                            rows.append(first + doc)
-                            hits.append((int(start[i] - begin), item, 1.0, 1.0, 1.0))
-                if rows:
-                    columns = [list(x) for x in zip(*hits, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(batch.column(c).take(pa.array(rows)) for c in range(3)),
-                            pa.array(columns[0], pa.int32()),
-                            pa.array(columns[1], pa.int64()),
-                            *(pa.array(x, pa.float64()) for x in columns[2:]),
-                        ],
-                        names=["k1", "k2", "id", "start", "item", "cover", "told", "cosine"],
-                    )
-
-    return run
+def _found(batch, rows, start, group, phrase, norm, terms, around) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            *(batch.column(i).take(pa.array(rows)) for i in range(3)),
+            pa.array(start.astype(np.int32)),
+            terms,
+            pa.array(norm),
+            around,
+            pa.array(group.astype(np.int32)),
+            pa.array(phrase.astype(np.int32)),
+        ],
+        names=["k1", "k2", "id", "start", "terms", "norm", "around", "group", "phrase"],
+    )
 
 
 def _masses(slots: np.ndarray, idf: np.ndarray, place: np.ndarray):
@@ -269,13 +342,12 @@ def _lists(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.ListArra
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[at]))
 
 
-def _terms(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.ListArray:
-    """Lists of the places that are not -1, each of two ranges (words and pairs)."""
+def _terms(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that are not -1 of two ranges each (words and pairs), and their offsets."""
     at, ends = _ranges(low, high)
     found = places[at]
     inside = found >= 0
-    ends = np.append(0, np.cumsum(inside))[ends[::2]]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found[inside]))
+    return found[inside], np.append(0, np.cumsum(inside))[ends[::2]]
 
 
 @dataclass
@@ -379,7 +451,7 @@ def common_share(piece: np.ndarray, text: np.ndarray, weight: np.ndarray) -> flo
     return float(best[-1] / weight.sum())
 
 
-def _search(weight, inner, space, pieces: Pieces, latent, cosine, exact, loose, found) -> Callable:
+def _search(weight, inner, space, pieces: Pieces, latent, items, cosine, exact, loose, found) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(6)
@@ -399,7 +471,7 @@ def _search(weight, inner, space, pieces: Pieces, latent, cosine, exact, loose,
                     told = common_share(pieces.answer[j], around, pieces.answer_weight[j])
                     if cover >= exact or told >= found:
                         rows.append(first + i)
-                        hits.append((pieces.owner[j], cover, told, float(alike[i, j])))
+                        hits.append((items[pieces.owner[j]], cover, told, float(alike[i, j])))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -424,21 +496,26 @@ def leaks(
     rank: int = 64,
     gate: float | None = None,
     cosine: float = 0.35,
-    exact: float = 0.7,
+    exact: float = 0.6,
     loose: float = 0.5,
     found: float = 0.75,
     block_items: int = 10_000,
+    block_chars: int = 1 << 24,
     seed: int = 42,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """(id, k1, k2, item, cover, told, cosine, start): one row per document and text it leaks."""
+    """(id, k1, k2, item, cover, told, cosine, start): one row per document and text it leaks.
+
+    Ids of documents and of benchmark texts may be of any type that has a text form.
+    """
     gate = cosine if gate is None else min(gate, cosine)
-    kind = docs.schema[id_col].dataType
+    spark = docs.sparkSession
+    kind, item_kind = (t.schema[c].dataType for t, c in ((docs, id_col), (benchmark, item_col)))
     schema = (
-        f"k1 long, k2 long, id {kind.simpleString()}, start int, item long, cover double,"
+        f"k1 long, k2 long, id {kind.simpleString()}, start int, item string, cover double,"
         " told double, cosine double"
     )
     keyed = docs.select(
@@ -447,66 +524,83 @@ def leaks(
         F.col(text_col).cast("string").alias("text"),
     )
     items = benchmark.select(
-        F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")
+        F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")
     ).where("item is not null and text is not null")
-    n_blocks = -(-items.count() // block_items)
+    number, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_blocks = max(-(-number // block_items), -(-chars // block_chars))
     idf = rarity(docs, text_col, window, stride) if n_blocks else None
-    hits = []
-    for number in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == number)
-        texts = sorted((r["item"], r["text"]) for r in part.collect())
-        phrases = short_phrases(texts, window)
-        if phrases:
-            hits.append(keyed.mapInArrow(_phrases(phrases), schema))
-        pieces = cut_pieces(texts, idf, piece, min_words, answer_words)
-        if not pieces.owner:
+    path = scratch_dir(spark, "leaks")
+    # Every search adds its hits to one table, so that the plan does not grow with the benchmark.
+    spark.createDataFrame([], schema).write.parquet(path)
+    for block in range(n_blocks):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
+        chosen = sorted((r["item"], r["text"]) for r in part.collect())
+        if not chosen:
             continue
+        names, texts = zip(*chosen, strict=True)
+        pieces = cut_pieces(texts, idf, piece, min_words, answer_words)
         terms = [np.append(bucket(h), pair_bucket(h)) for h in pieces.hashes]
-        slots = np.unique(np.concatenate(terms))
-        place = np.full(BUCKETS, -1, dtype=np.int32)
-        place[slots] = np.arange(len(slots))
-        passages = cut_lineage(
-            keyed.mapInArrow(
-                _passages(idf, place, window, stride, piece, gate),
-                f"k1 long, k2 long, id {kind.simpleString()}, start int, terms array<int>,"
-                " norm double, around array<long>",
-            )
+        reach = Reach(terms, idf, gate, rank)
+        passages = keyed.mapInArrow(
+            _passages(idf, reach, Phrases(texts, window), window, stride, piece),
+            f"k1 long, k2 long, id {kind.simpleString()}, start int, terms array<int>,"
+            " norm double, around array<long>, group int, phrase int",
         )
-        n_passages = passages.count()
+        # Sorted by group, so that the passes over one group skip the pages of the others.
+        passages = cut_lineage(passages.sortWithinPartitions("group"))
+        phrases = passages.where("group = -1").select(
+            "k1", "k2", "id", "start", "phrase", *[F.lit(1.0).alias(c) for c in ("cover", "told", "cosine")]
+        )
+        found_here = [phrases.mapInArrow(_with_names(names), schema)]
+        sizes = {r["group"]: r["count"] for r in passages.groupBy("group").count().collect()}
         for begin in range(0, len(terms), rank):
+            near = passages.where(F.col("group") == begin // rank)
+            size = sizes.get(begin // rank, 0)
+            if not size:
+                continue
             group = terms[begin : begin + rank]
             ours = np.unique(np.concatenate(group))
             # places in the group's vocabulary of the places in the block's
-            inner = np.full(len(slots), -1, dtype=np.int32)
-            inner[place[ours]] = np.arange(len(ours))
+            inner = np.full(len(reach.slots), -1, dtype=np.int32)
+            inner[reach.place[ours]] = np.arange(len(ours))
             weight = idf[ours].astype(np.float64)
             own = Rows(
-                inner[place[np.concatenate(group)]].astype(np.int64),
+                inner[reach.place[np.concatenate(group)]].astype(np.int64),
                 np.array([len(t) for t in group]),
                 np.array([np.sqrt((idf[t].astype(np.float64) ** 2).sum()) for t in group]),
             )
-            heavy = float(max(1, n_passages))
-            space = latent_space(passages, own, weight, inner, rank, heavy, seed)
+            space = latent_space(near, own, weight, inner, rank, float(size), seed)
             latent = project(own, weight, space)
             latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-12)[:, None]
             some = Pieces(*(x[begin : begin + rank] for x in vars(pieces).values()))
-            hits.append(
-                passages.mapInArrow(
-                    _search(weight, inner, space, some, latent, cosine, exact, loose, found),
-                    schema,
-                )
+            search = _search(weight, inner, space, some, latent, names, cosine, exact, loose, found)
+            found_here.append(near.mapInArrow(search, schema))
+            if len(found_here) == 8:
+                reduce(DataFrame.union, found_here).write.mode("append").parquet(path)
+                found_here = []
+        if found_here:
+            reduce(DataFrame.union, found_here).write.mode("append").parquet(path)
+    return _named(spark.read.schema(schema).parquet(path), id_col, item_kind)
+
+
+def _with_names(names: tuple[str, ...]) -> Callable:
+    """Rows with the number of a benchmark text to rows with its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            item = pa.array([names[i] for i in batch.column(4).to_pylist()], pa.string())
+            columns = [item if i == 4 else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(
+                columns, names=["k1", "k2", "id", "start", "item", "cover", "told", "cosine"]
             )
-    if not hits:
-        return _named(docs.sparkSession.createDataFrame([], schema), id_col)
-    every = hits[0]
-    for more in hits[1:]:
-        every = every.union(more)
-    return _named(every, id_col)
+
+    return run
 
 
-def _named(hits: DataFrame, id_col: str) -> DataFrame:
+def _named(hits: DataFrame, id_col: str, item_kind: DataType) -> DataFrame:
     return (
-        hits.groupBy("k1", "k2", "id", "item")
+        hits.withColumn("item", F.col("item").cast(item_kind))
+        .groupBy("k1", "k2", "id", "item")
         .agg(
             F.max("cover").alias("cover"),
             F.max("told").alias("told"),
