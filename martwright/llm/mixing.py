@@ -6,7 +6,8 @@ source needs no task that holds the source. The order is cut where the running t
 the source's budget; a budget above the source's size takes whole epochs first.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in
-order; repeated rows are taken row by row; an empty table gives an empty table. Other columns
+order; repeated rows are taken row by row; the targets of all sources are worked out in one task, which
+some millions of sources fit; an empty table gives an empty table. Other columns
 of the input, whatever their names, are left out of the result.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from martwright.llm.common import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
+# Sources whose targets are sent to every task: some 100 bytes each.
+BROADCAST_SOURCES = 20_000
 
 
 def sizes(text: Column) -> Column:
@@ -105,10 +108,15 @@ def mix(
         F.sum("size").alias("source_size"),
         F.count(F.lit(1)).alias("n_rows"),
     )
-    targets = source_targets(totals, weights=weights, share=share, limit=limit)
+    # Written first, so that its size is known: few sources go to every task. Many are joined
+    # by source and dealt out again by slice, so that no source stays in one task.
+    targets = cut_lineage(source_targets(totals, weights=weights, share=share, limit=limit))
+    few = targets.count() <= BROADCAST_SOURCES
     n_slices = F.ceil(F.col("n_rows") / F.lit(rows_per_slice))
     part = F.least(F.floor(F.col("draw") / F.lit(float(16**15)) * n_slices), n_slices - 1)
-    rows = base.join(targets, "source_key").withColumn("slice", part)
+    rows = base.join(F.broadcast(targets) if few else targets, "source_key").withColumn("slice", part)
+    if not few:
+        rows = rows.repartition("source_key", "slice")
     ahead = Window.partitionBy("source_key").orderBy("slice")
     # Written first: planned with the window below, both would be dealt by source alone.
     offsets = cut_lineage(
