@@ -34,18 +34,18 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed codes (n, ceil(d / 8)) and correction scalars of unit vectors (n, d)."""
-    turned = vectors @ rotation(vectors.shape[1], seed).T
+def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed codes (n, ceil(d / 8)) and correction scalars of unit vectors (n, d), rotated by ``turn``."""
+    turned = vectors @ turn.T
     scalar = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
     return np.packbits(turned > 0, axis=1), scalar
 
 
-def byte_sums(query: np.ndarray, seed: int) -> np.ndarray:
+def byte_sums(query: np.ndarray, turn: np.ndarray) -> np.ndarray:
     """Per byte of a code, the inner product of that part of the query for all 256 values."""
     dim = len(query)
     turned = np.zeros(-(-dim // 8) * 8)
-    turned[:dim] = rotation(dim, seed) @ query / np.sqrt(dim)
+    turned[:dim] = turn @ query / np.sqrt(dim)
     signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0
     return turned.reshape(-1, 8) @ signs.T
 
@@ -75,12 +75,13 @@ def _search(k: int, width: float, seed: int):
         base, asked = _rows(vectors), _rows(queries)
         ids = vectors.column("id").to_numpy()
         norms = np.sqrt((base * base).sum(axis=1))
-        codes, scalar = encode(base / norms[:, None], seed)
         dim = base.shape[1]
+        turn = rotation(dim, seed)
+        codes, scalar = encode(base / norms[:, None], turn)
         out = []
         for own, query in zip(queries.column("id").to_numpy(), asked, strict=True):
             norm = np.sqrt((query * query).sum())
-            low, high = bounds(codes, scalar, dim, byte_sums(query / norm, seed), width)
+            low, high = bounds(codes, scalar, dim, byte_sums(query / norm, turn), width)
             other = ids != own
             low = low[other]
             if not len(low):

@@ -154,8 +154,9 @@ def test_bounds_hold():
     draw = np.random.default_rng(5)
     vectors = draw.standard_normal((2000, 48))
     vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-    codes, scalar = bitcodes.encode(vectors, 1)
-    low, high = bitcodes.bounds(codes, scalar, 48, bitcodes.byte_sums(vectors[0], 1), 4.0)
+    turn = bitcodes.rotation(48, 1)
+    codes, scalar = bitcodes.encode(vectors, turn)
+    low, high = bitcodes.bounds(codes, scalar, 48, bitcodes.byte_sums(vectors[0], turn), 4.0)
     truth = vectors @ vectors[0]
     assert ((low <= truth) & (truth <= high)).mean() > 0.999
 
