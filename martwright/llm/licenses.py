@@ -4,7 +4,8 @@ A text is looked at only if it holds what any rule's match holds: a word of a ph
 stands for itself. The rules of the keywords it holds are matched, each giving intervals of the text. A rule of higher priority
 suppresses every interval of a lower one that lies inside its own; what is left names the
 licenses. Rules are made from a table of licenses and a table of phrasings, in this
-order of priority: identifier tag, full title with version, grant sentence, web address, plain name.
+order of priority: text of a license or its notice, identifier tag, full title with version, grant
+sentence, web address, plain name.
 
 Beside them stand the base phrases, found word by word: places where the words of a phrase
 stand consecutively. Words are runs of digits, ASCII letters and characters beyond ASCII.
@@ -108,6 +109,42 @@ GENERIC = (
 )
 
 
+# Opening words of the license texts and notices, with the label, a word that opens the
+# rule, and the confidence. Any run of other characters may stand between the words.
+BODIES = (
+    ("mit", "hereby", 0.95, "permission is hereby granted free of charge to any person obtaining a copy of this"
+     " software and associated documentation files"),
+    ("boost-1.0", "hereby", 0.95, "permission is hereby granted free of charge to any person or organization"
+     " obtaining a copy of the software and accompanying documentation"),
+    ("isc", "hereby", 0.9, "permission to use copy modify and( or)? distribute this software for any purpose with or"
+     " without fee is hereby granted"),
+    ("bsd", "redistribution", 0.9, "redistribution and use in source and binary forms with or without modification are"
+     " permitted"),
+    ("bsd-3-clause", "endorse", 0.95, "may be used to endorse or promote products derived from this software without"),
+    ("apache-2.0", "compliance", 0.9, "you may not use this file except in compliance with the license"),
+    ("gpl", "redistribute", 0.9, "is free software you can redistribute it and or modify it under the terms of the gnu"
+     " general public license"),
+    ("lgpl", "redistribute", 0.9, "is free software you can redistribute it and or modify it under the terms of the gnu"
+     " lesser general public license"),
+    ("agpl", "redistribute", 0.9, "is free software you can redistribute it and or modify it under the terms of the gnu"
+     " affero general public license"),
+    ("mpl-2.0", "mozilla", 0.95, "this source code form is subject to the terms of the mozilla public license v 2( 0)?"),
+    ("zlib", "as-is", 0.8, "this software is provided as is without any express or implied warranty"),
+    ("unlicense", "unencumbered", 0.95, "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "waived", 0.9, "has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", "dedicated", 0.9, "has dedicated the work to the public domain"),
+)
+BODY_PRIORITY = 70
+
+
+def bodies() -> list[tuple[str, str, str, int, float]]:
+    """Rules of the license texts, as ``rules`` gives them."""
+    return [
+        (keyword, r"(?<![a-z0-9])" + words.replace("( ", r"(?:\W+").replace(" ", r"\W+"), label, BODY_PRIORITY, sure)
+        for label, keyword, sure, words in BODIES
+    ]
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(keyword, pattern, label, priority, confidence), most specific first."""
     out = []
@@ -121,13 +158,17 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         for phrasing, priority, confidence, least in GENERIC:
             if bare >= least:
                 out.append((keyword, phrasing.replace("N", name), label, priority, confidence))
-    return sorted(out, key=lambda r: (-r[3], r[0], r[1]))
+    return sorted([*out, *bodies()], key=lambda r: (-r[3], r[0], r[1]))
 
 
 def gate() -> str:
     """What every match of a rule holds: a word of its phrasing, or the name where that is enough."""
     names = "|".join(dict.fromkeys(name for _, _, name, _, bare in LICENSES if bare))
-    return rf"(?i)licen[sc]e|(?:released|distributed|available)\s+under|https?://|(?<![a-z0-9])(?:{names})"
+    texts = "|".join(dict.fromkeys(keyword for _, keyword, _, _ in BODIES if keyword != "mozilla"))
+    return (
+        r"(?i)licen[sc]e|(?:released|distributed|available)\s+under|https?://"
+        rf"|(?<![a-z0-9])(?:{names}|{texts})"
+    )
 
 
 GATE = gate()
@@ -207,7 +248,11 @@ def _detections(text: Column) -> Column:
             for keyword, own in by_keyword.items()
         )
     )
-    open_rules = F.flatten(F.filter(table, lambda r: F.contains(text, r["keyword"]))["rules"])
+    # A keyword begins a word: "limit" does not open the rules of "mit".
+    begins = lambda r: F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), r["keyword"]))
+    open_rules = F.flatten(
+        F.filter(table, lambda r: F.contains(text, r["keyword"]) & begins(r))["rules"]
+    )
     every = F.flatten(F.transform(open_rules, lambda r: _spans(text, r)))
     return let(
         every,
