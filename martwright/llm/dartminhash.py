@@ -440,9 +440,11 @@ def near_duplicates(
             (F.col("n_words") > 0).alias("worded"),
         )
     )
+    # A document without an id names no class; ``class_key`` tells classes apart whatever the ids.
+    own = F.when(F.col("id").isNotNull(), F.col("k2"))
     named = cut_lineage(
         classed.groupBy("class_key", "worded").agg(
-            F.min("k2").alias("class_id"), F.count(F.lit(1)).alias("class_size")
+            F.min(own).alias("class_id"), F.count(F.lit(1)).alias("class_size")
         )
     )
     return classed.join(named, ["class_key", "worded"]).select(

@@ -182,7 +182,9 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near-copies."""
     docs = open_table(spark, sf_dir, "documents")
-    return dartminhash.near_duplicates(docs).select("doc_id", "n_words", "class_id", "class_size")
+    return dartminhash.near_duplicates(docs).select(
+        "doc_id", "n_words", "class_id", "class_size", "class_key"
+    )
 
 
 @_query("op2_chunks")
