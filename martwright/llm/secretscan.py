@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 key characters with a digit among them, inside a
-white-space separated word. The forest sees its length, its character transitions (changes between kinds
+Candidates are looked for in white-space separated words, by shape and by place. By shape: a run of at
+least 16 key characters with a digit among them. By place: whatever of 6 characters or more is assigned to a
+word that asks for a secret (``password = ...``, ``api_key:"..."``, ``Bearer ...``), with any punctuation, and the
+password of an address (``scheme://user:password@host``). The forest sees its length, its character transitions (changes between kinds
 of characters, vowels after consonants), how much of it dictionary words cover, the path it comes from and
 the words next to it. It is trained from labelled findings (value, before, after,
 path, label), a bounded number of rows; it is small and goes to the executors whole.
@@ -14,6 +16,8 @@ split into words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -32,6 +36,15 @@ DICTIONARY = (
     " that not you are was will have http https www com org net html json"
 ).split()
 ASKS = r"(?i)token|secret|passw|api.?key|access.?key|auth|bearer|credential|private|signature"
+# A word that asks, as far as what it is set to; the value itself, without quotes and closing marks.
+_SET = rf"(?:{ASKS})[\w.-]{{0,20}}[\"'`\])]{{0,2}}\s?(?:=>|:=|=|:)"
+_VALUE = r"[\"'`]{0,2}((?!(?i:bearer))[^\s\"'`]{5,}[^\s\"'`;,.:)\]}])"
+ASSIGNED = _SET + _VALUE  # within a word
+AWAITED = rf"(?:{_SET}|(?i)bearer)$"  # the words before
+FIRST = rf"^(?:=>|:=|=|:)?{_VALUE}"  # the word after them
+ADDRESS = r"://[^\s/:@]{1,64}:([^\s/@]{3,})@"
+# What every text with a candidate holds.
+GATE = rf"{CANDIDATE}|{ADDRESS}|(?:{_SET}|(?i)bearer)\s*\S{{6}}|(?:{ASKS})[\w.-]{{0,20}}[\"'`\])]{{0,2}}\s[=:]"
 TELLS = r"(?i)commit|sha.?\d|md5|checksum|digest|hash|uuid|guid|revision|integrity|etag|order|card"
 PLACES = r"(?i)test|example|sample|doc|fixture|mock|spec"
 
@@ -56,9 +69,9 @@ def features(findings: DataFrame) -> DataFrame:
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "lowers": share("[a-z]"),
-        "symbols": share("[_+/=-]"),
+        "symbols": share("[^A-Za-z0-9]"),
         "hex_only": F.regexp_like(value, F.lit("^([0-9a-f]+|[0-9A-F]+)$")).cast("double"),
-        "turns": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[A-Za-z0-9])[_+/=-]"),
+        "turns": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[A-Za-z0-9])[^A-Za-z0-9]"),
         "case_turns": share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
         "vowel_turns": share("(?i)(?<=[bcdfghjklmnpqrstvwxyz])[aeiou]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
@@ -90,33 +103,54 @@ def fit(findings: DataFrame, *, trees: int = 24, depth: int = 7, seed: int = 42)
     ).fit(rows.coalesce(1).sortWithinPartitions("value", "before").select("features", "label"))
 
 
+def _values(word: Column, before: Column) -> Column:
+    """Candidates of a word: by place, then by shape those that are in none of them."""
+    nothing = F.array().cast("array<string>")
+    assigned = F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(1))
+    awaited = F.when(
+        F.regexp_like(before, F.lit(AWAITED)), F.regexp_extract_all(word, F.lit(FIRST), F.lit(1))
+    ).otherwise(nothing)
+    address = F.regexp_extract_all(word, F.lit(ADDRESS), F.lit(1))
+    placed = F.array_distinct(F.concat(assigned, awaited, address))
+    shaped = F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0))
+    return let(
+        placed,
+        lambda p: F.concat(
+            p, F.filter(F.array_distinct(shaped), lambda v: ~F.exists(p, lambda x: F.contains(x, v)))
+        ),
+    )
+
+
 def candidates(text: Column) -> Column:
     """All (word_no, word, value, before, after) of a text, null without any."""
 
     def found(words: Column) -> Column:
-        numbers = F.filter(
-            F.sequence(F.lit(1), F.size(words)),
-            lambda i: F.regexp_like(F.element_at(words, i), F.lit(CANDIDATE)),
-        )
-        return F.flatten(
-            F.transform(
-                numbers,
-                lambda i: F.transform(
-                    F.regexp_extract_all(F.element_at(words, i), F.lit(CANDIDATE), F.lit(0)),
+        def of(i: Column) -> Column:
+            word = F.element_at(words, i)
+            before = F.concat_ws(" ", F.get(words, i - 4), F.get(words, i - 3), F.get(words, i - 2))
+            return let(
+                before,
+                lambda b: F.transform(
+                    _values(word, b),
                     lambda v: F.struct(
                         (i - 1).alias("word_no"),
-                        F.element_at(words, i).alias("word"),
+                        word.alias("word"),
                         v.alias("value"),
-                        F.concat_ws(
-                            " ", F.get(words, i - 4), F.get(words, i - 3), F.get(words, i - 2)
-                        ).alias("before"),
+                        b.alias("before"),
                         F.coalesce(F.get(words, i), F.lit("")).alias("after"),
                     ),
                 ),
             )
+
+        # A first look at each word alone leaves most of them.
+        may = F.filter(
+            F.sequence(F.lit(1), F.size(words)),
+            lambda i: F.regexp_like(F.element_at(words, i), F.lit(f"{CANDIDATE}|{ADDRESS}|{_SET}"))
+            | F.regexp_like(F.coalesce(F.get(words, i - 2), F.lit("")), F.lit("[=:]>?$|(?i)bearer$")),
         )
+        return F.flatten(F.transform(may, of))
 
-    return F.when(F.regexp_like(text, F.lit(CANDIDATE)), let(F.split(text, r"\s+"), found))
+    return F.when(F.regexp_like(text, F.lit(GATE)), let(F.split(text, r"\s+"), found))
 
 
 def scan(
@@ -164,7 +198,7 @@ def redact(
     Texts without a candidate pass straight through; the others, few of them,
     meet their findings by key. A recorded length is set anew where the text has changed.
     """
-    may = F.coalesce(F.regexp_like(F.col(text_col), F.lit(CANDIDATE)), F.lit(False))
+    may = F.coalesce(F.regexp_like(F.col(text_col), F.lit(GATE)), F.lit(False))
     secrets = (
         scan(docs.where(may), model, id_col=id_col, text_col=text_col, path_col=path_col)
         .where("is_secret")
@@ -195,14 +229,8 @@ def redact(
     return docs.where(~may).unionByName(joined)
 
 
-def made_findings(docs: DataFrame, *, max_rows: int = 500, seed: int = 42) -> DataFrame:
-    """Labelled findings for training, made from at most about ``max_rows`` documents.
-
-    Each chosen document lends two of its own words as neighbours and its source as path to one finding
-    of every kind below, and one empty document always does; values come from digests of its id. Kinds with label 1 are keys as programs
-    issue them after a word that asks for one; kinds with label 0 are what a pattern takes for keys: digests,
-    identifiers, numbers, placeholders, long words.
-    """
+def _chosen(docs: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """(w1, w2, path, h): words and source of about ``max_rows`` documents and of one empty one."""
     share = max_rows / max(docs.count(), 1)
     chosen = docs
     if share < 1:
@@ -210,62 +238,147 @@ def made_findings(docs: DataFrame, *, max_rows: int = 500, seed: int = 42) -> Da
         chosen = docs.where(draw < F.lit(int((2 * share - 1) * 2.0**62) * 2))
     tokens = F.split(F.coalesce("text", F.lit("")), r"\s+")
     blank = docs.sparkSession.range(1).select(
-        F.lit(None).cast("long").alias("doc_id"),
+        F.lit(None).cast("string").alias("doc_id"),
         F.lit("").alias("text"),
         F.lit("").alias("source"),
     )
-    chosen = chosen.select(F.col("doc_id").cast("long"), "text", "source").union(blank)
-    base = chosen.select(
+    chosen = chosen.select(F.col("doc_id").cast("string"), "text", "source").union(blank)
+    drawn = chosen.select(
         F.get(tokens, F.lit(0)).alias("w1"),
         F.coalesce(F.get(tokens, F.lit(1)), F.lit("")).alias("w2"),
         F.coalesce("source", F.lit("")).alias("path"),
         F.sha2(F.concat_ws("#", F.lit(str(seed)), "doc_id"), 256).alias("h"),
     )
+    more = [F.sha2(F.concat("h", F.lit(f"/{i}")), 512) for i in range(POOL)]
+    bare = F.regexp_replace(F.translate(F.col("w1"), "0123456789", ""), r"[^\w]", "")
+    # Written once: the kinds below only cut pieces out of these columns.
+    return cut_lineage(
+        drawn.select(
+            "*",
+            F.translate(F.concat(*(F.base64(F.unhex(m)) for m in more)), "+/=\r\n", "xyz").alias("pool"),
+            F.substring(F.translate("h", "abcdef", ""), 1, 16).alias("digits"),
+            bare.alias("letters"),
+        )
+    )
+
+
+POOL = 8  # digests whose letters and digits a document lends
+
+
+# Words that ask for a secret as programs write them, and what may stand around a value.
+ASKING = (
+    "token =", "TOKEN =", "api_key:", "api-key =", "secret =", "client_secret:", "access_key =", "auth_token =",
+    "password =", "Password:", "credentials:", "private_key =",
+)
+QUOTES = ("", "", '"', "'", "`")
+TAILS = ("", "", "", ",", ";", ")", ".", "]", "\\n", "!!", "...")
+# What stands where a secret would, but is none.
+STANDINS = (
+    "changeme", "<password>", "<your-token>", "${TOKEN}", "$API_KEY", "********", "xxxxxxxx", "undefined", "string",
+    "required", "optional", "process.env.TOKEN", "os.environ['TOKEN']", "getToken()", "self.password", "redacted",
+    "[REDACTED]", "None,None", "example-password", "your_token_here", "insert-key-here", "placeholder",
+)
+
+
+def made_findings(
+    docs: DataFrame,
+    *,
+    max_rows: int = 500,
+    seed: int = 42,
+    without: tuple[str, ...] = (),
+) -> DataFrame:
+    """Labelled findings for training, made from at most about ``max_rows`` documents.
+
+    Each chosen document lends two of its own words as neighbours and its source as path to one finding of every
+    kind below but those in ``without``, and one empty document always does; values come from digests of
+    its id, and quotes, closing marks and asking words are drawn for each finding. Kinds with label 1 are keys as
+    programs issue them, by shape or after a word that asks, and passwords; kinds with label 0 are what a
+    pattern takes for them: digests, identifiers, numbers, placeholders, prose, long words.
+    """
+    base = _chosen(docs, max_rows, seed)
     h = F.col("h")
-    key = F.regexp_replace(F.base64(F.unhex(h)), "[^A-Za-z0-9]", "x")
-    forty, up = F.substring(h, 1, 40), F.upper(F.substring(h, 1, 40))
-    digits = F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 16)
-    letters = F.regexp_replace(F.translate(F.col("w1"), "0123456789", ""), r"[^\w]", "")
-    long_word = F.concat(F.repeat(letters, 5), F.substring(digits, 1, 1))
+
+    def pick(options, salt: int) -> Column:
+        at = F.pmod(F.xxhash64(F.lit(salt), h), F.lit(len(options))) + 1
+        return F.element_at(F.array(*(F.lit(o) for o in options)), at.cast("int"))
+
+    def key(salt: int, n: int) -> Column:
+        """Letters of both cases and digits, from a place of the pool."""
+        return F.substring("pool", 1 + 37 * salt % (86 * POOL - 80), n)
+
+    letters, digits = F.col("letters"), F.col("digits")
+    word = F.rpad(F.lower(letters), 6, "somewhat")
+    few = F.substring(digits, 1, 2)
     dash = F.concat_ws(
         "-", *(F.substring(h, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     )
+    mark = pick("!@#$%&*?-_", 1)
+    short = F.concat(F.initcap(F.substring(word, 1, 5)), mark, few, key(2, 2))
+    spelled = F.translate(F.substring(F.concat(word, word), 1, 9), "aeiost", "4310$7")
+    mixed = F.concat(key(3, 4), mark, key(4, 4), pick("!@#$%&*?", 5))
+    plain = F.translate(key(6, 28), "0123456789", "qWxZjKvPbG")
+    wide = key(7, 64)
 
-    placeholder = F.concat(F.lit("your_token_goes_here_"), F.substring(digits, 1, 2))
+    def asked(label: int, name: str, value: Column) -> Column:
+        """After a word that asks, with drawn quotes and closing marks."""
+        quote = pick(QUOTES, len(name) + 11)
+        return kind(label, name, value, pick(ASKING, len(name) + 12), quote, F.concat(quote, pick(TAILS, len(name) + 13)))
 
-    def kind(label: int, value: Column, before: str, left: str = "", right: str = "") -> Column:
+    def kind(label: int, name: str, value: Column, before, left="", right="") -> Column:
+        as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+        near = F.concat_ws(" ", "w1", F.when(as_column(before) != "", as_column(before)).otherwise(F.col("w2")))
         return F.struct(
+            F.lit(name).alias("kind"),
             value.alias("value"),
-            F.concat(F.lit(left), value, F.lit(right)).alias("word"),
-            F.concat_ws(" ", "w1", F.lit(before) if before else "w2").alias("before"),
+            F.concat(as_column(left), value, as_column(right)).alias("word"),
+            near.alias("before"),
             F.col("w2").alias("after"),
             F.col("path"),
             F.lit(float(label)).alias("label"),
         )
 
-    kinds = (
-        kind(1, forty, "token =", '"', '"'),
-        kind(1, forty, "token =", '"', '"###'),
-        kind(1, up, "TOKEN =", '"', '"!!'),
-        kind(1, F.substring(h, 5, 32), "secret:", "'", "'"),
-        kind(1, F.substring(key, 1, 40), "api_key =", '"', '"'),
-        kind(1, F.substring(key, 3, 24), "password:"),
-        kind(1, F.substring(key, 2, 36), "Authorization: Bearer"),
-        kind(1, F.substring(key, 1, 32), "", "access_key='", "'"),
-        kind(0, forty, "commit"),
-        kind(0, h, "sha256:"),
-        kind(0, F.md5(h), "checksum =", '"', '"'),
-        kind(0, dash, "uuid ="),
-        kind(0, digits, ""),
-        kind(0, digits, "", "", "!!"),
-        kind(0, digits, "", "", "$$$"),
-        kind(0, digits, "token"),
-        kind(0, placeholder, "token =", '"', '"'),
-        kind(0, F.concat(F.lit("xxxxxxxxxxxxxxxxxxxx"), F.substring(digits, 1, 4)), "secret ="),
-        kind(0, F.concat(F.lit("example-password-"), F.substring(digits, 1, 4)), "password:"),
-        kind(0, long_word, ""),
-        kind(0, F.concat(F.lit("assets/build/release-"), F.substring(digits, 1, 6)), "path"),
-    )
-    return base.select(F.explode(F.array(*kinds)).alias("f")).select("f.*").where(
-        F.length("value") >= 16
-    )
+    tail = pick(TAILS, 14)
+    kinds = {
+        "hex": asked(1, "hex", F.substring(h, 1, 40)),
+        "upper hex": asked(1, "upper hex", F.upper(F.substring(h, 1, 40))),
+        "half hex": asked(1, "half hex", F.substring(h, 5, 32)),
+        "long key": asked(1, "long key", key(9, 40)),
+        "middle key": asked(1, "middle key", key(10, 24)),
+        "letters": asked(1, "letters", plain),
+        "bearer": kind(1, "bearer", key(11, 36), "Authorization: Bearer"),
+        "in a word": kind(1, "in a word", key(12, 32), "", F.concat(pick(("access_key='", "token=\"", "api_key:'"), 15)), "'"),
+        "cloud": asked(1, "cloud", F.concat(F.lit("AKIA"), F.upper(key(13, 16)))),
+        "bare cloud": kind(1, "bare cloud", F.concat(F.lit("AKIA"), F.upper(key(14, 16))), "", "", tail),
+        "forge": asked(1, "forge", F.concat(F.lit("ghp_"), key(15, 36))),
+        "chat": asked(1, "chat", F.concat(F.lit("xoxb-"), F.substring(digits, 1, 11), F.lit("-"), key(16, 24))),
+        "payment": asked(1, "payment", F.concat(F.lit("sk_live_"), key(17, 24))),
+        "maps": asked(1, "maps", F.concat(F.lit("AIza"), key(18, 35))),
+        "block": kind(1, "block", wide, "BEGIN PRIVATE KEY-----"),
+        "short password": asked(1, "short password", short),
+        "spelled password": asked(1, "spelled password", spelled),
+        "mixed password": asked(1, "mixed password", mixed),
+        "address": kind(1, "address", mixed, "", F.lit("postgres://app:"), F.lit("@db.host/main")),
+        "commit": kind(0, "commit", F.substring(h, 1, 40), "commit"),
+        "digest": kind(0, "digest", h, "sha256:"),
+        "checksum": kind(0, "checksum", F.md5(h), "checksum =", pick(QUOTES, 16)),
+        "uuid": kind(0, "uuid", dash, pick(("uuid =", "id:", "request", "guid ="), 17)),
+        "number": kind(0, "number", digits, "", pick(QUOTES, 18), tail),
+        "named number": kind(0, "named number", digits, pick(("token", "order", "card", "call", "account"), 19), "", tail),
+        "stand-in": asked(0, "stand-in", pick(STANDINS, 20)),
+        "numbered stand-in": asked(0, "numbered stand-in", F.concat(F.lit("your_token_goes_here_"), few)),
+        "crossed out": asked(0, "crossed out", F.concat(F.lit("xxxxxxxxxxxxxxxxxxxx"), few)),
+        "example": asked(0, "example", F.concat(F.lit("example-password-"), few)),
+        "prose": kind(0, "prose", word, pick(("password:", "the token:", "auth:", "private:", "signature:"), 21), "", tail),
+        "capital prose": kind(0, "capital prose", F.initcap(word), pick(("Password:", "Credentials:", "Private:"), 22)),
+        "call": kind(0, "call", F.concat(F.lit("get"), F.initcap(word), F.lit("()")), pick(ASKING, 23), "", pick((";", ",", ""), 24)),
+        "long word": kind(0, "long word", F.concat(F.repeat(letters, 5), F.substring(digits, 1, 1)), ""),
+        "path": kind(0, "path", F.concat(F.lit("assets/build/release-"), F.substring(digits, 1, 6)), "path"),
+        "page": kind(0, "page", F.concat_ws("/", F.lit("docs"), word, F.lit("page"), digits), "see"),
+    }
+    wanted = [k for name, k in kinds.items() if name not in without]
+    # A few at a time: one array of all kinds is more code than a generated method holds.
+    parts = [
+        base.select(F.explode(F.array(*wanted[i : i + 9])).alias("f")).select("f.*")
+        for i in range(0, len(wanted), 9)
+    ]
+    return reduce(DataFrame.unionByName, parts).where(F.length("value") >= 6)
