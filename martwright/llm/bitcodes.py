@@ -4,8 +4,8 @@ Every unit vector is rotated by one random orthogonal matrix per dimension count
 coordinates, packed into bytes, beside a correction scalar: the inner product of the
 vector with its own code. A query's inner product with a code, divided by that scalar, estimates its
 cosine without bias, and the error is at most ``width * sqrt((1 - c^2) / c^2 / (d - 1))`` but
-for a chance that falls with the square of ``width``. Vectors whose upper bound reaches
-the k-th best lower bound are ranked again by the exact cosine in double precision.
+for a chance that falls with the square of ``width``. The vectors of the best estimates are ranked by their exact
+cosines, and so are all others whose upper bound reaches the k-th best of these, in double precision.
 
 The index covers every vector; nothing is fitted. Vectors are hashed into blocks of about ``block_rows`` and
 queries into blocks of ``query_rows``; each pair of blocks is one task-sized group, whose
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from martwright.llm.common import ship
 
 ship(__name__)
+PROBES = 4  # exact cosines looked at first, in multiples of k
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -82,12 +83,18 @@ def _search(k: int, width: float, seed: int):
         for own, query in zip(queries.column("id").to_numpy(), asked, strict=True):
             norm = np.sqrt((query * query).sum())
             low, high = bounds(codes, scalar, dim, byte_sums(query / norm, turn), width)
-            other = ids != own
-            low = low[other]
-            if not len(low):
+            other = np.flatnonzero(ids != own)
+            if not len(other):
                 continue
-            least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-            near = np.flatnonzero(other & (high >= least))
+            if len(other) > k:
+                # The k-th best of some exact cosines bounds the k-th best of all from below.
+                probe = other[np.argpartition(low[other] + high[other], -min(PROBES * k, len(other)))]
+                probe = probe[-min(PROBES * k, len(other)) :]
+                known = (base[probe] @ query) / (norms[probe] * norm)
+                least = np.partition(known, -k)[-k] - 1e-9
+                near = other[high[other] >= least]
+            else:
+                near = other
             score = (base[near] * query).sum(axis=1) / (norms[near] * norm)
             best = np.lexsort((ids[near], -score))[:k]
             out.append((np.full(len(best), own), ids[near][best], score[best]))
