@@ -12,6 +12,7 @@ from martwright.plans import (  # noqa: F401
     reconcile,
     revenue,
     semantic,
+    sketches,
     streams,
     sweep,
     tests,
