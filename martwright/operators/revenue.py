@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
+from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ DEFINITIONS = (ENGINEERING, ANALYTICS, FINANCE, ALIGNED)
 
 # The choices in the order in which a difference is attributed to them.
 CHOICES = ("status", "period", "currency", "settlement")
+# The choices between which a difference is split evenly; refunds change the amount, not the orders.
+SWITCHES = (*CHOICES, "refunds")
 
 
 def _span(definition: Definition, month: date, as_of: date) -> tuple[date | None, date | None]:
@@ -217,6 +220,115 @@ def definition_gap(
     )
 
 
+def definition_hybrids(
+    orders: DataFrame,
+    refunds: DataFrame,
+    month: date,
+    as_of: date,
+    definitions: tuple[Definition, ...] = (ENGINEERING, ANALYTICS, FINANCE),
+    reference: Definition = ALIGNED,
+    switches: tuple[str, ...] = SWITCHES,
+) -> DataFrame:
+    """Value of the reference with any of its choices replaced by those of a definition.
+
+    (definition, taken, value): bit i of ``taken`` says that choice i of ``switches`` is the
+    definition's. 0 is the reference itself and the greatest number the definition, both without
+    rounding; no order that qualifies gives 0. Orders are summed per combination of met conditions first,
+    at most 256 per definition, so that the combinations of choices are made of these few sums.
+    """
+    if sorted(switches) != sorted(SWITCHES):
+        raise ValueError(f"switches are an order of {', '.join(SWITCHES)}")
+    scope = _in_scope(orders, (*definitions, reference), month, as_of)
+    base = _conditions(scope, reference, month, as_of)
+    entries, reachable = [], []
+    for d in definitions:
+        own = _conditions(scope, d, month, as_of)
+        reachable.append(_all_met({c: own[c] | base[c] for c in CHOICES}))
+        entries.append(
+            F.when(
+                reachable[-1],
+                F.struct(
+                    F.lit(d.name).alias("definition"),
+                    *[own[c].alias(f"own_{c}") for c in CHOICES],
+                    *[base[c].alias(f"base_{c}") for c in CHOICES],
+                    F.coalesce(_gross(d), F.lit(0)).alias("own_gross"),
+                    F.coalesce(_gross(reference), F.lit(0)).alias("base_gross"),
+                    F.coalesce("refund", F.lit(0)).alias("refund"),
+                ),
+            )
+        )
+    flags = [f"{side}_{c}" for c in CHOICES for side in ("own", "base")]
+    sums = (
+        scope.filter(_any_met(reachable))
+        .join(_refund_per_order(refunds), "order_id", "left")
+        .select(F.inline(F.array_compact(F.array(*entries))))
+        .groupBy("definition", *flags)
+        .agg(*[F.sum(c).alias(c) for c in ("own_gross", "base_gross", "refund")])
+    )
+
+    def own(switch: str) -> Column:
+        return F.col("taken").bitwiseAND(1 << switches.index(switch)) != 0
+
+    counted = reduce(
+        lambda a, b: a & b,
+        [F.when(own(c), F.col(f"own_{c}")).otherwise(F.col(f"base_{c}")) for c in CHOICES],
+    )
+    net = F.lit(False)
+    for d in definitions:
+        theirs = F.when(own("refunds"), F.lit(d.net)).otherwise(F.lit(reference.net))
+        net = F.when(F.col("definition") == d.name, theirs).otherwise(net)
+    gross = F.when(own("currency"), F.col("own_gross")).otherwise(F.col("base_gross"))
+    value = F.when(counted, gross - F.when(net, F.col("refund")).otherwise(F.lit(0)))
+    return (
+        sums.withColumn("taken", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(switches) - 1))))
+        .groupBy("definition", "taken")
+        .agg(F.coalesce(F.sum(value), F.lit(0)).alias("value"))
+    )
+
+
+def definition_shares(
+    orders: DataFrame,
+    refunds: DataFrame,
+    month: date,
+    as_of: date,
+    definitions: tuple[Definition, ...] = (ENGINEERING, ANALYTICS, FINANCE),
+    reference: Definition = ALIGNED,
+    switches: tuple[str, ...] = SWITCHES,
+) -> DataFrame:
+    """The part of each choice in the difference of a definition to the reference.
+
+    (definition, choice, delta): what taking over the choice changes, on average over all orders in which
+    the choices can be taken over. The parts of a definition add up to its difference, and the
+    order of ``switches`` does not matter. Weights are whole numbers over n!, so the sums are exact.
+    """
+    hybrids = definition_hybrids(orders, refunds, month, as_of, definitions, reference, switches)
+    n = len(switches)
+    taken = F.bit_count("taken")
+    # Of the n! orders, those in which exactly the other choices of ``taken`` come before this one.
+    with_it = F.lit(None).cast("int")
+    without = F.lit(None).cast("int")
+    for size in range(n + 1):
+        if size:
+            with_it = F.when(taken == size, factorial(size - 1) * factorial(n - size)).otherwise(with_it)
+        if size < n:
+            without = F.when(taken == size, factorial(size) * factorial(n - size - 1)).otherwise(without)
+    parts = [
+        F.sum(
+            F.when(F.col("taken").bitwiseAND(1 << i) != 0, with_it).otherwise(-without)
+            * F.col("value")
+        ).alias(switch)
+        for i, switch in enumerate(switches)
+    ]
+    entries = [
+        F.struct(
+            F.lit(switch).alias("choice"),
+            (F.col(switch).cast("double") / F.lit(float(factorial(n)))).alias("delta"),
+        )
+        for switch in switches
+    ]
+    return hybrids.groupBy("definition").agg(*parts).select("definition", F.inline(F.array(*entries)))
+
+
 def membership(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer comparison of two row sets: each key with where it occurs."""
     one = left.select(*keys).distinct().withColumn("_l", F.lit(True))

@@ -14,6 +14,8 @@ from martwright.session import read_table, scratch_dir
 from martwright.sources import inventory
 from martwright.sources.files import stamp_loaded
 from martwright.sources.load import last_days, load, run_ingest, stored_rows
+from martwright.sources.once import append_once, loaded_rows
+from martwright.sources.rejects import load_with_rejects, rejected_lines
 
 FIRST = datetime(2024, 1, 31, 0, 0, 0)
 SECOND = datetime(2024, 1, 31, 12, 0, 0)
@@ -38,16 +40,18 @@ def _spec(path: str, mode: str, **source) -> dict:
 
 def _events_csv(spark: SparkSession, root: str, folder: str) -> str:
     path = f"{folder}/events"
-    (
-        views.events(spark, root)
-        .withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-        .write.option("header", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    _write_csv(views.events(spark, root), path)
     return path
 
 
+def _as_text(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def _write_csv(events: DataFrame, path: str) -> None:
+    _as_text(events).write.option("header", True).option("escape", '"').csv(path)
+
+
 @query("SELECT *, TIMESTAMP '2024-01-31 12:00:00' AS _loaded_at FROM events")
 def ingest_replace(spark: SparkSession, root: str) -> DataFrame:
     """Loading twice leaves the rows of the second load only."""
@@ -71,6 +75,54 @@ def ingest_append(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/raw_events")
 
 
+@query("""
+SELECT *, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-31 00:00:00'
+               ELSE TIMESTAMP '2024-01-31 12:00:00' END AS _loaded_at FROM events
+""")
+def ingest_once(spark: SparkSession, root: str) -> DataFrame:
+    """Three runs over a source that gets new files before the last one: every file counts once."""
+    folder = scratch_dir(spark, "ingest_once")
+    spec = _spec(f"{folder}/events/*", "append")
+    for part, runs in ((0, (FIRST, SECOND)), (1, (SECOND,))):
+        rows = views.events(spark, root).filter(F.col("event_id") % 2 == part)
+        _write_csv(rows, f"{folder}/events/part{part}")
+        for at in runs:
+            append_once(spark, spec, folder, at)
+    return loaded_rows(spark, f"{folder}/raw_events")
+
+
+@query("""
+SELECT event_id, event_id % 50 NOT IN (7, 13, 21) AS loaded,
+       CASE event_id % 50 WHEN 7 THEN 'value: ''n/a'' is not double' WHEN 13 THEN 'number of fields'
+            WHEN 21 THEN 'number of fields' END AS reason
+FROM events
+""")
+def ingest_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """Event lines of which some hold a word for a number, too few or too many fields."""
+    folder = scratch_dir(spark, "ingest_rejects")
+    kind = F.col("event_id") % 50
+    rows = _as_text(views.events(spark, root)).withColumn(
+        "value", F.when(kind == 7, "n/a").otherwise(F.col("value").cast("string"))
+    )
+    whole = F.to_csv(F.struct(*rows.columns), {"escape": '"'})
+    line = F.when(kind == 13, F.concat_ws(",", "event_id", "ts")).when(
+        kind == 21, F.concat(whole, F.lit(",more"))
+    )
+    # One column whose name is the header and whose values are whole lines, written as they are.
+    rows.select(line.otherwise(whole).alias(",".join(rows.columns))).write.option(
+        "header", True
+    ).option("quote", "").option("sep", "\u0001").option("escape", "\u0002").csv(f"{folder}/events")
+    load_with_rejects(spark, _spec(f"{folder}/events", "append"), folder, FIRST, max_rate=0.2)
+    path = f"{folder}/raw_events"
+    loaded = spark.read.parquet(path).select(
+        "event_id", F.lit(True).alias("loaded"), F.lit(None).cast("string").alias("reason")
+    )
+    rejected = rejected_lines(spark, path).select(
+        F.split("line", ",", 2)[0].cast("bigint").alias("event_id"), F.lit(False).alias("loaded"), "reason"
+    )
+    return loaded.unionByName(rejected)
+
+
 _TIES = [
     "l_shipdate",
     "l_partkey",

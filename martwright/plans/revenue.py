@@ -138,6 +138,62 @@ def definition_gap(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _switched(own: dict[str, str]) -> str:
+    """Value of an order under the choices that ``taken`` takes over from a definition."""
+    base = {
+        "status": "status = 'completed'", "period": _MONTH, "currency": "amount IS NOT NULL",
+        "settlement": "TRUE", "gross": "amount", "refunds": "refund",
+    }
+    met = " AND ".join(
+        f"COALESCE(CASE WHEN taken & {1 << i} <> 0 THEN {own.get(c, base[c])} ELSE {base[c]} END, FALSE)"
+        for i, c in enumerate(("status", "period", "currency", "settlement"))
+    )
+    gross = f"CASE WHEN taken & 4 <> 0 THEN {own.get('gross', 'amount')} ELSE amount END"
+    refund = f"CASE WHEN taken & 16 <> 0 THEN {own.get('refunds', 'refund')} ELSE refund END"
+    return f"CASE WHEN {met} THEN COALESCE({gross}, 0) - {refund} ELSE 0 END"
+
+
+_OWN = {
+    "engineering": {
+        "status": "status <> 'cancelled'", "currency": "TRUE",
+        "gross": "COALESCE(amount, amount_local)", "refunds": "0",
+    },
+    "analytics": {
+        "period": _ROLLING, "currency": "TRUE", "gross": "COALESCE(amount, amount_local)",
+    },
+    "finance": {"settlement": "invoiced_at IS NOT NULL AND paid_at IS NOT NULL"},
+}
+
+
+@query(
+    f"""
+WITH {views.ALIGNMENT_SQL},
+r AS (SELECT order_id, SUM(refund_amount) AS refund FROM refunds_v GROUP BY 1),
+o AS (SELECT o.*, COALESCE(refund, 0) AS refund FROM orders_v o LEFT JOIN r USING (order_id)),
+s AS (SELECT unnest(range(32)) AS taken),
+v AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS definition, taken, SUM({_switched(own)}) AS v FROM o, s GROUP BY taken"
+        for n, own in _OWN.items()
+    )
+    + """),
+c(bit, choice) AS (VALUES (0, 'status'), (1, 'period'), (2, 'currency'), (3, 'settlement'), (4, 'refunds'))
+SELECT definition, choice,
+       CAST(SUM(v * CASE WHEN (taken >> bit) & 1 = 1
+                         THEN [24, 6, 4, 6, 24][bit_count(taken)]
+                         ELSE -[24, 6, 4, 6, 24][bit_count(taken) + 1] END) AS DOUBLE) / 120 AS delta
+FROM v, c GROUP BY 1, 2"""
+)
+def definition_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The difference to the aligned definition, split evenly over all orders of the choices."""
+    return revenue.definition_shares(
+        views.alignment_orders(spark, root),
+        views.refunds(spark, root),
+        views.MONTH,
+        views.ORDERS_AS_OF,
+    )
+
+
 @query(f"""
 WITH {views.ALIGNMENT_SQL},
 e AS (SELECT order_id FROM orders_v WHERE {_WHERE['engineering']}),

@@ -49,12 +49,12 @@ def declared_schema(columns: list[dict[str, str]] | None) -> T.StructType | None
 
 def scan_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | None = None,
     glob: str | None = None,
     multiline: bool = False,
 ) -> DataFrame:
-    """Header CSV from a file, a folder or a folder with a file pattern.
+    """Header CSV from a file, a list of files, a folder or a folder with a file pattern.
 
     Files stay splittable unless ``multiline`` is asked for.
     """

@@ -25,8 +25,8 @@ from martwright.session import cut_lineage
 from martwright.sources.files import scan_source, stamp_loaded, target_table
 
 MODES = ("append", "replace", "merge")
-# Suffixes of a table that is being written and of the one it replaces.
-_NEXT, _ASIDE = "__next", "__aside"
+# Suffixes of a table that is being written and of the one it replaces, and of a table's ledger of files.
+_NEXT, _ASIDE, FILES = "__next", "__aside", "__files"
 # Folder column of a bucketed table, and the sign of a change.
 BUCKET, SIGN = "_bucket", "_sign"
 
@@ -367,7 +367,7 @@ def transform_sql(spark: SparkSession, text: str, root: str) -> DataFrame:
     fs, at = _file_system(spark, root)
     for status in fs.listStatus(at(root)):
         name = status.getPath().getName()
-        if status.isDirectory() and name.isidentifier() and not name.endswith((_NEXT, _ASIDE)):
+        if status.isDirectory() and name.isidentifier() and not name.endswith((_NEXT, _ASIDE, FILES)):
             stored = existing(session, f"{root}/{name}")
             if stored is not None:
                 stored.createOrReplaceTempView(name)
