@@ -205,8 +205,9 @@ SELECT c.table_name, COALESCE(CAST(n AS VARCHAR), '?') AS row_count,
 FROM c LEFT JOIN e ON e.table_name = c.table_name
 """)
 def table_inventory(spark: SparkSession, root: str) -> DataFrame:
-    tables = {t: read_table(spark, root, t) for t in TABLES}
-    return inventory.table_inventory(spark, {**tables, "mart_missing": None}, ENTITIES)
+    session = inventory.counting_session(spark)
+    tables = {t: read_table(session, root, t) for t in TABLES}
+    return inventory.table_inventory(session, {**tables, "mart_missing": None}, ENTITIES)
 
 
 @query("""
@@ -220,6 +221,7 @@ def ingest_health(spark: SparkSession, root: str) -> DataFrame:
         "web_events": {"target": {"table": "events"}},
         "refunds": {},
     }
+    session = inventory.counting_session(spark)
     return inventory.ingest_health(
-        spark, specs, {t: read_table(spark, root, t) for t in ("orders", "events")}
+        session, specs, {t: read_table(session, root, t) for t in ("orders", "events")}
     )

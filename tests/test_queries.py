@@ -67,6 +67,12 @@ def test_four_definitions_share_their_scans(spark):
     assert len(scanned(REGISTRY["definition_gap"].build(spark, ROOT))) == 2
 
 
+@pytest.mark.parametrize("name, tables", [("table_inventory", 14), ("ingest_health", 2)])
+def test_row_counts_come_from_footers(spark, name, tables):
+    plan = REGISTRY[name].build(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") == tables
+
+
 def final_plan(frame):
     frame.collect()
     return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
