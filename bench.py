@@ -14,7 +14,7 @@ import sys
 import time
 
 from martwright.plans import REGISTRY
-from martwright.session import build_session
+from martwright.session import build_session, temporary_tables
 
 
 def main() -> None:
@@ -34,9 +34,10 @@ def main() -> None:
     taken: dict[str, list[float]] = {name: [] for name in names}
     for _ in range(runs + 1):
         for name in names:
-            start = time.perf_counter()
-            REGISTRY[name].build(spark, root).write.format("noop").mode("overwrite").save()
-            taken[name].append(time.perf_counter() - start)
+            with temporary_tables(spark):
+                start = time.perf_counter()
+                REGISTRY[name].build(spark, root).write.format("noop").mode("overwrite").save()
+                taken[name].append(time.perf_counter() - start)
     timings = {name: round(statistics.median(t[1:]), 4) for name, t in taken.items()}
     print(
         json.dumps(

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,8 +87,40 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(tempfile.mkdtemp(prefix="martwright-"), purpose)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds ``path`` and a function that names places in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+# Paths of the tables that cut_lineage wrote in the innermost scope of this thread; None outside.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that ``cut_lineage`` writes inside, also those of failed writes.
+
+    Without a scope these tables stay until the shared folder is cleaned. Write or collect every
+    result inside: a frame made of such a table cannot be read afterwards. Scopes nest, and each removes
+    what was written directly in it. Other threads' tables, and folders of other purposes, are left alone.
+    """
+    written: list[str] = []
+    outer = _WRITTEN.set(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(outer)
+        for path in written:
+            fs, at = file_system(spark, path)
+            fs.delete(at(path), True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: computed once, safe when executors are lost."""
     path = scratch_dir(df.sparkSession, "cut")
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ from pyspark.sql.utils import AnalysisException
 
 from martwright.functions.values import within
 from martwright.session import cut_lineage
+from martwright.session import file_system as _file_system
 from martwright.sources.files import scan_source, stamp_loaded, target_table
 
 MODES = ("append", "replace", "merge")
@@ -301,12 +302,6 @@ def _swap_in(df: DataFrame, path: str, parts: list[str]) -> None:
     spark.catalog.refreshByPath(path)
 
 
-def _file_system(spark: SparkSession, path: str):
-    """The file system that holds ``path`` and a function that names places in it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def _overwrite(df: DataFrame, path: str, parts: list[str], scope: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", scope).partitionBy(*parts).parquet(
         path
