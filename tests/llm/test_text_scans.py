@@ -285,6 +285,7 @@ def test_secrets_found_and_redacted(spark, forest):
     assert [r[:2] for r in changed] == [(13, 'see token = "[SECRET]" here')]
     assert sum(new.values()) == sum(old.values())
     assert secretscan.redact(cases.none(spark), forest).count() == 0
+    assert secretscan.scan(cases.none(spark), forest).count() == 0
 
 
 def test_candidates(spark):
