@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 MAX_HOPS = 3
 
 
-def upsert_edges(*seen: DataFrame) -> DataFrame:
-    """One row per (upstream, downstream, edge_type): first discovered, last seen."""
-    edges = reduce(DataFrame.unionByName, seen)
-    return edges.groupBy("upstream", "downstream", "edge_type").agg(
+def dealt(rows: DataFrame, tasks: int | None, *columns: str) -> DataFrame:
+    """``rows`` dealt by ``columns`` over that many tasks, which adaptive execution does not merge again."""
+    return rows if tasks is None else rows.repartition(tasks, *columns)
+
+
+def upsert_edges(*seen: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per (upstream, downstream, edge_type): first discovered, last seen.
+
+    With ``tasks`` the edges are dealt out before they are grouped, so that a task groups as many as it gets.
+    """
+    key = ["upstream", "downstream", "edge_type"]
+    edges = dealt(reduce(DataFrame.unionByName, seen), tasks, *key)
+    return edges.groupBy(*key).agg(
         F.min("discovered_at").alias("discovered_at"),
         F.max("last_seen_at").alias("last_seen_at"),
     )

@@ -29,18 +29,34 @@ edges AS (
 """
 
 
+# Rows that one task should group or sort: about 200 MB as edges.
+ROWS_PER_TASK = 500_000
+
+
+def edge_tasks(spark: SparkSession, root: str, rows_per_task: int = ROWS_PER_TASK) -> int | None:
+    """How many tasks the edges are dealt over: more with more rows; the bare count reads no columns.
+
+    None where the tasks that run at once hold them all: adaptive execution may choose then.
+    """
+    tables = (read_table(spark, root, t).select() for t in ("lineitem", "part", "supplier"))
+    rows = reduce(DataFrame.union, tables).count()
+    tasks = -(-rows // rows_per_task)
+    return tasks if tasks > spark.sparkContext.defaultParallelism else None
+
+
 def _urn(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def edges(spark: SparkSession, root: str) -> DataFrame:
+def edges(spark: SparkSession, root: str, tasks: int | None) -> DataFrame:
     """Supplier to part to brand, and nation and region above the supplier.
 
-    Line items are reduced on their integer keys; names are built from the few edges left.
+    Line items are reduced on their integer keys; names are built from the edges left. As these may be
+    almost as many, both steps are dealt over ``tasks`` tasks: what a task holds does not grow with the table.
     """
     stamp = F.expr("TIMESTAMP_NTZ'2001-08-01 00:00:00'")
     lines = (
-        read_table(spark, root, "lineitem")
+        lineage.dealt(read_table(spark, root, "lineitem"), tasks, "l_suppkey", "l_partkey")
         .groupBy("l_suppkey", "l_partkey")
         .agg(F.min("l_shipdate").alias("discovered_at"), F.max("l_shipdate").alias("last_seen_at"))
     )
@@ -82,12 +98,13 @@ def edges(spark: SparkSession, root: str) -> DataFrame:
             _urn("source://nation/", "n_nationkey"),
             "references",
         ),
+        tasks=tasks,
     )
 
 
 @query(f"WITH {_EDGES_SQL} SELECT * FROM edges")
 def lineage_edges(spark: SparkSession, root: str) -> DataFrame:
-    return edges(spark, root)
+    return edges(spark, root, edge_tasks(spark, root))
 
 
 def _metrics(spark: SparkSession, root: str) -> DataFrame:
@@ -122,6 +139,7 @@ FROM all_nodes
 def lineage_upstream(spark: SparkSession, root: str) -> DataFrame:
     metrics = _metrics(spark, root)
     # Read by every hop: made once, as an edge table is kept.
-    links = cut_lineage(edges(spark, root))
+    tasks = edge_tasks(spark, root)
+    links = cut_lineage(edges(spark, root, tasks))
     whole = lineage.with_stub(metrics, links, lineage.upstream(metrics, links))
     return whole.withColumn("kind", lineage.node_kind(F.split_part("node", F.lit("://"), F.lit(1))))

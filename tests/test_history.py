@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martwright.operators import history, lineage, reconcile, semantic
+from martwright.plans.lineage import edge_tasks, edges
 from martwright.streaming.streams import run_row, stream_append, stream_daily_checks
 
 DAY = datetime(2024, 1, 1)
@@ -256,6 +257,34 @@ def test_upstream_is_bounded_and_takes_the_shortest_way(spark):
     assert ("bare", "tab") in whole and ("m", "tab") not in whole
 
 
+def test_dealt_edges_are_the_same_in_as_many_tasks(spark):
+    seen = [edge_rows(spark, *((f"s{i % 7}", f"t{i % 5}") for i in range(60))), edge_rows(spark, ("t1", "m"), ("t2", "m"))]
+    dealt = lineage.upsert_edges(*seen, tasks=11)
+    assert dealt.rdd.getNumPartitions() == 11
+    assert sorted(dealt.collect()) == sorted(lineage.upsert_edges(*seen).collect())
+
+
+def test_tables_beyond_what_the_tasks_hold_are_dealt_over_more(spark, tmp_path):
+    root = str(tmp_path)
+    stamp = F.lit(DAY).cast("timestamp_ntz")
+    nulled = lambda c, n: F.when(F.col("id") % 9 > 0, F.col("id") % n).alias(c)
+    rows = {
+        "lineitem": spark.range(500).select(nulled("l_suppkey", 7), nulled("l_partkey", 40), stamp.alias("l_shipdate")),
+        "part": spark.range(40).select(nulled("p_partkey", 40), F.concat(F.lit("b"), F.col("id") % 3).alias("p_brand"), F.lit("t").alias("p_type")),
+        "supplier": spark.range(7).select(F.col("id").alias("s_suppkey"), (F.col("id") % 2).cast("int").alias("s_nationkey")),
+        "nation": spark.range(2).selectExpr("cast(id as int) n_nationkey", "1 n_regionkey"),
+    }
+    for name, frame in rows.items():
+        frame.write.parquet(f"{root}/{name}.parquet")
+    assert edge_tasks(spark, root) is None
+    tasks = edge_tasks(spark, root, rows_per_task=20)
+    assert tasks == 28
+    dealt, plain = edges(spark, root, tasks), edges(spark, root, None)
+    assert dealt.rdd.getNumPartitions() == 28
+    order = lambda r: tuple(map(str, r))
+    assert sorted(dealt.collect(), key=order) == sorted(plain.collect(), key=order)
+
+
 def test_node_kinds(spark):
     frame = spark.createDataFrame([("source",), ("model",), ("metric",), ("odd",), (None,)], "k string")
     kinds = [r[0] for r in frame.select(lineage.node_kind(F.col("k"))).collect()]
