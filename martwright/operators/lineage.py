@@ -29,14 +29,16 @@ def upsert_edges(*seen: DataFrame, tasks: int | None = None) -> DataFrame:
     )
 
 
-def upstream(metrics: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+def upstream(
+    metrics: DataFrame, edges: DataFrame, hops: int = MAX_HOPS, tasks: int | None = None
+) -> DataFrame:
     """Ancestors of each metric with the least number of hops, at most ``hops``.
 
     One growing set: each step joins it with the edges once, keeping what it has and adding what
     lies one hop further, and reduces it to the least hops per node, so that a node
-    reached over many paths is expanded once.
+    reached over many paths is expanded once. With ``tasks`` the edges are dealt over that many for each join.
     """
-    links = edges.select("upstream", "downstream")
+    links = dealt(edges.select("upstream", "downstream"), tasks, "downstream")
     reached = (
         metrics.select("metric", F.col("metric").alias("node"), F.lit(0).alias("hops"))
         .distinct()
@@ -75,6 +77,9 @@ def with_stub(metrics: DataFrame, edges: DataFrame, walk: DataFrame) -> DataFram
 
     ``metrics`` holds (metric, primary_table).
     """
-    bare = metrics.join(edges.select(F.col("downstream").alias("metric")), "metric", "left_anti")
+    led = edges.select(F.col("downstream").alias("metric"))
+    # Reduced to the few metrics first: the whole edge table is neither sorted nor sent anywhere.
+    led = led.join(metrics.select("metric"), "metric", "left_semi").distinct()
+    bare = metrics.join(led, "metric", "left_anti")
     stubs = bare.select("metric", F.col("primary_table").alias("node"), F.lit(1).alias("hops"))
     return walk.unionByName(stubs)

@@ -141,5 +141,5 @@ def lineage_upstream(spark: SparkSession, root: str) -> DataFrame:
     # Read by every hop: made once, as an edge table is kept.
     tasks = edge_tasks(spark, root)
     links = cut_lineage(edges(spark, root, tasks))
-    whole = lineage.with_stub(metrics, links, lineage.upstream(metrics, links))
+    whole = lineage.with_stub(metrics, links, lineage.upstream(metrics, links, tasks=tasks))
     return whole.withColumn("kind", lineage.node_kind(F.split_part("node", F.lit("://"), F.lit(1))))

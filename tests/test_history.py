@@ -262,6 +262,9 @@ def test_dealt_edges_are_the_same_in_as_many_tasks(spark):
     dealt = lineage.upsert_edges(*seen, tasks=11)
     assert dealt.rdd.getNumPartitions() == 11
     assert sorted(dealt.collect()) == sorted(lineage.upsert_edges(*seen).collect())
+    metrics = spark.createDataFrame([("m", "tab"), ("bare", "tab")], "metric string, primary_table string")
+    walk = lineage.upstream(metrics, dealt, tasks=13)
+    assert sorted(walk.collect()) == sorted(lineage.upstream(metrics, dealt).collect())
 
 
 def test_tables_beyond_what_the_tasks_hold_are_dealt_over_more(spark, tmp_path):
