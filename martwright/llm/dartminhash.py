@@ -287,6 +287,14 @@ def block_pairs(members: DataFrame) -> DataFrame:
     )
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (node, root) after further ``links`` (u, v); without any they stay as they are."""
+    if links.isEmpty():
+        return roots
+    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return components(stars.union(links))
+
+
 def _common(values: np.ndarray, of: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
     """How many elements each two of ``n`` sets share."""
     _, place, count = np.unique(values, return_inverse=True, return_counts=True)
@@ -411,8 +419,9 @@ def near_duplicates(
     )
     sets = cut_lineage(sets)
     links = cut_lineage(checked(pairs.where("first"), sets, similarity))
-    open_pairs = between_classes(pairs.where("not first"), components(links))
-    roots = components(links.union(checked(open_pairs, sets, similarity)))
+    roots = components(links)
+    open_pairs = between_classes(pairs.where("not first"), roots)
+    roots = joined(roots, cut_lineage(checked(open_pairs, sets, similarity)))
     members = cut_lineage(open_members(signed, leaders, roots))
     if not members.isEmpty():
         blocks_of = (
@@ -422,10 +431,10 @@ def near_duplicates(
             .repartition("key", "pair")
             .sortWithinPartitions("key", "pair")
         )
-        more = cut_lineage(blocks_of.mapInArrow(_block_links(similarity), "u long, v long"))
-        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         # a text without a link so far stands for its own class
-        roots = components(stars.union(more))
+        roots = joined(
+            roots, cut_lineage(blocks_of.mapInArrow(_block_links(similarity), "u long, v long"))
+        )
     classed = (
         signed.select("k1", "k2", "id", "n_words", "word_key")
         .join(roots.withColumnRenamed("node", "word_key"), "word_key", "left")

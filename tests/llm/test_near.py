@@ -94,6 +94,22 @@ def test_components(spark):
     assert components(df.where("false")).count() == 0
 
 
+def test_components_end_as_soon_as_all_are_stars(spark, monkeypatch):
+    from martwright.llm import components as module
+
+    rounds = []
+    star = module._large_star
+    monkeypatch.setattr(module, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    df = spark.createDataFrame([(5, 1), (1, 7), (3, 9), (9, 3)], "u long, v long")
+    roots = module.components(df)
+    assert {r.node: r.root for r in roots.collect()} == {1: 1, 5: 1, 7: 1, 3: 3, 9: 3}
+    assert not rounds
+    assert dartminhash.joined(roots, df.where("false")) is roots
+    more = dartminhash.joined(roots, spark.createDataFrame([(7, 9), (20, 30)], "u long, v long"))
+    assert {r.node: r.root for r in more.collect()} == {1: 1, 5: 1, 7: 1, 3: 1, 9: 1, 20: 20, 30: 20}
+    assert rounds
+
+
 def exact(ids, vectors, asked, k=5):
     out = set()
     norms = np.sqrt((vectors * vectors).sum(axis=1))
