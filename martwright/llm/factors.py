@@ -221,6 +221,8 @@ def fit(
         .repartition(parts, "draw")
         .sortWithinPartitions("draw")
     )
+    # A step sends one gradient a part, as large as the model: no more of them where the rows are in more files.
+    rows = rows.coalesce(parts)
     spots = [F.element_at("stats", i + 1) for i in range(N_STATS)]
     moments = rows.agg(*(F.avg(c) for c in spots), *(F.stddev_pop(c) for c in spots)).first()
     centre = np.array([0.0 if m is None else m for m in moments[:N_STATS]])

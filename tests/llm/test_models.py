@@ -275,6 +275,32 @@ def test_scores_of_odd_documents(spark):
     assert factors.score(cases.none(spark), model, carry={}).count() == 0
 
 
+def test_a_step_sends_no_more_gradients_than_parts(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id doc_id", "concat('some words of text ', id % 7) text")
+    labels = spark.range(60).selectExpr("id doc_id", "cast(id % 2 as int) quality")
+    frame, sent = type(docs), []
+    collect = frame.collect
+
+    def counted(self):
+        rows = collect(self)
+        if "gradient" in self.columns:
+            sent.append((len(rows), sum(r["rows"] for r in rows)))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    many = {"spark.sql.files.maxRecordsPerFile": "2", "spark.sql.files.maxPartitionBytes": "8192"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        factors.fit(docs, labels, steps=2, parts=3)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sent) == 2
+    assert all(n <= 3 and rows == 60 for n, rows in sent)
+
+
 def test_held_out_ids(spark):
     import zlib
 
