@@ -222,7 +222,17 @@ def fit(
         .sortWithinPartitions("draw")
     )
     # A step sends one gradient a part, as large as the model: no more of them where the rows are in more files.
-    rows = rows.coalesce(parts)
+    # Kept by the executors, so that a step opens no file: every scan broadcasts Hadoop's settings from the driver.
+    # A lost part is read from the files again.
+    rows = rows.coalesce(parts).persist()
+    try:
+        return _train(rows, steps, rate, decay, seed)
+    finally:
+        rows.unpersist()
+
+
+def _train(rows: DataFrame, steps: int, rate: float, decay: float, seed: int) -> Model:
+    """Adam steps over ``rows`` (slots, stats, label), each one job."""
     spots = [F.element_at("stats", i + 1) for i in range(N_STATS)]
     moments = rows.agg(*(F.avg(c) for c in spots), *(F.stddev_pop(c) for c in spots)).first()
     centre = np.array([0.0 if m is None else m for m in moments[:N_STATS]])

@@ -301,6 +301,26 @@ def test_a_step_sends_no_more_gradients_than_parts(spark, monkeypatch):
     assert all(n <= 3 and rows == 60 for n, rows in sent)
 
 
+def test_steps_open_no_file(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id doc_id", "concat('some words of text ', id % 7) text")
+    labels = spark.range(60).selectExpr("id doc_id", "cast(id % 2 as int) quality")
+    frame, plans = type(docs), []
+    collect = frame.collect
+
+    def seen(self):
+        if "gradient" in self.columns:
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(frame, "collect", seen)
+    kept = spark.sparkContext._jsc.getPersistentRDDs
+    before = kept().size()
+    factors.fit(docs, labels, steps=3)
+    assert len(plans) == 3
+    assert all("InMemoryTableScan" in p for p in plans)
+    assert kept().size() == before
+
+
 def test_held_out_ids(spark):
     import zlib
 
