@@ -391,4 +391,4 @@ def test_guard_and_registration():
 
     names = entry.queries()
     assert "pipeline" in names
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")}
