@@ -173,9 +173,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op1_suffixes")
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated strings of 400 bytes."""
+    """Every document without its repeated strings of 400 bytes, and its words in shared passages of over 50 words."""
     docs = open_table(spark, sf_dir, "documents")
-    return suffixes.remove_repeats(docs, threshold=400, with_kept=False).drop("spans")
+    return suffixes.remove_repeats(docs, threshold=400, with_kept=False, passage=51).drop("spans")
 
 
 @_query("op3_near_duplicates")

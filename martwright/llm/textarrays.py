@@ -64,15 +64,13 @@ INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 
 
 class Rolling:
-    """Hashes of any substring of a byte block from one running sum."""
+    """Hashes of any substring of a byte block, or of an array of 64-bit digests, from one running sum."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
         self.sums = np.empty(len(data) + 1, dtype=U)
         self.sums[0] = 0
-        np.cumsum(
-            BYTES[which][data] * powers(BASES[which], len(data)),
-            out=self.sums[1:],
-        )
+        symbols = data if data.dtype == U else BYTES[which][data]
+        np.cumsum(symbols * powers(BASES[which], len(data)), out=self.sums[1:])
         self.back = powers(INVERSES[which], len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -1,13 +1,14 @@
 """Suffix and chunk dedup against byte-by-byte versions."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import cases
 import numpy as np
 import pytest
 
-from martwright.llm import chunks, suffixes
+from martwright.llm import chunks, queries, suffixes
 from martwright.llm.textarrays import BLOCK, blocks, sliding
 
 
@@ -61,7 +62,67 @@ def test_suffixes_random_near_periodic_texts(spark):
     assert {r.doc_id: r.n_removed for r in got} == {i: sum(m) for i, m in enumerate(masks)}
 
 
+def shared(texts, size):
+    """Per text the number of words in strings of ``size`` words that another text has too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    rows = defaultdict(set)
+    for i, w in enumerate(split):
+        for j in range(len(w) - size + 1):
+            rows[tuple(w[j : j + size])].add(i)
+    out = []
+    for w in split:
+        mask = [False] * len(w)
+        for j in range(len(w) - size + 1):
+            if len(rows[tuple(w[j : j + size])]) > 1:
+                mask[j : j + size] = [True] * size
+        out.append(sum(mask))
+    return out
+
+
+@pytest.mark.parametrize("size", [8, 51])
+def test_shared_passages_match_brute_force(spark, size):
+    draw = np.random.default_rng(4)
+    texts = [r[1] for r in cases.rows() if r[0] != 10]
+    # few different words: many near-periodic strings, shared in part and at several places
+    texts += [" ".join(draw.choice(["a", "b", "c d"], draw.integers(0, 90))) for _ in range(60)]
+    texts += [(t or "x")[7:] + " z\n" + (t or "x")[:200] for t in texts[:40]]
+    line = cases.prose(70, 60)
+    texts += [f"{line}\n{line}", cases.prose(71, 9) * 30, f"{cases.prose(72, 70)}\t \n" * 3]
+    rows = [(None if i % 9 == 0 else i, t) for i, t in enumerate(texts)]
+    rows += [rows[30], rows[30], rows[-2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffixes.remove_repeats(df, threshold=400, passage=size).collect()
+    want = shared([t for _, t in rows], size)
+    assert any(want)
+    pairs = zip(rows, want, strict=True)
+    assert Counter((r.doc_id, r.n_bytes, r.n_shared_words) for r in got) == Counter(
+        (d, len((t or "").encode()), n) for (d, t), n in pairs
+    )
+
+
+def test_passages_below_400_bytes_are_counted_by_the_query(spark, tmp_path):
+    passages = [cases.prose(800 + i, 51 + i % 10) for i in range(6)]
+    passages = [" ".join(w[:5] for w in p.split()) for p in passages]
+    assert all(len(p) < 400 for p in passages)
+    rows = []
+    for i, p in enumerate(passages):
+        for j in (0, 1):
+            around = cases.prose(900 + 2 * i + j, 80), cases.prose(950 + 2 * i + j, 70)
+            rows.append((10 * i + j, f"{around[0]}\n{p}{'  ' if j else ' '}{around[1]}"))
+        rows.append((10 * i + 5, cases.prose(990 + i, 200)))
+        rows.append((10 * i + 6, f"{cases.prose(980 + i, 60)} " * 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.LLM["op1_suffixes"].build(spark, str(tmp_path)).collect()}
+    assert list(got[0].asDict())[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for i, p in enumerate(passages):
+        n = len(p.split())
+        assert [got[10 * i + j].n_shared_words for j in (0, 1, 5, 6)] == [n, n, 0, 0]
+        assert [got[10 * i + j].n_removed for j in (0, 1, 5)] == [0, 0, 0]
+
+
 def test_empty_tables(spark):
+    assert suffixes.remove_repeats(cases.none(spark), passage=51).count() == 0
     assert suffixes.remove_repeats(cases.none(spark)).count() == 0
     assert chunks.remove_repeated_chunks(cases.none(spark)).count() == 0
 
